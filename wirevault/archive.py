@@ -24,10 +24,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from . import schemas
 from .operators.bodies import (
@@ -42,20 +41,13 @@ from .operators.bodies import (
 )
 from .operators.rollup import flow_agg, merge_shape_stats, shape_stats
 from .operators.tagging import RuleSet, tag_flows
-from .session import configure
+from .session import configure, path_exists
 from .sources.common import ARRIVAL, dead_letters
 
-_REGISTRY = T.StructType.fromDDL(
-    "upto bigint, last_id bigint, written bigint, rejected bigint, kind string, n bigint"
-)
 _STORED = [f.name for f in schemas.STORED_FLOW]
 _PARQUET = {"compression": "zstd", "parquet.compression.codec.zstd.level": "10"}
 
 
-def _with_partitions(schema: T.StructType, ddl: str) -> T.StructType:
-    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
-
-
 class Archive:
     """Reader and writer of one archive folder, which all executors must be able to reach."""
 
@@ -68,7 +60,9 @@ class Archive:
 
     def flows(self) -> DataFrame:
         """Stored flows with their current tags, plus ``dt`` for partition pruning."""
-        schema = _with_partitions(schemas.STORED_FLOW, "gen bigint, batch_id bigint, dt date")
+        schema = schemas.extend(
+            schemas.STORED_FLOW, gen=schemas.LONG, batch_id=schemas.LONG, dt=schemas.DAY
+        )
         stored = self._read("flows", schema)
         gen, upto = self._latest("flows")
         current = F.col("gen") == 0
@@ -78,7 +72,7 @@ class Archive:
         return stored.where(current).drop("gen")
 
     def body_content(self) -> DataFrame:
-        return self._read("body_content", _with_partitions(schemas.BODY_CONTENT, "batch_id bigint")).drop("batch_id")
+        return self._read("body_content", schemas.extend(schemas.BODY_CONTENT, batch_id=schemas.LONG)).drop("batch_id")
 
     def body_stats(self) -> DataFrame:
         """Counters per distinct body."""
@@ -93,14 +87,14 @@ class Archive:
         )
 
     def body_text(self) -> DataFrame:
-        return self._read("body_text", _with_partitions(schemas.BODY_TEXT, "batch_id bigint")).drop("batch_id")
+        return self._read("body_text", schemas.extend(schemas.BODY_TEXT, batch_id=schemas.LONG)).drop("batch_id")
 
     def flow_agg(self) -> DataFrame:
         """The roll-up, hits of collapsed flows included."""
         return flow_agg(merge_shape_stats(self._deltas("shape_stats", schemas.SHAPE_STATS)))
 
     def dead_letters(self) -> DataFrame:
-        return self._read("dead_letters", _with_partitions(schemas.DEAD_LETTER, "batch_id bigint"))
+        return self._read("dead_letters", schemas.extend(schemas.DEAD_LETTER, batch_id=schemas.LONG))
 
     def hot_bodies(self) -> DataFrame:
         """Bodies whose flows are split in joins; a bounded list, see `operators.bodies`."""
@@ -282,17 +276,15 @@ class Archive:
 
     # -- files -----------------------------------------------------------------------
 
-    def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing.getCondition()):
-                raise
+    def _read(self, table: str, schema: StructType) -> DataFrame:
+        path = f"{self.root}/{table}"
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
-    def _deltas(self, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    def _deltas(self, table: str, schema: StructType, before: int | None = None) -> DataFrame:
         """Rows that fold to the current counters: the last usable snapshot and later batches."""
-        deltas = self._read(table, _with_partitions(schema, "batch_id bigint"))
+        deltas = self._read(table, schemas.extend(schema, batch_id=schemas.LONG))
         if before is not None:
             deltas = deltas.where(F.col("batch_id") < before)
         n, upto = self._latest(table, before=before)
@@ -312,7 +304,7 @@ class Archive:
         return path
 
     def _registry(self) -> DataFrame:
-        return self._read("registry", _REGISTRY)
+        return self._read("registry", schemas.REGISTRY)
 
     def _register(self, kind: str, n: int, upto: int, last_id: int = 0, written: int = 0, rejected: int = 0) -> None:
         row = self.spark.createDataFrame(

@@ -38,8 +38,7 @@ SELECT k.event_id AS id, k.ts,
        WHEN d.doc_id % 11 = 3 THEN concat('{"fault":1} ', d.text) ELSE d.text END AS resp_text,
   CASE WHEN k.event_type = 'purchase' THEN k.props END AS req_text,
   CASE WHEN k.event_id % 17 = 0 AND k.event_id > 0 THEN k.event_id - 17 END AS replay_of,
-  CAST(floor(k.value * 10) AS INT) AS duration_ms,
-  k.event_id % 7 = 0 AS collapse
+  CAST(floor(k.value * 10) AS INT) AS duration_ms
 FROM (SELECT e.*, e.event_id % (SELECT count(*) FROM pages) AS page_key,
              e.event_id % (SELECT count(*) FROM documents) AS doc_key,
              e.event_id % 13 AS hk
@@ -98,7 +97,7 @@ def capture_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("resp_text").cast("binary").alias("resp_body"),
         "duration_ms", "program",
         F.lit("replay").alias("source_tool"),
-        "session_id", "collapse",
+        "session_id", F.lit(False).alias("collapse"),
         F.when(has_body, "application/json").otherwise("").alias("req_content_type"),
         F.col("content_type").alias("resp_content_type"),
         F.col("id").alias("ingest_seq"),

@@ -2,65 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    BooleanType,
+    DataType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+TEXT, BYTES, FLAG, TIME = StringType(), BinaryType(), BooleanType(), TimestampType()
+INT, LONG, REAL, DAY = IntegerType(), LongType(), DoubleType(), DateType()
+TEXTS, HEADERS = ArrayType(TEXT), MapType(TEXT, TEXT)
+
 
+def struct(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+
+def extend(schema: StructType, **fields: DataType) -> StructType:
+    return StructType([*schema.fields, *struct(**fields).fields])
 
 
 # One JSONL capture line. `_corrupt` receives lines that do not fit.
-JSONL_RECORD = _schema(
-    """timestamp string, url string,
-       request struct<url: string, raw_url: string, header: map<string,string>,
-                      headers: map<string,string>, raw: string>,
-       response struct<header: map<string,string>, headers: map<string,string>, raw: string>,
-       _corrupt string"""
+JSONL_RECORD = struct(
+    timestamp=TEXT,
+    url=TEXT,
+    request=struct(url=TEXT, raw_url=TEXT, header=HEADERS, headers=HEADERS, raw=TEXT),
+    response=struct(header=HEADERS, headers=HEADERS, raw=TEXT),
+    _corrupt=TEXT,
 )
 
 # One structured capture record, as exported by an intercepting proxy.
-CAPTURE_RECORD = _schema(
-    """request struct<method: string, scheme: string, host: string, port: int, url: string,
-                      headers: map<string,string>, timestamp_start: double, body: binary>,
-       response struct<status_code: int, headers: map<string,string>, timestamp_end: double,
-                       body: binary>"""
+CAPTURE_RECORD = struct(
+    request=struct(
+        method=TEXT, scheme=TEXT, host=TEXT, port=INT, url=TEXT, headers=HEADERS,
+        timestamp_start=REAL, body=BYTES,
+    ),
+    response=struct(status_code=INT, headers=HEADERS, timestamp_end=REAL, body=BYTES),
 )
 
 # A normalised flow, both bodies inline: what every source produces.
-FLOW = _schema(
-    """ts timestamp, method string, scheme string, host string, port int, path string,
-       query string, url string, status int, req_headers map<string,string>,
-       resp_headers map<string,string>, req_body binary, resp_body binary, duration_ms int,
-       program string, source_tool string, session_id string, collapse boolean,
-       req_content_type string, resp_content_type string, ingest_seq bigint, replay_of bigint"""
+FLOW = struct(
+    ts=TIME, method=TEXT, scheme=TEXT, host=TEXT, port=INT, path=TEXT, query=TEXT, url=TEXT,
+    status=INT, req_headers=HEADERS, resp_headers=HEADERS, req_body=BYTES, resp_body=BYTES,
+    duration_ms=INT, program=TEXT, source_tool=TEXT, session_id=TEXT, collapse=FLAG,
+    req_content_type=TEXT, resp_content_type=TEXT, ingest_seq=LONG, replay_of=LONG,
 )
 
-STORED_FLOW = _schema(
-    """id bigint, ts timestamp, program string, source_tool string, session_id string,
-       method string, scheme string, host string, port int, path string, query string,
-       url string, status int, req_headers map<string,string>, resp_headers map<string,string>,
-       req_body_sha string, resp_body_sha string, duration_ms int,
-       fingerprints array<string>, replay_of bigint"""
+STORED_FLOW = struct(
+    id=LONG, ts=TIME, program=TEXT, source_tool=TEXT, session_id=TEXT, method=TEXT, scheme=TEXT,
+    host=TEXT, port=INT, path=TEXT, query=TEXT, url=TEXT, status=INT, req_headers=HEADERS,
+    resp_headers=HEADERS, req_body_sha=TEXT, resp_body_sha=TEXT, duration_ms=INT,
+    fingerprints=TEXTS, replay_of=LONG,
 )
 
 # Mergeable counters of one body: sums, minima and "value at the first observation".
-BODY_STATS = _schema(
-    """sha256 string, size int, is_text boolean, ever_text boolean, seen_count bigint,
-       first_seen timestamp, first_seq bigint"""
+BODY_STATS = struct(
+    sha256=TEXT, size=INT, is_text=FLAG, ever_text=FLAG, seen_count=LONG, first_seen=TIME,
+    first_seq=LONG,
 )
-BODY_CONTENT = _schema("sha256 string, content binary")
-BODY_TEXT = _schema("sha256 string, tokens array<string>")
+BODY_CONTENT = struct(sha256=TEXT, content=BYTES)
+BODY_TEXT = struct(sha256=TEXT, tokens=TEXTS)
 
 # Mergeable counters of one request shape. `first_id` orders equal timestamps.
-SHAPE_STATS = _schema(
-    """shape_sha string, program string, source_tool string, method string, host string,
-       path string, status int, resp_body_sha string, hit_count bigint, first_seen timestamp,
-       last_seen timestamp, first_id bigint"""
+SHAPE_STATS = struct(
+    shape_sha=TEXT, program=TEXT, source_tool=TEXT, method=TEXT, host=TEXT, path=TEXT, status=INT,
+    resp_body_sha=TEXT, hit_count=LONG, first_seen=TIME, last_seen=TIME, first_id=LONG,
 )
 
-DEAD_LETTER = _schema("source string, raw string, reason string, ingest_ts timestamp")
+DEAD_LETTER = struct(source=TEXT, raw=TEXT, reason=TEXT, ingest_ts=TIME)
 
-MUTATION = _schema(
-    """flow_id bigint, method string, url string, set_headers map<string,string>,
-       unset_headers array<string>, body binary"""
+MUTATION = struct(
+    flow_id=LONG, method=TEXT, url=TEXT, set_headers=HEADERS, unset_headers=TEXTS, body=BYTES
 )
+
+# Bookkeeping of an archive: one row per batch, snapshot or generation.
+REGISTRY = struct(upto=LONG, last_id=LONG, written=LONG, rejected=LONG, kind=TEXT, n=LONG)
