@@ -286,13 +286,13 @@ def oracle_sql() -> dict[str, str]:
         "hosts_by_tech": f"{_FLOWS} SELECT tech, host, count(*) AS n_flows, max(ts) AS last_seen FROM (SELECT host, ts, unnest(tag_list) AS tech FROM flows) GROUP BY tech, host",
         "top_shapes": f"SELECT * FROM ({_SHAPES}) WHERE host = 'spam-farm.example.org' ORDER BY hit_count DESC, last_seen DESC, shape_sha LIMIT 20",
         "url_parts": f"SELECT page_id, scheme, nullif(host, '') AS host, port, raw_path AS path, query FROM (SELECT page_id, {_URL} FROM pages)",
-        "parse_jsonl": f"""{_LINES} SELECT id, ts, method, scheme, host, port, path, query, url, status,
+        "parse_jsonl": f"""{_LINES} SELECT ts, method, scheme, host, port, path, query, url, status,
             regexp_replace({_REQ_HEADERS}, '^Host=[^;]*;', '') AS req_headers, {_RESP_HEADERS_TYPED} AS resp_headers,
             'p' AS program, 's' AS session_id, 'proxify' AS source_tool, '' AS req_content_type,
             content_type AS resp_content_type, req_body_sha, resp_body_sha FROM fl""",
         "dead_letters": f"""WITH cap AS ({CAPTURE_SQL}) SELECT 'jsonl' AS source,
-            CASE event_type WHEN 'view' THEN 'bad_json' WHEN 'signup' THEN 'not_a_record' ELSE 'kept' END AS reason,
-            {_ISO.format('cap.ts')} || 'Z' AS seen_at FROM cap JOIN events ON event_id = id WHERE event_type NOT IN ('click', 'error')""",
+            CASE status WHEN 403 THEN 'bad_json' WHEN 406 THEN 'not_a_record' ELSE 'kept' END AS reason,
+            {_ISO.format('cap.ts')} || 'Z' AS seen_at FROM cap WHERE coalesce(status, 0) NOT IN (419, 500)""",
         "normalise_capture": f"""{_BASE}, clocks AS (SELECT *, epoch_us(ts) / 1e6 AS t0, epoch_us(ts) / 1e6 + duration_ms / 1000.0::DOUBLE AS t1 FROM fl)
             SELECT id, ts, method, scheme, host, port, path, query, url, status,
             CASE WHEN status IS NOT NULL THEN CAST(trunc((t1 - t0) * 1000) AS INT) END AS duration_ms,

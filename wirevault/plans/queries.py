@@ -24,11 +24,13 @@ from ..operators.tagging import RULES, PythonRule, Rule, RuleSet, tag_flows
 from ..session import configure, new_scratch_dir
 from ..sources.capture import parse_capture
 from ..sources.common import dead_letters, good_records
-from ..sources.jsonl import parse_jsonl, stream_jsonl
+from ..sources.jsonl import parse_jsonl, read_jsonl, stream_jsonl
 from ..streaming.ingest import ingest_jsonl_stream
 from .capture_view import capture_flows
 
+# Per session and folder: what was derived and stored in the shared scratch folder.
 _archives: dict[tuple[str, str], Archive] = {}
+_files: dict[tuple[str, str], str] = {}
 
 
 def archive_of(spark: SparkSession, sf_dir: str) -> Archive:
@@ -362,10 +364,21 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.select("id", F.to_json(record).alias("value"))
 
 
+def _jsonl_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of JSONL files with the captured records, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _files:
+        folder = new_scratch_dir(spark, "jsonl")
+        jsonl_lines(spark, sf_dir).select("value").write.text(folder)
+        _files[key] = folder
+    return _files[key]
+
+
 def parse_jsonl_records(spark, sf_dir):
-    flows = good_records(parse_jsonl(jsonl_lines(spark, sf_dir), program="p", session_id="s"))
+    lines = read_jsonl(spark, _jsonl_files(spark, sf_dir))
+    flows = good_records(parse_jsonl(lines, program="p", session_id="s"))
     return flows.select(
-        "id", local_time("ts"), "method", "scheme", "host", "port", "path", "query", "url", "status",
+        local_time("ts"), "method", "scheme", "host", "port", "path", "query", "url", "status",
         header_text("req_headers"), header_text("resp_headers"), "program", "session_id", "source_tool",
         "req_content_type", "resp_content_type",
         content_key(F.col("req_body")).alias("req_body_sha"),
@@ -374,20 +387,20 @@ def parse_jsonl_records(spark, sf_dir):
 
 
 def dead_letter_lines(spark, sf_dir):
-    """Lines are damaged by the kind of event: torn, wrapped in an array, blank or a tunnel."""
-    lines = jsonl_lines(spark, sf_dir)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("id"), "event_type"
-    )
-    kind, value = F.col("event_type"), F.col("value")
+    """Lines are damaged by response status: torn, wrapped in an array, blank or a tunnel."""
+    lines = spark.read.text(_jsonl_files(spark, sf_dir))
+    value = F.col("value")
     damaged = (
-        F.when(kind == "view", F.concat(F.lit("{"), value))
-        .when(kind == "signup", F.concat(F.lit("["), value, F.lit("]")))
-        .when(kind == "click", F.lit("  \t "))
-        .when(kind == "error", F.replace(value, F.lit('"method":"GET"'), F.lit('"method":"CONNECT"')))
+        F.when(F.contains(value, F.lit('"HTTP/1.1 403 ')), F.concat(F.lit("{"), value))
+        .when(F.contains(value, F.lit('"HTTP/1.1 406 ')), F.concat(F.lit("["), value, F.lit("]")))
+        .when(F.contains(value, F.lit('"HTTP/1.1 419 ')), F.lit("  \t "))
+        .when(
+            F.contains(value, F.lit('"HTTP/1.1 500 ')),
+            F.replace(value, F.lit('"method":"GET"'), F.lit('"method":"CONNECT"')),
+        )
         .otherwise(value)
     )
-    parsed = parse_jsonl(lines.join(events, "id").withColumn("value", damaged))
+    parsed = parse_jsonl(lines.select(damaged.alias("value")))
     letters = dead_letters(parsed, source="jsonl").select(
         "source", "reason", F.regexp_extract("raw", '"timestamp":"([^"]*)"', 1).alias("seen_at")
     )
