@@ -17,13 +17,17 @@ Layout below the root::
     shape_stats/batch_id=N          counters per request shape
     dead_letters/batch_id=N         rejected records
     staging/batch_id=N              the parsed batch that all of the above read
+    staging_bodies/batch_id=N       its body counters together with the rule tests
     registry/kind=K/n=N             one small row per batch, snapshot or generation
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,7 +49,11 @@ from .session import configure, path_exists
 from .sources.common import ARRIVAL, dead_letters
 
 _STORED = [f.name for f in schemas.STORED_FLOW]
-_PARQUET = {"compression": "zstd", "parquet.compression.codec.zstd.level": "10"}
+_PARQUET = {"compression": "zstd"}
+# Fixed value: bodies are written once and kept for good, so they get a high level.
+_BODY_PARQUET = {**_PARQUET, "parquet.compression.codec.zstd.level": "10"}
+# Staged data is read back at once and never again.
+_STAGING_PARQUET = {"compression": "lz4_raw"}
 
 
 class Archive:
@@ -125,14 +133,24 @@ class Archive:
 
         stats = self._batch_bodies(good, batch_id)
         known = self._known_bodies(stats, batch_id)
-        self._write_bodies(good, stats, known, batch_id)
-        self._write_flows(good, stats, known, batch_id)
-        self._write(shape_stats(good), "shape_stats", batch_id)
-        rejected = dead_letters(staged, source=source, ingest_ts=F.lit(dt.datetime.now(dt.timezone.utc)))
-        self._write(rejected, "dead_letters", batch_id)
+        now = F.lit(dt.datetime.now(dt.timezone.utc))
+        rejected = dead_letters(staged, source=source, ingest_ts=now)
+        self._together(
+            lambda: self._write_flows(good, stats, known, batch_id),
+            lambda: self._write_bodies(good, stats, known, batch_id),
+            lambda: self._write(shape_stats(good), "shape_stats", batch_id),
+            lambda: self._write(rejected, "dead_letters", batch_id),
+        )
         self._register("batch", batch_id, batch_id, last_id, seen["written"], seen["rejected"])
         return seen["written"], seen["rejected"]
 
+    def _together(self, *writes: Callable[[], object]) -> None:
+        """Submit independent jobs at once, so that the tail of one overlaps with the next."""
+        with ThreadPoolExecutor(len(writes)) as pool:
+            jobs = [pool.submit(inheritable_thread_target(self.spark)(write)) for write in writes]
+        for job in jobs:
+            job.result()
+
     def _stage(self, parsed: DataFrame, batch_id: int) -> tuple[DataFrame, dict[str, int]]:
         """Parse once, hash once: all tables of the batch are built from this copy."""
         defaults = {
@@ -296,7 +314,10 @@ class Archive:
 
     def _write(self, df: DataFrame, table: str, batch_id: int) -> str:
         path = f"{self.root}/{table}/batch_id={batch_id}"
-        options = dict(_PARQUET)
+        options = dict(
+            _STAGING_PARQUET if table.startswith("staging")
+            else _BODY_PARQUET if table == "body_content" else _PARQUET
+        )
         if "sha256" in df.columns:
             # Point lookups of a body skip files and row groups that cannot hold it.
             options["parquet.bloom.filter.enabled#sha256"] = "true"
