@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wirevault.operators import bodies as B
 from wirevault.operators import rollup, search, stats
 from wirevault.operators.tagging import tag_flows
+from wirevault.plans.capture_view import capture_flows
 from wirevault.plans.queries import archive_of
 
 
@@ -35,7 +36,7 @@ def test_body_search_has_no_nested_loop(archive):
 
 
 def test_built_in_rules_stay_in_the_jvm(archive):
-    text = plan(tag_flows(archive.flows(), archive.body_content(), archive.body_stats(), hot=archive.hot_bodies()))
+    text = plan(tag_flows(archive.flows(), archive.body_content(), hot=archive.hot_bodies()))
     assert "Python" not in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
@@ -44,10 +45,11 @@ def test_counters_are_hash_aggregated_before_the_shuffle(archive):
     assert "SortAggregate" not in text and "partial_" in text
 
 
-def test_content_is_combined_before_the_shuffle(archive):
-    text = plan(B.distinct_content(archive.body_content()), "simple")
+def test_content_is_combined_before_the_shuffle(spark, small):
+    obs = B.observations(B.with_body_keys(capture_flows(spark, small)))
+    text = plan(B.dedup_bodies(obs), "simple")
     # Two aggregations, each with a partial step below its exchange.
-    assert text.count("partial_first(content") == 2 and text.count("Exchange hashpartitioning") == 2
+    assert text.count("partial_first(content") == 2 and text.count("Exchange hashpartitioning(sha256") == 2
 
 
 def test_facets_read_only_tags(archive):

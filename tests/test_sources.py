@@ -81,7 +81,7 @@ def test_capture(spark, tmp_path):
 
 def test_zstd_import(spark):
     frame = zstandard.ZstdCompressor(level=10).compress(b"hello")
-    table = spark.createDataFrame([("a", bytearray(frame)), ("b", bytearray(b"junk")), ("c", None)], schemas.BODY_CONTENT)
+    table = spark.createDataFrame([("a", bytearray(frame)), ("b", bytearray(b"junk")), ("c", None)], "sha256 string, content binary")
     expected = {"raw": (b"hello", b"junk", None), "null": (b"hello", None, None), "empty": (b"hello", b"", b"")}
     for fallback, wanted in expected.items():
         got = {r.sha256: r.content for r in import_zstd_bodies(table, fallback=fallback).collect()}

@@ -16,8 +16,7 @@ Layout below the root::
     body_text/batch_id=N            words of each body ever served as text
     shape_stats/batch_id=N          counters per request shape
     dead_letters/batch_id=N         rejected records
-    staging/batch_id=N              the parsed batch that all of the above read
-    staging_bodies/batch_id=N       its body counters together with the rule tests
+    staging*/batch_id=N             the parsed batch that all of the above read, removed after it
     registry/kind=K/n=N             one small row per batch, snapshot or generation
 """
 
@@ -45,14 +44,17 @@ from .operators.bodies import (
 )
 from .operators.rollup import flow_agg, merge_shape_stats, shape_stats
 from .operators.tagging import RuleSet, tag_flows
-from .session import configure, path_exists
+from .session import configure, path_exists, remove_path
 from .sources.common import ARRIVAL, dead_letters
 
 _STORED = [f.name for f in schemas.STORED_FLOW]
 _PARQUET = {"compression": "zstd"}
 # Fixed value: bodies are written once and kept for good, so they get a high level.
 _BODY_PARQUET = {**_PARQUET, "parquet.compression.codec.zstd.level": "10"}
+# Rows that are still broadcast: keys of 64 characters, or one short row per input split.
+_BROADCAST_KEYS, _BROADCAST_SPLITS = 200_000, 200_000
 # Staged data is read back at once and never again.
+_STAGING = ("staging", "staging_bodies", "staging_known", "staging_splits")
 _STAGING_PARQUET = {"compression": "lz4_raw"}
 
 
@@ -80,7 +82,9 @@ class Archive:
         return stored.where(current).drop("gen")
 
     def body_content(self) -> DataFrame:
-        return self._read("body_content", schemas.extend(schemas.BODY_CONTENT, batch_id=schemas.LONG)).drop("batch_id")
+        """Every distinct body: key, size, content and the text flag of its first observation."""
+        stored = self._read("body_content", schemas.extend(schemas.BODY_CONTENT, batch_id=schemas.LONG))
+        return stored.select("sha256", "size", "content", "is_text")
 
     def body_stats(self) -> DataFrame:
         """Counters per distinct body."""
@@ -88,11 +92,8 @@ class Archive:
 
     def bodies(self) -> DataFrame:
         """The bodies table: key, size, content, text flag, times seen and first seen."""
-        return (
-            self.body_content()
-            .join(self.body_stats(), "sha256")
-            .select("sha256", "size", "content", "is_text", "seen_count", "first_seen")
-        )
+        counters = self.body_stats().select("sha256", "seen_count", "first_seen")
+        return self.body_content().join(counters, "sha256")
 
     def body_text(self) -> DataFrame:
         return self._read("body_text", schemas.extend(schemas.BODY_TEXT, batch_id=schemas.LONG)).drop("batch_id")
@@ -128,20 +129,22 @@ class Archive:
         staged, seen = self._stage(parsed, batch_id)
         base = self._last_id(before=batch_id)
         good = staged.where(F.col("reason").isNull())
-        numbered, last_id = _number(good, base)
+        numbered, last_id = self._number(good, base, batch_id)
         good = numbered.withColumn("ingest_seq", F.col("id"))
 
         stats = self._batch_bodies(good, batch_id)
-        known = self._known_bodies(stats, batch_id)
+        known, few = self._known_bodies(stats, batch_id)
         now = F.lit(dt.datetime.now(dt.timezone.utc))
         rejected = dead_letters(staged, source=source, ingest_ts=now)
         self._together(
             lambda: self._write_flows(good, stats, known, batch_id),
-            lambda: self._write_bodies(good, stats, known, batch_id),
+            lambda: self._write_bodies(good, stats, known, few, batch_id),
             lambda: self._write(shape_stats(good), "shape_stats", batch_id),
             lambda: self._write(rejected, "dead_letters", batch_id),
         )
         self._register("batch", batch_id, batch_id, last_id, seen["written"], seen["rejected"])
+        for table in _STAGING:
+            remove_path(self.spark, f"{self.root}/{table}/batch_id={batch_id}")
         return seen["written"], seen["rejected"]
 
     def _together(self, *writes: Callable[[], object]) -> None:
@@ -175,6 +178,37 @@ class Archive:
         path = self._write(observed, "staging", batch_id)
         return self.spark.read.schema(keyed.schema).parquet(path), seen.get
 
+    def _number(self, staged: DataFrame, base: int, batch_id: int) -> tuple[DataFrame, int]:
+        """Give staged records ids above ``base`` in order of arrival; also returns the last id.
+
+        Only the first and last row number of each input split are gathered and summed up,
+        one row per split; the records themselves are neither sorted nor shuffled. Rejected
+        records leave gaps.
+        """
+        if "id" in staged.columns:
+            return staged, staged.agg(F.max("id")).first()[0] or base
+        split = list(ARRIVAL[1:])
+        spans = staged.groupBy(*split).agg(
+            F.min("src_time").alias("_time"), F.min("src_row").alias("_lo"), F.max("src_row").alias("_hi")
+        )
+        earlier = Window.orderBy("_time", *split).rowsBetween(Window.unboundedPreceding, -1)
+        width = F.col("_hi") - F.col("_lo") + 1
+        starts = spans.select(
+            *split, "_lo", width.alias("_width"), F.coalesce(F.sum(width).over(earlier), F.lit(0)).alias("_start")
+        )
+        starts, few = self._staged_small(starts, "staging_splits", batch_id, _BROADCAST_SPLITS)
+        total = starts.agg(F.coalesce(F.sum("_width"), F.lit(0))).first()[0]
+        numbered = staged.join(F.broadcast(starts) if few else starts, split).withColumn(
+            "id", F.lit(base + 1) + F.col("_start") + F.col("src_row") - F.col("_lo")
+        )
+        return numbered.drop("_lo", "_width", "_start"), base + total
+
+    def _staged_small(self, df: DataFrame, table: str, batch_id: int, limit: int) -> tuple[DataFrame, bool]:
+        """Write a narrow intermediate result and tell whether it has at most ``limit`` rows."""
+        seen = Observation()
+        path = self._write(df.observe(seen, F.count(F.lit(1)).alias("n")), table, batch_id)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"] <= limit
+
     def _batch_bodies(self, good: DataFrame, batch_id: int) -> DataFrame:
         """Counters and rule tests of the batch's bodies, in one aggregate over the content."""
         obs = observations(good)
@@ -188,48 +222,50 @@ class Archive:
         self._write(stats.select(*(f.name for f in schemas.BODY_STATS)), "body_stats", batch_id)
         return stats
 
-    def _known_bodies(self, stats: DataFrame, batch_id: int) -> DataFrame:
-        """Counters, before this batch, of the bodies in this batch.
+    def _known_bodies(self, stats: DataFrame, batch_id: int) -> tuple[DataFrame, bool]:
+        """Counters, before this batch, of the bodies in this batch; and whether they are few.
 
         The history is reduced to the batch's keys before it is aggregated; with a batch
         that passes Spark's size check it is filtered in place, without a shuffle.
         """
         history = self._deltas("body_stats", schemas.BODY_STATS, before=batch_id)
-        return merge_body_stats(history.join(stats.select("sha256"), "sha256", "left_semi"))
+        known = merge_body_stats(history.join(stats.select("sha256"), "sha256", "left_semi"))
+        return self._staged_small(known, "staging_known", batch_id, _BROADCAST_KEYS)
 
-    def _write_bodies(self, good: DataFrame, stats: DataFrame, known: DataFrame, batch_id: int) -> None:
-        first_batch = batch_id == 0
+    def _write_bodies(self, good: DataFrame, stats: DataFrame, known: DataFrame, few: bool, batch_id: int) -> None:
         obs = observations(good)
-        unseen = obs if first_batch else obs.join(known.select("sha256"), "sha256", "left_anti")
-        content = distinct_content(unseen).sortWithinPartitions("sha256")
-        path = self._write(content, "body_content", batch_id)
-        new_content = self.spark.read.schema(schemas.BODY_CONTENT).parquet(path)
-
-        texts = stats.where("ever_text").select("sha256", "ever_text")
-        indexable = new_content.join(texts, "sha256")
-        if not first_batch:
+        known_keys = known.select("sha256")
+        if few:
+            # Drop the copies of stored bodies before any body is shuffled.
+            unseen = obs.join(F.broadcast(known_keys), "sha256", "left_anti")
+            content = distinct_content(unseen)
+        else:
+            content = distinct_content(obs).join(known_keys, "sha256", "left_anti")
+        path = self._write(content.sortWithinPartitions("sha256"), "body_content", batch_id)
+        indexable = self.spark.read.schema(schemas.BODY_CONTENT).parquet(path)
+
+        if batch_id > 0:
             # Stored before as binary and served as text now: index it from this batch.
+            texts = stats.where("ever_text").select("sha256")
             late = texts.join(known.where(~F.col("ever_text")).select("sha256"), "sha256", "left_semi")
-            again = distinct_content(obs.join(late.select("sha256"), "sha256", "left_semi"))
-            indexable = indexable.unionByName(again.withColumn("ever_text", F.lit(True)))
+            again = distinct_content(obs.join(late, "sha256", "left_semi"))
+            indexable = indexable.unionByName(again)
         self._write(text_index(indexable), "body_text", batch_id)
 
     def _write_flows(self, good: DataFrame, stats: DataFrame, known: DataFrame, batch_id: int) -> None:
         names = list(self.rules.on_empty_text())
         # The text flag is that of the first observation ever, so history wins.
-        flags = stats.join(
-            known.select("sha256", F.col("is_text").alias("_before")), "sha256", "left"
-        ).where(F.coalesce("_before", "is_text"))
-        features = self.rules.informative(flags.select("sha256", *names))
-        kept = good.where(~F.col("collapse"))
+        before = known.select("sha256", F.col("is_text").alias("_before"))
+        flag = F.coalesce("_before", "is_text")
+        kept, hot = good.where(~F.col("collapse")), hot_bodies(stats)
         if self.rules.needs_python:
-            tagged = tag_flows(
-                kept.withColumn("fingerprints", F.array().cast("array<string>")),
-                distinct_content(observations(good)), flags.withColumn("is_text", F.lit(True)),
-                self.rules, hot=hot_bodies(stats),
-            )
+            kept = kept.withColumn("fingerprints", F.array().cast("array<string>"))
+            content = distinct_content(observations(good)).join(before, "sha256", "left")
+            tagged = tag_flows(kept, content.withColumn("is_text", flag), self.rules, hot=hot)
         else:
-            tagged = self.rules.tag(join_bodies(kept, features, "resp_body_sha", hot=hot_bodies(stats)))
+            texts = stats.join(before, "sha256", "left").where(flag)
+            features = self.rules.informative(texts.select("sha256", *names))
+            tagged = self.rules.tag(join_bodies(kept, features, "resp_body_sha", hot=hot))
         self._write_flow_files(tagged.select(*_STORED), f"flows/gen=0/batch_id={batch_id}", ["dt"])
 
     def _write_flow_files(self, flows: DataFrame, table: str, partitions: list[str]) -> None:
@@ -256,8 +292,7 @@ class Archive:
         gen = (self._latest("flows")[0] or 0) + 1
         flows = self.flows().where(F.col("batch_id") <= upto)
         tagged = tag_flows(
-            flows, self.body_content(), self.body_stats(), rules,
-            hot=self.hot_bodies(), only_untagged=only_untagged,
+            flows, self.body_content(), rules, hot=self.hot_bodies(), only_untagged=only_untagged
         )
         seen = Observation()
         result = tagged.observe(seen, F.count(F.lit(1)).alias("n")).select(*_STORED, "batch_id")
@@ -346,25 +381,3 @@ class Archive:
     def _last_id(self, before: int) -> int:
         batches = self._registry().where((F.col("kind") == "batch") & (F.col("n") < before))
         return batches.agg(F.max("last_id")).first()[0] or 0
-
-
-def _number(staged: DataFrame, base: int) -> tuple[DataFrame, int]:
-    """Give staged records ids above ``base`` in order of arrival; also returns the last id.
-
-    Only the first and last row number of each input split are gathered and summed up, one
-    row per split; the records themselves are not sorted. Rejected records leave gaps.
-    """
-    if "id" in staged.columns:
-        return staged, staged.agg(F.max("id")).first()[0] or base
-    split = list(ARRIVAL[1:])
-    spans = staged.groupBy(*split).agg(
-        F.min("src_time").alias("_time"), F.min("src_row").alias("_lo"), F.max("src_row").alias("_hi")
-    )
-    earlier = Window.orderBy("_time", *split).rowsBetween(Window.unboundedPreceding, -1)
-    width = F.col("_hi") - F.col("_lo") + 1
-    starts = spans.withColumn("_start", F.coalesce(F.sum(width).over(earlier), F.lit(0)))
-    numbered = staged.join(starts.drop("_hi", "_time"), split).withColumn(
-        "id", F.lit(base + 1) + F.col("_start") + F.col("src_row") - F.col("_lo")
-    )
-    total = spans.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-    return numbered.drop("_lo", "_start"), base + total

@@ -6,13 +6,15 @@ makes up a third of the traffic costs one row per map task and not one per reque
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import content_key
 from ..functions.text import has_all_words, indexable_text, is_text_type, word_tokens
 
-# Copies of one body that survive the first content aggregation, see `distinct_content`.
+# Copies of one body that survive the first content aggregation, see `dedup_bodies`.
 CONTENT_SALTS = 64
 
 
@@ -44,14 +46,14 @@ def observations(flows: DataFrame) -> DataFrame:
     return both.where(F.col("sha256").isNotNull())
 
 
-def body_stats(obs: DataFrame, *more: Column) -> DataFrame:
+def body_stats(obs: DataFrame, *more: Column, by: Sequence[str] = ("sha256",)) -> DataFrame:
     """Counters per distinct body, without its content; ``more`` adds aggregates of the caller.
 
     ``is_text`` is the flag of the first observation, ``ever_text`` whether any observation
     was text: a body first served as an image and later as a page is not flagged as text,
     yet its words are searchable.
     """
-    return obs.groupBy("sha256").agg(
+    return obs.groupBy(*by).agg(
         F.max("size").alias("size"),
         F.min_by("is_text", "seq").alias("is_text"),
         F.bool_or("is_text").alias("ever_text"),
@@ -62,7 +64,7 @@ def body_stats(obs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def merge_body_stats(parts: DataFrame) -> DataFrame:
+def merge_body_stats(parts: DataFrame, *more: Column) -> DataFrame:
     """Fold counters of several batches; associative, so order and grouping do not matter."""
     return parts.groupBy("sha256").agg(
         F.max("size").alias("size"),
@@ -71,34 +73,27 @@ def merge_body_stats(parts: DataFrame) -> DataFrame:
         F.sum("seen_count").alias("seen_count"),
         F.min("first_seen").alias("first_seen"),
         F.min("first_seq").alias("first_seq"),
+        *more,
     )
 
 
-def distinct_content(obs: DataFrame) -> DataFrame:
-    """``sha256, content``: each body once.
+def dedup_bodies(obs: DataFrame) -> DataFrame:
+    """The bodies table in one pass over the observations: counters plus ``content``.
 
     Map-side combining leaves up to one copy of a hot body per map task. On a large input
     those copies would all meet in one task, and unlike counters they are wide. A salt
     taken from the map partition spreads them first; the second aggregation then sees at
     most ``CONTENT_SALTS`` copies of any body.
     """
-    salted = obs.select(
-        "sha256", "content", (F.spark_partition_id() % CONTENT_SALTS).alias("_salt")
-    )
-    keep_one = F.any_value("content").alias("content")
-    return (
-        salted.groupBy("sha256", "_salt").agg(keep_one).groupBy("sha256").agg(keep_one)
-    )
-
+    salted = obs.withColumn("_salt", F.spark_partition_id() % CONTENT_SALTS)
+    any_copy = F.any_value("content").alias("content")
+    parts = body_stats(salted, any_copy, by=["sha256", "_salt"]).drop("_salt")
+    return merge_body_stats(parts, any_copy)
 
-def dedup_bodies(obs: DataFrame) -> DataFrame:
-    """The bodies table computed in one go from observations.
 
-    Counters and content are separate aggregates: the counters stay fixed-width, which
-    keeps them on the hash path, and only the content is spread by a salt.
-    """
-    stats = body_stats(obs)
-    return stats.join(distinct_content(obs), "sha256")
+def distinct_content(obs: DataFrame) -> DataFrame:
+    """What is stored of a body for good: key, size, content and its text flags so far."""
+    return dedup_bodies(obs).select("sha256", "size", "is_text", "ever_text", "content")
 
 
 def text_index(bodies: DataFrame) -> DataFrame:

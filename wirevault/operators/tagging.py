@@ -212,7 +212,6 @@ def _python_condition(rule: PythonRule) -> Column:
 def tag_flows(
     flows: DataFrame,
     content: DataFrame,
-    stats: DataFrame,
     rules: RuleSet | None = None,
     *,
     hot: DataFrame | None = None,
@@ -220,21 +219,21 @@ def tag_flows(
 ) -> DataFrame:
     """(Re)compute ``fingerprints`` of every flow; replaces earlier tags.
 
-    ``flows`` are stored flows, ``content`` the distinct bodies and ``stats`` their
-    counters; only bodies first seen as text are tested. The tests run on the content scan
-    itself, so no body is shuffled. With ``only_untagged`` the result holds just the flows
-    that had no tag before.
+    ``flows`` are stored flows, ``content`` the distinct bodies (``sha256, is_text,
+    content``); bodies not first seen as text count as empty. The body tests run on the
+    content scan itself, so no body is shuffled. With ``only_untagged`` the result holds
+    just the flows that had no tag before.
     """
     rules = rules or RuleSet()
     if only_untagged:
         flows = flows.where(F.size("fingerprints") == 0)
     flows = flows.drop("fingerprints")
-    text_bodies = stats.where("is_text").select("sha256")
-    payload = rules.body_features(content).join(text_bodies, "sha256", "left_semi")
+    texts = content.where("is_text")
+    payload = rules.body_features(texts)
     if rules.needs_python:
-        text = content.join(text_bodies, "sha256", "left_semi")
-        text = text.select("sha256", utf8_text(F.col("content")).alias("_text"))
-        payload = text.join(payload, "sha256", "left")
+        # A Python rule wants the text itself next to the flow.
+        texts = texts.select("sha256", utf8_text(F.col("content")).alias("_text"))
+        payload = texts.join(payload, "sha256", "left")
     joined = join_bodies(flows, payload, "resp_body_sha", hot=hot)
     if rules.needs_python:
         joined = joined.withColumn("_text", F.coalesce("_text", F.lit("")))

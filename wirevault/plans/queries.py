@@ -128,7 +128,7 @@ def collapse_routing(spark, sf_dir):
 def _tag(spark, sf_dir, rules=RULES, **options) -> DataFrame:
     a = archive_of(spark, sf_dir)
     tagged = tag_flows(
-        a.flows(), a.body_content(), a.body_stats(), RuleSet(rules), hot=a.hot_bodies(), **options
+        a.flows(), a.body_content(), RuleSet(rules), hot=a.hot_bodies(), **options
     )
     return tagged.select("id", tags())
 
@@ -232,7 +232,7 @@ def top_shapes(spark, sf_dir):
 
 def _requests(spark, sf_dir) -> DataFrame:
     a = archive_of(spark, sf_dir)
-    return detail.load_requests(a.flows(), a.bodies(), hot=a.hot_bodies())
+    return detail.load_requests(a.flows(), a.body_content(), hot=a.hot_bodies())
 
 
 def flow_request(spark, sf_dir):
@@ -244,7 +244,7 @@ def flow_request(spark, sf_dir):
 
 def flow_full(spark, sf_dir):
     a = archive_of(spark, sf_dir)
-    full = detail.load_full(a.flows(), a.bodies(), hot=a.hot_bodies())
+    full = detail.load_full(a.flows(), a.body_content(), hot=a.hot_bodies())
     return full.select(
         "id", local_time("ts"), "program", "source_tool", "session_id", "method", "scheme", "host",
         "port", "path", "query", "url", "status", "duration_ms", tags(), header_text("req_headers"),
@@ -255,7 +255,7 @@ def flow_full(spark, sf_dir):
 
 def flow_detail(spark, sf_dir):
     a = archive_of(spark, sf_dir)
-    d = detail.flow_details(a.flows(), a.bodies(), hot=a.hot_bodies())
+    d = detail.flow_details(a.flows(), a.body_content(), hot=a.hot_bodies())
 
     def flat(side: str) -> list[Column]:
         body = F.col(f"{side}_body")
@@ -284,7 +284,7 @@ def raw_request(spark, sf_dir):
 
 def body_preview(spark, sf_dir):
     a = archive_of(spark, sf_dir)
-    previews = detail.flow_previews(a.flows(), a.bodies(), hot=a.hot_bodies())
+    previews = detail.flow_previews(a.flows(), a.body_content(), hot=a.hot_bodies())
     return previews.withColumn("resp_preview", F.md5("resp_preview"))
 
 
@@ -292,7 +292,7 @@ def request_variants(spark, sf_dir):
     """Every POST again as a PUT to another URL, without cookies, with a new body."""
     a = archive_of(spark, sf_dir)
     posts = search.match_flows(a.flows(), method="post")
-    requests = detail.load_requests(posts, a.bodies(), hot=a.hot_bodies())
+    requests = detail.load_requests(posts, a.body_content(), hot=a.hot_bodies())
     mutations = requests.select(
         F.col("id").alias("flow_id"),
         F.lit("put").alias("method"),

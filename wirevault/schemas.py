@@ -69,7 +69,8 @@ BODY_STATS = struct(
     sha256=TEXT, size=INT, is_text=FLAG, ever_text=FLAG, seen_count=LONG, first_seen=TIME,
     first_seq=LONG,
 )
-BODY_CONTENT = struct(sha256=TEXT, content=BYTES)
+# A body as stored in the batch that saw it first, with its text flags in that batch.
+BODY_CONTENT = struct(sha256=TEXT, size=INT, is_text=FLAG, ever_text=FLAG, content=BYTES)
 BODY_TEXT = struct(sha256=TEXT, tokens=TEXTS)
 
 # Mergeable counters of one request shape. `first_id` orders equal timestamps.

@@ -50,3 +50,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists on whatever file system the path names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote and no longer needs."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
