@@ -147,16 +147,18 @@ def test_user_rules_and_rerun(spark):
     assert sorted(r.id for r in untagged.collect()) == [2, 3]
 
 
-def test_split_of_hot_bodies_changes_nothing(spark):
+def test_split_of_hot_bodies_changes_nothing(spark, monkeypatch):
     rows = [dict(resp_body=b'"fault"' if i % 3 else bytes([i]), req_body=None if i % 2 else b"q") for i in range(60)]
     base, content, counters = stored(make(spark, *rows))
     hot = B.hot_bodies(counters, share=4, floor=5)
     salts = {r.sha256: r.salts for r in hot.collect()}
     assert salts and max(salts.values()) > 1
     key = lambda r: r.id
+    broadcast = sorted(tag_flows(base, content).select("id", "fingerprints").collect(), key=key)
+    monkeypatch.setattr(B, "BROADCAST_ROWS", -1)
     plain = sorted(tag_flows(base, content).select("id", "fingerprints").collect(), key=key)
     split = sorted(tag_flows(base, content, hot=hot).select("id", "fingerprints").collect(), key=key)
-    assert plain == split and len(split) == 60
+    assert broadcast == plain == split and len(split) == 60
     words = B.text_index(content)
     for predicate in ({"grep": "fault"}, {"body": "q"}):
         a = search.match_flows(base, body_text=words, **predicate).select("id").collect()

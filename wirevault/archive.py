@@ -17,6 +17,7 @@ Layout below the root::
     shape_stats/batch_id=N          counters per request shape
     dead_letters/batch_id=N         rejected records
     staging*/batch_id=N             the parsed batch that all of the above read, removed after it
+    *_snapshot/n=N, hot_bodies/n=N  folded counters; bodies whose flows joins must split
     registry/kind=K/n=N             one small row per batch, snapshot or generation
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql.types import StructType
 
 from . import schemas
 from .operators.bodies import (
+    BROADCAST_ROWS,
     body_stats,
     distinct_content,
     hot_bodies,
@@ -51,10 +53,8 @@ _STORED = [f.name for f in schemas.STORED_FLOW]
 _PARQUET = {"compression": "zstd"}
 # Fixed value: bodies are written once and kept for good, so they get a high level.
 _BODY_PARQUET = {**_PARQUET, "parquet.compression.codec.zstd.level": "10"}
-# Rows that are still broadcast: keys of 64 characters, or one short row per input split.
-_BROADCAST_KEYS, _BROADCAST_SPLITS = 200_000, 200_000
 # Staged data is read back at once and never again.
-_STAGING = ("staging", "staging_bodies", "staging_known", "staging_splits")
+_STAGING = ("staging", "staging_bodies", "staging_known", "staging_splits", "staging_features")
 _STAGING_PARQUET = {"compression": "lz4_raw"}
 
 
@@ -106,8 +106,15 @@ class Archive:
         return self._read("dead_letters", schemas.extend(schemas.DEAD_LETTER, batch_id=schemas.LONG))
 
     def hot_bodies(self) -> DataFrame:
-        """Bodies whose flows are split in joins; a bounded list, see `operators.bodies`."""
-        return hot_bodies(self.body_stats())
+        """Bodies whose flows are split in joins; a bounded list, see `operators.bodies`.
+
+        The list is refreshed by `compact` and by the first batch. Joins are exact with any
+        list, since both sides of a join are split by the same one.
+        """
+        n, _ = self._latest("hot_bodies")
+        if n is None:
+            return self.spark.createDataFrame([], schemas.HOT_BODIES)
+        return self.spark.read.schema(schemas.HOT_BODIES).parquet(f"{self.root}/hot_bodies/n={n}")
 
     def counts(self) -> tuple[int, int]:
         """Records written and rejected so far."""
@@ -133,16 +140,18 @@ class Archive:
         good = numbered.withColumn("ingest_seq", F.col("id"))
 
         stats = self._batch_bodies(good, batch_id)
-        known, few = self._known_bodies(stats, batch_id)
+        known, n_known = self._known_bodies(stats, batch_id)
         now = F.lit(dt.datetime.now(dt.timezone.utc))
         rejected = dead_letters(staged, source=source, ingest_ts=now)
         self._together(
             lambda: self._write_flows(good, stats, known, batch_id),
-            lambda: self._write_bodies(good, stats, known, few, batch_id),
+            lambda: self._write_bodies(good, stats, known, n_known, batch_id),
             lambda: self._write(shape_stats(good), "shape_stats", batch_id),
             lambda: self._write(rejected, "dead_letters", batch_id),
         )
         self._register("batch", batch_id, batch_id, last_id, seen["written"], seen["rejected"])
+        if batch_id == 0:
+            self._list_hot_bodies(batch_id)
         for table in _STAGING:
             remove_path(self.spark, f"{self.root}/{table}/batch_id={batch_id}")
         return seen["written"], seen["rejected"]
@@ -196,18 +205,18 @@ class Archive:
         starts = spans.select(
             *split, "_lo", width.alias("_width"), F.coalesce(F.sum(width).over(earlier), F.lit(0)).alias("_start")
         )
-        starts, few = self._staged_small(starts, "staging_splits", batch_id, _BROADCAST_SPLITS)
+        starts, rows = self._staged_small(starts, "staging_splits", batch_id)
         total = starts.agg(F.coalesce(F.sum("_width"), F.lit(0))).first()[0]
-        numbered = staged.join(F.broadcast(starts) if few else starts, split).withColumn(
+        numbered = staged.join(F.broadcast(starts) if rows <= BROADCAST_ROWS else starts, split).withColumn(
             "id", F.lit(base + 1) + F.col("_start") + F.col("src_row") - F.col("_lo")
         )
         return numbered.drop("_lo", "_width", "_start"), base + total
 
-    def _staged_small(self, df: DataFrame, table: str, batch_id: int, limit: int) -> tuple[DataFrame, bool]:
-        """Write a narrow intermediate result and tell whether it has at most ``limit`` rows."""
+    def _staged_small(self, df: DataFrame, table: str, batch_id: int) -> tuple[DataFrame, int]:
+        """Compute a narrow intermediate result once; its row count decides about broadcasts."""
         seen = Observation()
         path = self._write(df.observe(seen, F.count(F.lit(1)).alias("n")), table, batch_id)
-        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"] <= limit
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def _batch_bodies(self, good: DataFrame, batch_id: int) -> DataFrame:
         """Counters and rule tests of the batch's bodies, in one aggregate over the content."""
@@ -222,20 +231,20 @@ class Archive:
         self._write(stats.select(*(f.name for f in schemas.BODY_STATS)), "body_stats", batch_id)
         return stats
 
-    def _known_bodies(self, stats: DataFrame, batch_id: int) -> tuple[DataFrame, bool]:
-        """Counters, before this batch, of the bodies in this batch; and whether they are few.
+    def _known_bodies(self, stats: DataFrame, batch_id: int) -> tuple[DataFrame, int]:
+        """Counters, before this batch, of the bodies in this batch; and how many there are.
 
         The history is reduced to the batch's keys before it is aggregated; with a batch
         that passes Spark's size check it is filtered in place, without a shuffle.
         """
         history = self._deltas("body_stats", schemas.BODY_STATS, before=batch_id)
         known = merge_body_stats(history.join(stats.select("sha256"), "sha256", "left_semi"))
-        return self._staged_small(known, "staging_known", batch_id, _BROADCAST_KEYS)
+        return self._staged_small(known, "staging_known", batch_id)
 
-    def _write_bodies(self, good: DataFrame, stats: DataFrame, known: DataFrame, few: bool, batch_id: int) -> None:
+    def _write_bodies(self, good: DataFrame, stats: DataFrame, known: DataFrame, n_known: int, batch_id: int) -> None:
         obs = observations(good)
         known_keys = known.select("sha256")
-        if few:
+        if n_known <= BROADCAST_ROWS:
             # Drop the copies of stored bodies before any body is shuffled.
             unseen = obs.join(F.broadcast(known_keys), "sha256", "left_anti")
             content = distinct_content(unseen)
@@ -265,7 +274,8 @@ class Archive:
         else:
             texts = stats.join(before, "sha256", "left").where(flag)
             features = self.rules.informative(texts.select("sha256", *names))
-            tagged = self.rules.tag(join_bodies(kept, features, "resp_body_sha", hot=hot))
+            features, rows = self._staged_small(features, "staging_features", batch_id)
+            tagged = self.rules.tag(join_bodies(kept, features, "resp_body_sha", rows=rows, hot=hot))
         self._write_flow_files(tagged.select(*_STORED), f"flows/gen=0/batch_id={batch_id}", ["dt"])
 
     def _write_flow_files(self, flows: DataFrame, table: str, partitions: list[str]) -> None:
@@ -315,9 +325,17 @@ class Archive:
         return seen.get["n"]
 
     def compact(self) -> None:
-        """Fold the per-batch counters into one snapshot each."""
+        """Fold the per-batch counters into one snapshot each and renew the list of hot bodies."""
         self._snapshot("body_stats", merge_body_stats(self._deltas("body_stats", schemas.BODY_STATS)))
         self._snapshot("shape_stats", merge_shape_stats(self._deltas("shape_stats", schemas.SHAPE_STATS)))
+        self._list_hot_bodies(self._max("batch"))
+
+    def _list_hot_bodies(self, upto: int | None) -> None:
+        if upto is None:
+            return
+        n = (self._latest("hot_bodies")[0] or 0) + 1
+        hot_bodies(self.body_stats()).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/hot_bodies/n={n}")
+        self._register("hot_bodies", n, upto)
 
     def _snapshot(self, table: str, folded: DataFrame) -> None:
         upto = self._max("batch")

@@ -16,6 +16,8 @@ from ..functions.text import has_all_words, indexable_text, is_text_type, word_t
 
 # Copies of one body that survive the first content aggregation, see `dedup_bodies`.
 CONTENT_SALTS = 64
+# Most rows of keys and flags that a join broadcasts: some 20 MB.
+BROADCAST_ROWS = 200_000
 
 
 def with_body_keys(flows: DataFrame) -> DataFrame:
@@ -127,22 +129,26 @@ def join_bodies(
     bodies: DataFrame,
     key: str,
     *,
+    rows: int | None = None,
     hot: DataFrame | None = None,
     row_id: str = "id",
 ) -> DataFrame:
     """Left join ``flows`` to rows of ``bodies`` (unique ``sha256`` plus payload columns).
 
+    With a known number of ``rows`` of a narrow payload, up to `BROADCAST_ROWS` of them are
+    broadcast and the flows stay where they are. Otherwise both sides are shuffled:
+
     * Flows without a body get a filler key of their own, so that they spread over all
       tasks instead of meeting in the one that owns null.
     * With ``hot`` (from `hot_bodies`) the flows of a hot body are split over several
       salts, and that body's row is repeated once per salt. Without it, splitting is
       left to adaptive execution.
-
-    A side small enough for Spark's own size check is still broadcast.
     """
+    right = bodies.withColumnRenamed("sha256", "_key")
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return flows.join(F.broadcast(right), F.col(key) == F.col("_key"), "left").drop("_key")
     filler = F.concat(F.lit("-"), F.col(row_id).cast("string"))
     left = flows.withColumn("_key", F.coalesce(F.col(key), filler))
-    right = bodies.withColumnRenamed("sha256", "_key")
     on = ["_key"]
     if hot is not None:
         spread = F.broadcast(hot.select(F.col("sha256").alias("_key"), F.col("salts").alias("_salts")))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import relevance
 from ..functions.text import ilike_contains
+from ..session import stored_once
 from .bodies import join_bodies, matching_bodies
 
 SUMMARY = ("id", "ts", "method", "status", "url", "host", "fingerprints", "session_id", "program")
@@ -43,7 +44,7 @@ def match_flows(
     """The flows that satisfy every given predicate; empty strings are ignored.
 
     ``grep`` looks at response bodies, ``body`` at request and response bodies; both need
-    ``body_text``. Each of ``terms`` must occur in the host or in the URL.
+    ``body_text`` and look up the matching bodies at once, to see how many there are. Each of ``terms`` must occur in the host or in the URL.
     """
     kept = flows
     for name in tech:
@@ -69,9 +70,11 @@ def match_flows(
         in_host = ilike_contains(F.col("host"), term, literal=literal)
         kept = kept.where(in_host | ilike_contains(F.col("url"), term, literal=literal))
     if grep:
-        kept = in_response(kept, matching_bodies(_required(body_text), grep), hot=hot)
+        hits, rows = stored_once(matching_bodies(_required(body_text), grep), "body-hits")
+        kept = in_response(kept, hits, rows=rows, hot=hot)
     if body:
-        kept = in_either_body(kept, matching_bodies(_required(body_text), body), hot=hot)
+        hits, rows = stored_once(matching_bodies(_required(body_text), body), "body-hits")
+        kept = in_either_body(kept, hits, rows=rows, hot=hot)
     return kept
 
 
@@ -81,30 +84,31 @@ def _required(body_text: DataFrame | None) -> DataFrame:
     return body_text
 
 
-def in_response(flows: DataFrame, hits: DataFrame, *, hot: DataFrame | None = None) -> DataFrame:
+def in_response(
+    flows: DataFrame, hits: DataFrame, *, rows: int | None = None, hot: DataFrame | None = None
+) -> DataFrame:
     """Flows whose response body is among ``hits``; flows without one never reach the join."""
     with_body = flows.where(F.col("resp_body_sha").isNotNull())
-    if hot is None:
-        return with_body.join(hits.withColumnRenamed("sha256", "resp_body_sha"), "resp_body_sha", "left_semi").select(
-            *flows.columns
-        )
-    marked = join_bodies(with_body, hits.withColumn("_hit", F.lit(True)), "resp_body_sha", hot=hot)
+    marked = join_bodies(
+        with_body, hits.withColumn("_hit", F.lit(True)), "resp_body_sha", rows=rows, hot=hot
+    )
     return marked.where("_hit").drop("_hit")
 
 
-def in_either_body(flows: DataFrame, hits: DataFrame, *, hot: DataFrame | None = None) -> DataFrame:
+def in_either_body(
+    flows: DataFrame, hits: DataFrame, *, rows: int | None = None, hot: DataFrame | None = None
+) -> DataFrame:
     """Flows whose request or response body is among ``hits``.
 
     One join with an OR condition would compare every flow with every hit. Two keyed joins
     that add a mark each stay hash or merge joins.
     """
-    by_response = hits.withColumn("_in_response", F.lit(True))
-    by_request = hits.withColumn("_in_request", F.lit(True))
-    marked = join_bodies(flows, by_response, "resp_body_sha", hot=hot)
-    marked = join_bodies(marked, by_request, "req_body_sha", hot=hot)
-    return marked.where(
-        F.coalesce("_in_response", F.lit(False)) | F.coalesce("_in_request", F.lit(False))
-    ).drop("_in_response", "_in_request")
+    marked = flows
+    for side in ("resp", "req"):
+        flagged = hits.withColumn(f"_in_{side}", F.lit(True))
+        marked = join_bodies(marked, flagged, f"{side}_body_sha", rows=rows, hot=hot)
+    found = F.coalesce("_in_resp", F.lit(False)) | F.coalesce("_in_req", F.lit(False))
+    return marked.where(found).drop("_in_resp", "_in_req")
 
 
 def search(flows: DataFrame, *, limit: int | None = LISTING_ROWS, **predicates) -> DataFrame:
@@ -153,6 +157,21 @@ def ranked_search(
 
 
 def live_tail(flows: DataFrame, *, limit: int = LIVE_ROWS) -> DataFrame:
-    """The newest flows of all, with at most three tags each, for a polling view."""
-    newest = flows.select(*SUMMARY).orderBy(*newest_first()).limit(limit)
+    """The newest flows of all, with at most three tags each, for a polling view.
+
+    Stored flows are partitioned by day. Counting rows per day reads file footers only, and
+    the oldest day that is still needed prunes the scan to the newest days.
+    """
+    recent = flows
+    if "dt" in flows.columns:
+        recent = flows.where(F.col("dt") >= _oldest_day_needed(flows, limit))
+    newest = recent.select(*SUMMARY).orderBy(*newest_first()).limit(limit)
     return newest.withColumn("fingerprints", F.slice("fingerprints", 1, 3))
+
+
+def _oldest_day_needed(flows: DataFrame, limit: int) -> Column:
+    """Scalar: the day on which the count from the newest day backwards reaches ``limit``."""
+    per_day = flows.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    newer = Window.orderBy(F.col("dt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = per_day.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    return days.where(F.col("newer") < limit).agg(F.min("dt").alias("dt")).scalar()

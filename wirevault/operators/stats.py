@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,7 +56,7 @@ def hosts_by_tech(flows: DataFrame, tech: str | None = None) -> DataFrame:
     )
 
 
-def top_shapes(flow_agg: DataFrame, host: str, k: int = 20) -> DataFrame:
+def top_shapes(flow_agg: DataFrame, host: str | Column, k: int = 20) -> DataFrame:
     """The most frequent request shapes of one host."""
     return (
         flow_agg.where(F.col("host") == host)

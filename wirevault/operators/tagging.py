@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import lower_keys
 from ..functions.text import utf8_text
+from ..session import stored_once
 from .bodies import join_bodies
 
 BodyTest = Callable[[Column], Column]
@@ -229,12 +230,12 @@ def tag_flows(
         flows = flows.where(F.size("fingerprints") == 0)
     flows = flows.drop("fingerprints")
     texts = content.where("is_text")
-    payload = rules.body_features(texts)
+    payload, rows = stored_once(rules.body_features(texts), "rule-features")
     if rules.needs_python:
-        # A Python rule wants the text itself next to the flow.
+        # A Python rule wants the text itself next to the flow; that is never broadcast.
         texts = texts.select("sha256", utf8_text(F.col("content")).alias("_text"))
-        payload = texts.join(payload, "sha256", "left")
-    joined = join_bodies(flows, payload, "resp_body_sha", hot=hot)
+        payload, rows = texts.join(payload, "sha256", "left"), None
+    joined = join_bodies(flows, payload, "resp_body_sha", rows=rows, hot=hot)
     if rules.needs_python:
         joined = joined.withColumn("_text", F.coalesce("_text", F.lit("")))
     return rules.tag(joined)

@@ -284,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT e.id, c.root, c.depth + 1 FROM e JOIN chain c ON e.replay_of = c.id)
             SELECT id, root, CAST(depth AS BIGINT) AS depth FROM chain""",
         "hosts_by_tech": f"{_FLOWS} SELECT tech, host, count(*) AS n_flows, max(ts) AS last_seen FROM (SELECT host, ts, unnest(tag_list) AS tech FROM flows) GROUP BY tech, host",
-        "top_shapes": f"SELECT * FROM ({_SHAPES}) WHERE host = 'spam-farm.example.org' ORDER BY hit_count DESC, last_seen DESC, shape_sha LIMIT 20",
+        "top_shapes": f"SELECT * FROM ({_SHAPES}) WHERE host = (SELECT host FROM ({_FLOWS} SELECT host FROM flows) GROUP BY host ORDER BY count(*) DESC, host LIMIT 1) ORDER BY hit_count DESC, last_seen DESC, shape_sha LIMIT 20",
         "url_parts": f"SELECT page_id, scheme, nullif(host, '') AS host, port, raw_path AS path, query FROM (SELECT page_id, {_URL} FROM pages)",
         "parse_jsonl": f"""{_LINES} SELECT ts, method, scheme, host, port, path, query, url, status,
             regexp_replace({_REQ_HEADERS}, '^Host=[^;]*;', '') AS req_headers, {_RESP_HEADERS_TYPED} AS resp_headers,

@@ -224,7 +224,11 @@ def hosts_by_tech(spark, sf_dir):
 
 
 def top_shapes(spark, sf_dir):
-    return _shapes(stats.top_shapes(archive_of(spark, sf_dir).flow_agg(), "spam-farm.example.org"))
+    """The top shapes of the host with the most hits."""
+    agg = archive_of(spark, sf_dir).flow_agg()
+    hits = agg.groupBy("host").agg(F.sum("hit_count").alias("n"))
+    busiest = hits.orderBy(F.col("n").desc(), "host").limit(1).select("host").scalar()
+    return _shapes(stats.top_shapes(agg, busiest))
 
 
 # -- details and replay ------------------------------------------------------------------

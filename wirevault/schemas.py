@@ -73,6 +73,8 @@ BODY_STATS = struct(
 BODY_CONTENT = struct(sha256=TEXT, size=INT, is_text=FLAG, ever_text=FLAG, content=BYTES)
 BODY_TEXT = struct(sha256=TEXT, tokens=TEXTS)
 
+HOT_BODIES = struct(sha256=TEXT, salts=INT)
+
 # Mergeable counters of one request shape. `first_id` orders equal timestamps.
 SHAPE_STATS = struct(
     shape_sha=TEXT, program=TEXT, source_tool=TEXT, method=TEXT, host=TEXT, path=TEXT, status=INT,

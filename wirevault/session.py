@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that affect results, not speed. Everything else is left to the cluster.
 SETTINGS = {
@@ -56,3 +57,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this package wrote and no longer needs."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored_once(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Compute a narrow intermediate result once, in the shared scratch folder; and its row count.
+
+    The count is what decides about a broadcast: the optimiser's own estimate of a derived
+    table is far off, and adaptive execution learns the size only after the other side
+    has been shuffled.
+    """
+    seen = Observation()
+    path = new_scratch_dir(df.sparkSession, label)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
