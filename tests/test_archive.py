@@ -1,6 +1,7 @@
 """The stored archive: batches, retries, compaction, generations, streams."""
 
 import json
+import os
 
 import pytest
 from flows import at, make
@@ -164,6 +165,25 @@ def test_stream_of_files(spark, archive, tmp_path):
     assert {r.program for r in archive.flows().collect()} == {"live"}
 
 
+def test_stream_from_the_end_skips_older_files(spark, archive, tmp_path):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    for name, age in (("old", 1_000_000), ("new", 2_000_000)):
+        path = incoming / f"{name}.jsonl"
+        path.write_text(record(1, url=f"http://{name}.org/"))
+        os.utime(path, (age, age))
+    lines = stream_jsonl(spark, str(incoming), since=F.timestamp_seconds(F.lit(1_500_000)))
+    ingest_jsonl_stream(archive, lines, checkpoint=str(tmp_path / "c"), available_now=True).awaitTermination()
+    assert [r.host for r in archive.flows().collect()] == ["new.org"]
+
+
+def test_replays_are_stored_with_their_parent(spark, archive):
+    flows = make(spark, dict(replay_of=7, source_tool="repeater"), dict()).drop("id", "ingest_seq")
+    archive.ingest(flows, batch_id=0)
+    got = {r.id: r.replay_of for r in archive.flows().collect()}
+    assert sorted(got) == [1, 2] and set(got.values()) == {7, None}
+
+
 def test_older_files_without_a_column_read_as_null(spark, archive):
     flows = sample(spark)
     archive.ingest(flows, batch_id=0)

@@ -97,6 +97,11 @@ def test_index_covers_a_million_characters(spark):
     assert column(spark, [body], lambda v: word_tokens(indexable_text(v)), "binary") == [["a" * 999_999]]
 
 
+def test_index_without_markup(spark):
+    body = bytearray(b"<p class='x'>one<br>two</p")
+    assert column(spark, [body], lambda v: word_tokens(indexable_text(v, strip_markup=True)), "binary") == [["one", "two", "p"]]
+
+
 def test_word_tokens(spark):
     got = column(spark, ["The Fox, the fox_1! Ünïcode 42", "!!", ""], word_tokens)
     assert got == [["the", "fox", "fox_1", "ünïcode", "42"], [], []]

@@ -61,10 +61,13 @@ _STAGING_PARQUET = {"compression": "lz4_raw"}
 class Archive:
     """Reader and writer of one archive folder, which all executors must be able to reach."""
 
-    def __init__(self, spark: SparkSession, root: str, rules: RuleSet | None = None):
+    def __init__(
+        self, spark: SparkSession, root: str, rules: RuleSet | None = None, *, strip_markup: bool = False
+    ):
         self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.rules = rules or RuleSet()
+        self.strip_markup = strip_markup
 
     # -- reading ---------------------------------------------------------------------
 
@@ -259,7 +262,7 @@ class Archive:
             late = texts.join(known.where(~F.col("ever_text")).select("sha256"), "sha256", "left_semi")
             again = distinct_content(obs.join(late, "sha256", "left_semi"))
             indexable = indexable.unionByName(again)
-        self._write(text_index(indexable), "body_text", batch_id)
+        self._write(text_index(indexable, strip_markup=self.strip_markup), "body_text", batch_id)
 
     def _write_flows(self, good: DataFrame, stats: DataFrame, known: DataFrame, batch_id: int) -> None:
         names = list(self.rules.on_empty_text())

@@ -23,9 +23,13 @@ def utf8_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def indexable_text(content: Column) -> Column:
-    """The part of a body that is searchable: decoded, without NUL, length-bounded by the format."""
-    return F.substring(F.replace(utf8_text(content), F.lit("\0"), F.lit("")), 1, INDEXED_CHARS)
+def indexable_text(content: Column, *, strip_markup: bool = False) -> Column:
+    """The part of a body that is searchable: decoded, without NUL, length-bounded by the format.
+
+    ``strip_markup`` leaves tag names and attributes out of the words.
+    """
+    text = F.substring(F.replace(utf8_text(content), F.lit("\0"), F.lit("")), 1, INDEXED_CHARS)
+    return F.regexp_replace(text, "<[^>]*>", " ") if strip_markup else text
 
 
 def word_tokens(text: Column) -> Column:

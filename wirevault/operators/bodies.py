@@ -98,11 +98,10 @@ def distinct_content(obs: DataFrame) -> DataFrame:
     return dedup_bodies(obs).select("sha256", "size", "is_text", "ever_text", "content")
 
 
-def text_index(bodies: DataFrame) -> DataFrame:
+def text_index(bodies: DataFrame, *, strip_markup: bool = False) -> DataFrame:
     """``sha256, tokens`` for every distinct body that was ever served as text."""
-    return bodies.where("ever_text").select(
-        "sha256", word_tokens(indexable_text(F.col("content"))).alias("tokens")
-    )
+    text = indexable_text(F.col("content"), strip_markup=strip_markup)
+    return bodies.where("ever_text").select("sha256", word_tokens(text).alias("tokens"))
 
 
 def matching_bodies(body_text: DataFrame, phrase: str) -> DataFrame:
