@@ -51,6 +51,10 @@ JOIN documents d ON d.doc_id = k.doc_key
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat records of `CAPTURE_SQL`."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "pages", "documents")}
+    cores = spark.sparkContext.defaultParallelism
+    if tables["events"].rdd.getNumPartitions() < cores:
+        # A small events file is one split. Spread its narrow rows before texts are joined to them.
+        tables["events"] = tables["events"].repartition(cores)
     sql = CAPTURE_SQL
     for name in tables:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
