@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wirevault import schemas
 from wirevault.operators import bodies as B
-from wirevault.operators import detail, replay, rollup, search, stats
+from wirevault.operators import detail, joins, replay, rollup, search, stats
 from wirevault.operators.tagging import RULES, PythonRule, Rule, RuleSet, tag_flows
 
 
@@ -155,7 +155,7 @@ def test_split_of_hot_bodies_changes_nothing(spark, monkeypatch):
     assert salts and max(salts.values()) > 1
     key = lambda r: r.id
     broadcast = sorted(tag_flows(base, content).select("id", "fingerprints").collect(), key=key)
-    monkeypatch.setattr(B, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
     plain = sorted(tag_flows(base, content).select("id", "fingerprints").collect(), key=key)
     split = sorted(tag_flows(base, content, hot=hot).select("id", "fingerprints").collect(), key=key)
     assert broadcast == plain == split and len(split) == 60
@@ -302,6 +302,18 @@ def test_request_variants(spark):
     assert sent.first().h == {"A": "b"}
 
 
+def test_replays_of_a_hot_parent_are_split(spark, monkeypatch):
+    rows = [dict(replay_of=None if i < 2 else 2 if i > 2 else 1) for i in range(1, 61)]
+    flows = stored(make(spark, *rows))[0]
+    whole = {r.id: tuple(r) for r in replay.replay_pairs(flows).collect()}
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(replay, "hot_keys", lambda *a: joins.hot_keys(*a, share=10, floor=2))
+    assert {r.id: tuple(r) for r in replay.replay_pairs(flows).collect()} == whole and len(whole) == 59
+    assert replay._hot_parents(flows.where("replay_of is not null")).first().salts > 1
+    chain = {r.id: (r.root, r.depth) for r in replay.replay_chain(flows).collect()}
+    assert chain == {2: (1, 1), **{i: (1, 2) for i in range(3, 61)}}
+
+
 def test_replay_lineage(spark):
     parents = {2: 1, 3: 2, 4: 3, 5: 2, 7: 6, 8: 99}
     rows = [dict(replay_of=parents.get(i), status=200 + i % 2, duration_ms=i) for i in range(1, 9)]

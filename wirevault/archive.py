@@ -34,7 +34,6 @@ from pyspark.sql.types import StructType
 
 from . import schemas
 from .operators.bodies import (
-    BROADCAST_ROWS,
     body_stats,
     distinct_content,
     hot_bodies,
@@ -44,6 +43,7 @@ from .operators.bodies import (
     text_index,
     with_body_keys,
 )
+from .operators.joins import BROADCAST_ROWS
 from .operators.rollup import flow_agg, merge_shape_stats, shape_stats
 from .operators.tagging import RuleSet, tag_flows
 from .session import configure, path_exists, remove_path
@@ -324,14 +324,68 @@ class Archive:
         """
         seen = Observation()
         flows = self.flows().observe(seen, F.count(F.lit(1)).alias("n"))
-        self._snapshot("shape_stats", shape_stats(flows))
+        upto = self._max("batch")
+        if upto is None:
+            return 0
+        self._snapshot("shape_stats", shape_stats(flows), upto=upto)
         return seen.get["n"]
 
     def compact(self) -> None:
-        """Fold the per-batch counters into one snapshot each and renew the list of hot bodies."""
-        self._snapshot("body_stats", merge_body_stats(self._deltas("body_stats", schemas.BODY_STATS)))
-        self._snapshot("shape_stats", merge_shape_stats(self._deltas("shape_stats", schemas.SHAPE_STATS)))
-        self._list_hot_bodies(self._max("batch"))
+        """Fold the per-batch counters into one snapshot each and renew the list of hot bodies.
+
+        The last batch stays a delta, so that a stream may still repeat it.
+        """
+        last = self._max("batch")
+        if last is None:
+            return
+        self._list_hot_bodies(last)
+        if last == 0:
+            return
+        for table, schema, merge in (
+            ("body_stats", schemas.BODY_STATS, merge_body_stats),
+            ("shape_stats", schemas.SHAPE_STATS, merge_shape_stats),
+        ):
+            self._snapshot(table, merge(self._deltas(table, schema, before=last)), upto=last - 1)
+
+    def vacuum(self) -> None:
+        """Delete files that newer snapshots and generations replaced, and fold their registry rows.
+
+        Run it when no reader that started before the last `compact` or `retag` is active.
+        """
+        last = self._max("batch")
+        if last is None:
+            return
+        batches = [r["n"] for r in self._registry().where("kind = 'batch'").select("n").collect()]
+        folded_upto = []
+        for table in ("body_stats", "shape_stats"):
+            n, upto = self._latest(table, before=last)
+            folded_upto.append(-1 if upto is None else upto)
+            self._drop(f"{table}/batch_id", [b for b in batches if upto is not None and b <= upto])
+            self._forget(table, f"{table}_snapshot/n", n)
+        gen, upto = self._latest("flows")
+        if gen is not None:
+            self._drop("flows/gen=0/batch_id", [b for b in batches if b <= upto])
+            self._forget("flows", "flows/gen", gen)
+        self._forget("hot_bodies", "hot_bodies/n", self._latest("hot_bodies")[0])
+        settled = [b for b in batches if b <= min(folded_upto)]
+        if len(settled) > 1:
+            row = (
+                self._registry().where((F.col("kind") == "batch") & (F.col("n") <= max(settled)))
+                .agg(F.max("last_id").alias("i"), F.sum("written").alias("w"), F.sum("rejected").alias("r")).first()
+            )
+            self._register("batch", max(settled), max(settled), row["i"], row["w"], row["r"])
+            self._drop("registry/kind=batch/n", sorted(settled)[:-1])
+
+    def _forget(self, kind: str, folder: str, newest: int | None) -> None:
+        """Drop all but the newest entry of a kind, files and registry rows."""
+        entries = self._registry().where(F.col("kind") == kind).select("n").collect()
+        old = [r["n"] for r in entries if newest is not None and r["n"] < newest]
+        self._drop(f"registry/kind={kind}/n", old)
+        self._drop(folder, old)
+
+    def _drop(self, folder: str, numbers: list[int]) -> None:
+        for n in numbers:
+            remove_path(self.spark, f"{self.root}/{folder}={n}")
 
     def _list_hot_bodies(self, upto: int | None) -> None:
         if upto is None:
@@ -340,10 +394,7 @@ class Archive:
         hot_bodies(self.body_stats()).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/hot_bodies/n={n}")
         self._register("hot_bodies", n, upto)
 
-    def _snapshot(self, table: str, folded: DataFrame) -> None:
-        upto = self._max("batch")
-        if upto is None:
-            return
+    def _snapshot(self, table: str, folded: DataFrame, *, upto: int) -> None:
         n = (self._latest(table)[0] or 0) + 1
         folded.write.mode("overwrite").options(**_PARQUET).parquet(f"{self.root}/{table}_snapshot/n={n}")
         self._register(table, n, upto)

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import content_key
 from ..functions.text import has_all_words, indexable_text, is_text_type, word_tokens
+from .joins import hot_keys, lookup
 
 # Copies of one body that survive the first content aggregation, see `dedup_bodies`.
 CONTENT_SALTS = 64
-# Most rows of keys and flags that a join broadcasts: some 20 MB.
-BROADCAST_ROWS = 200_000
 
 
 def with_body_keys(flows: DataFrame) -> DataFrame:
@@ -109,18 +108,9 @@ def matching_bodies(body_text: DataFrame, phrase: str) -> DataFrame:
     return body_text.where(has_all_words(F.col("tokens"), phrase)).select("sha256")
 
 
-def hot_bodies(stats: DataFrame, *, share: int = 1000, floor: int = 1_000_000) -> DataFrame:
-    """``sha256, salts`` of the bodies whose rows need splitting in a join.
-
-    A body is hot when it holds at least ``1/share`` of all observations, so there are at
-    most ``share`` hot bodies however large the archive is. That bound is what makes the
-    list safe to broadcast.
-    """
-    total = stats.agg(F.coalesce(F.sum("seen_count"), F.lit(0)).alias("n")).scalar()
-    limit = F.greatest(F.lit(floor), F.ceil(total / share))
-    return stats.where(F.col("seen_count") >= limit).select(
-        "sha256", F.ceil(F.col("seen_count") / limit).cast("int").alias("salts")
-    )
+def hot_bodies(stats: DataFrame, **limits: int) -> DataFrame:
+    """``sha256, salts`` of the bodies whose flows need splitting in a join, see `joins.hot_keys`."""
+    return hot_keys(stats.select("sha256", "seen_count"), "sha256", "seen_count", **limits)
 
 
 def join_bodies(
@@ -130,34 +120,6 @@ def join_bodies(
     *,
     rows: int | None = None,
     hot: DataFrame | None = None,
-    row_id: str = "id",
 ) -> DataFrame:
-    """Left join ``flows`` to rows of ``bodies`` (unique ``sha256`` plus payload columns).
-
-    With a known number of ``rows`` of a narrow payload, up to `BROADCAST_ROWS` of them are
-    broadcast and the flows stay where they are. Otherwise both sides are shuffled:
-
-    * Flows without a body get a filler key of their own, so that they spread over all
-      tasks instead of meeting in the one that owns null.
-    * With ``hot`` (from `hot_bodies`) the flows of a hot body are split over several
-      salts, and that body's row is repeated once per salt. Without it, splitting is
-      left to adaptive execution.
-    """
-    right = bodies.withColumnRenamed("sha256", "_key")
-    if rows is not None and rows <= BROADCAST_ROWS:
-        return flows.join(F.broadcast(right), F.col(key) == F.col("_key"), "left").drop("_key")
-    filler = F.concat(F.lit("-"), F.col(row_id).cast("string"))
-    left = flows.withColumn("_key", F.coalesce(F.col(key), filler))
-    on = ["_key"]
-    if hot is not None:
-        spread = F.broadcast(hot.select(F.col("sha256").alias("_key"), F.col("salts").alias("_salts")))
-        left = left.join(spread, "_key", "left").withColumn(
-            "_salt",
-            F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"), F.lit(0)),
-        )
-        right = right.join(spread, "_key", "left").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-        )
-        left, right = left.drop("_salts"), right.drop("_salts")
-        on = ["_key", "_salt"]
-    return left.join(right, on, "left").drop(*on)
+    """Left join ``flows`` to rows of ``bodies`` (unique ``sha256`` plus payload), see `joins.lookup`."""
+    return lookup(flows, bodies, key, table_key="sha256", table_rows=rows, hot=hot)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.headers import EMPTY_MAP, HOP_HEADERS, or_empty, without
 from ..functions.text import non_empty
 from ..functions.urls import split_url
 from ..session import new_scratch_dir
+from .joins import hot_keys, lookup
 
 
 def _mutated_headers(headers: Column, set_headers: Column, unset_headers: Column) -> Column:
@@ -95,8 +96,8 @@ def sendable_headers(headers: Column) -> Column:
 def replay_pairs(flows: DataFrame) -> DataFrame:
     """Each replay next to its parent: status, body and duration changes.
 
-    Flows that replay nothing are dropped before the join, so only replays and the flows
-    they point at are shuffled on the id.
+    Flows that replay nothing are dropped from one side before the join; the other side is
+    cut to the four columns that are compared.
     """
     child = flows.where(F.col("replay_of").isNotNull()).select(
         "id", "replay_of",
@@ -105,12 +106,13 @@ def replay_pairs(flows: DataFrame) -> DataFrame:
         F.col("duration_ms").alias("duration_ms"),
     )
     parent = flows.select(
-        F.col("id").alias("replay_of"),
+        F.col("id").alias("parent_id"),
         F.col("status").alias("parent_status"),
         F.col("resp_body_sha").alias("parent_body_sha"),
         F.col("duration_ms").alias("parent_duration_ms"),
     )
-    return child.join(parent, "replay_of").select(
+    paired = lookup(child, parent.withColumn("_found", F.lit(True)), "replay_of", table_key="parent_id", hot=_hot_parents(child))
+    return paired.where("_found").select(
         "id",
         "replay_of",
         "parent_status",
@@ -121,6 +123,12 @@ def replay_pairs(flows: DataFrame) -> DataFrame:
     )
 
 
+def _hot_parents(replays: DataFrame) -> DataFrame:
+    """Flows that so many others replay that one task should not own all of them."""
+    counts = replays.groupBy(F.col("replay_of").alias("parent_id")).agg(F.count("*").alias("n"))
+    return hot_keys(counts, "parent_id", "n")
+
+
 def replay_chain(flows: DataFrame, *, max_rounds: int = 62) -> DataFrame:
     """``id, root, depth`` of every replay: the first ancestor and the number of steps to it.
 
@@ -131,22 +139,29 @@ def replay_chain(flows: DataFrame, *, max_rounds: int = 62) -> DataFrame:
     """
     spark = flows.sparkSession
     state = flows.where(F.col("replay_of").isNotNull()).select(
-        "id", F.col("replay_of").alias("to"), F.lit(1).cast("bigint").alias("depth"), F.lit(False).alias("done")
+        "id", "replay_of", F.lit(1).cast("bigint").alias("depth"), F.lit(False).alias("done")
     )
     folder = new_scratch_dir(spark, "replay-chain")
     for step in range(max_rounds):
-        state.write.parquet(f"{folder}/round={step}")
+        seen = Observation()
+        state.observe(
+            seen, F.count(F.lit(1)).alias("all"), F.count_if(~F.col("done")).alias("open")
+        ).write.parquet(f"{folder}/round={step}")
         state = spark.read.schema(state.schema).parquet(f"{folder}/round={step}")
+        if seen.get["open"] == 0:
+            return state.select("id", F.col("replay_of").alias("root"), "depth")
         open_ends = state.where(~F.col("done"))
-        if open_ends.isEmpty():
-            return state.select("id", F.col("to").alias("root"), "depth")
         target = state.select(
-            F.col("id").alias("to"), F.col("to").alias("next"),
+            F.col("id").alias("parent_id"), F.col("replay_of").alias("next"),
             F.col("depth").alias("further"), F.col("done").alias("next_done"),
         )
-        moved = open_ends.drop("done").join(target, "to", "left").select(
+        reached = lookup(
+            open_ends.drop("done"), target, "replay_of", table_key="parent_id",
+            table_rows=seen.get["all"], hot=_hot_parents(open_ends),
+        )
+        moved = reached.select(
             "id",
-            F.coalesce("next", "to").alias("to"),
+            F.coalesce("next", "replay_of").alias("replay_of"),
             (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
             F.coalesce("next_done", F.lit(True)).alias("done"),
         )
