@@ -14,18 +14,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _pretty(text: str | None) -> str | None:
-    try:
-        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-    except (TypeError, ValueError, RecursionError):
-        return text
-
-
 def pretty_json(text: Column) -> Column:
     """Indented JSON, or the text itself when it does not parse."""
 
+    # Nested, so that it travels with the UDF and executors need not have this package.
+    def indented(value: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(value), indent=2, ensure_ascii=False)
+        except (TypeError, ValueError, RecursionError):
+            return value
+
     @F.pandas_udf("string")
     def pretty(values: pd.Series) -> pd.Series:
-        return values.map(_pretty)
+        return values.map(indented)
 
     return pretty(text)
