@@ -220,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "search_tech": _found("list_has_all(tag_list, ['nginx', 'apigee'])"),
         "search_host": _found("host ILIKE '%BLOG.%'"),
         "search_host_pattern": _found("host ILIKE '%th_r%org%'", None),
-        "search_host_literal": _found("contains(host, 'th_r%org')", None),
+        "search_host_literal": _found("contains(host, 'example.o')", None),
         "search_status": _found("status = 403"),
         "search_method": _found("method = 'POST'"),
         "search_program": _found("program = 'prog-3'"),

@@ -510,7 +510,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_tech": _search(tech=["nginx", "apigee"]),
         "search_host": _search(host="BLOG."),
         "search_host_pattern": _search(host="th_r%org", limit=None),
-        "search_host_literal": _search(host="th_r%org", literal=True, limit=None),
+        "search_host_literal": _search(host="EXAMPLE.O", literal=True, limit=None),
         "search_status": _search(status=403),
         "search_method": _search(method="post"),
         "search_program": _search(program="prog-3"),
