@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import mixing, quality, sharding
+from . import mixing, neardup, oracle, quality, sharding
 from .common import table
 
 
+def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(configure(spark), sf_dir, "documents"), shingle=4)
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.placed_records(table(configure(spark), sf_dir, "documents"), 40)
     return placed.select(
@@ -35,8 +39,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_virtual_slots, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op4_odd_sketches, op7_virtual_slots, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_odd_sketches": oracle.OP4}
