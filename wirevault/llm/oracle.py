@@ -23,3 +23,40 @@ reach AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN c USING (doc_id)
 """
+
+# Common words of a document and an item that stand at one offset to each other form runs; the
+# longest run is the longest verbatim match, and only runs with a whole window count.
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), bw AS (SELECT item_id, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p, w FROM b WHERE len(w) > 0),
+win AS (SELECT item_id, m, p AS q, array_to_string(w[p:p + m - 1], ' ') AS g FROM bw),
+sizes AS (SELECT DISTINCT m FROM win),
+dw AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m),
+occ AS (
+  SELECT dw.doc_id, win.item_id, dw.p, win.q, win.m
+  FROM dw JOIN win ON win.m = dw.m AND win.g = array_to_string(dw.w[dw.p:dw.p + dw.m - 1], ' ')
+), hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS k FROM occ) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids
+  FROM occ GROUP BY doc_id
+), run AS (
+  SELECT doc_id, max(n) AS longest FROM (
+    SELECT doc_id, count(*) + any_value(m) - 1 AS n FROM (
+      SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS r FROM (SELECT DISTINCT * FROM occ)
+    ) GROUP BY doc_id, item_id, p - q, r
+  ) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN run USING (doc_id)
+"""

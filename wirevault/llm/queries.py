@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import mixing, neardup, oracle, quality, sharding
+from . import decontam, mixing, neardup, oracle, quality, sharding
 from .common import table
 
 
@@ -16,6 +16,16 @@ def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(configure(spark), sf_dir, "documents"), shingle=4)
 
 
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(configure(spark), sf_dir, t) for t in ("documents", "benchmark"))
+    return decontam.marked(docs.select("doc_id", "text"), benchmark).select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
+        (F.col("_n_hit") > 0).alias("contaminated"), F.col("_longest").alias("longest_match"),
+    )
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.placed_records(table(configure(spark), sf_dir, "documents"), 40)
     return placed.select(
@@ -39,8 +49,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_odd_sketches, op7_virtual_slots, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op4_odd_sketches, op6_suffix_arrays, op7_virtual_slots, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_odd_sketches": oracle.OP4}
+    return {"op4_odd_sketches": oracle.OP4, "op6_suffix_arrays": oracle.OP6}
