@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontam, mixing, neardup, oracle, quality, sharding
+from . import decontam, langid, mixing, neardup, oracle, quality, sharding
 from .common import table
 
 
+def op3_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    profiles = langid.prototypes(docs.where(~F.col("held_out")))
+    found = langid.identified(docs.select("doc_id", "held_out", "text"), profiles)
+    return found.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(configure(spark), sf_dir, "documents"), shingle=4)
 
@@ -49,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_odd_sketches, op6_suffix_arrays, op7_virtual_slots, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op3_hyperdimensional, op4_odd_sketches, op6_suffix_arrays, op7_virtual_slots, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
