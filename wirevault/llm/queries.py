@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontam, langid, mixing, neardup, oracle, quality, sharding
+from . import decontam, langid, mixing, neardup, oracle, quality, secrets, sharding, tokens
 from .common import table
 
 
+def op1_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository, its source for the owner."""
+    docs = table(configure(spark), sf_dir, "documents")
+    found = secrets.secrets(docs, repository=F.col("doc_id"), owner=F.col("source"))
+
+    def places(keep) -> Column:
+        kept = F.filter("findings", keep)
+        return F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f["kind"], f["start"], f["stop"])), ",")
+
+    def number(field: str, value: str) -> Column:
+        return F.size(F.filter("findings", lambda f: f[field] == value)).cast("long").alias(f"n_{value}")
+
+    return found.select(
+        "doc_id", *(number("kind", kind) for kind in secrets.KINDS[:3]),
+        F.sha2(places(lambda f: f["kind"] != "opaque"), 256).alias("base_sha256"),
+        places(lambda f: F.lit(True)).alias("spans"),
+        number("verdict", "live"), number("verdict", "example"),
+    )
+
+
 def op3_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(configure(spark), sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     profiles = langid.prototypes(docs.where(~F.col("held_out")))
@@ -47,6 +67,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op9_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(configure(spark), sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(configure(spark), sf_dir, t) for t in ("documents", "labels"))
     return quality.judge_quality(docs, labels).select(
@@ -56,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hyperdimensional, op4_odd_sketches, op6_suffix_arrays, op7_virtual_slots, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_ownership, op3_hyperdimensional, op4_odd_sketches, op6_suffix_arrays, op7_virtual_slots, op8_mixing, op9_trie_tokens, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
