@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontam, langid, mixing, neardup, oracle, quality, secrets, sharding, tokens
+from . import decontam, langid, lines, mixing, neardup, oracle, quality, secrets, sharding, tokens, urls
 from .common import table
 
 
@@ -32,6 +32,13 @@ def op1_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated_lines(table(configure(spark), sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.md5("line").alias("line_md5"), "n_copies", "n_links", F.md5("class_line").alias("class_md5"), "kept"
+    )
+
+
 def op3_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(configure(spark), sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     profiles = langid.prototypes(docs.where(~F.col("held_out")))
@@ -43,6 +50,12 @@ def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(configure(spark), sf_dir, "documents"), shingle=4)
 
 
+def op5_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs that a rule decides are the labelled ones."""
+    pages = table(configure(spark), sf_dir, "pages")
+    return urls.judged(pages, urls.fit(urls.rule_labels(pages))).withColumn("score", F.round("score", 6))
+
+
 def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (table(configure(spark), sf_dir, t) for t in ("documents", "benchmark"))
     return decontam.marked(docs.select("doc_id", "text"), benchmark).select(
@@ -80,7 +93,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ownership, op3_hyperdimensional, op4_odd_sketches, op6_suffix_arrays, op7_virtual_slots, op8_mixing, op9_trie_tokens, op10_quality)}
+    return {f.__name__: f for f in (
+        op1_ownership, op2_edit_join, op3_hyperdimensional, op4_odd_sketches, op5_boosted_trees,
+        op6_suffix_arrays, op7_virtual_slots, op8_mixing, op9_trie_tokens, op10_quality,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
