@@ -282,3 +282,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     linked = usable.select("doc_id", "n_shingles", "digest").join(of_class, "digest").drop("digest")
     alone = sketched.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of every group, with the columns it came with.
+
+    Repeated rows of the kept id and text are one; rows without an id all stay.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), shingle=shingle, percent=percent)
+    ids = kept.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    chosen = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
