@@ -7,16 +7,33 @@ it keeps, with their columns. Each stage's result is written as Parquet and rere
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wirevault.llm import mixing, sharding
-from wirevault.llm.common import stored
+from wirevault.llm import decontam, langid, mixing, neardup, sharding
+from wirevault.llm.common import stored, table
 from wirevault.session import configure
 
 SHARDS = 40
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from the labelled ones; the rest goes."""
+    profiles = langid.prototypes(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.accepted(docs, profiles)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return neardup.without_near_duplicates(docs)
+
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a run of ten words of a benchmark item."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix draws them; at a quota's end one is cut."""
+    """The documents as often as the mix draws them; one of a source is cut at its quota's end."""
     return mixing.mixture(docs).select(*docs.columns)
 
 
@@ -25,15 +42,21 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, SHARDS)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("language ID", known_language),
+    ("near-duplicates", one_of_each),
+    ("decontamination", clean_of_benchmarks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
-# Language models of letters and sketches have no SQL equivalent.
+# Profiles of letters and sketches of shingles have no SQL equivalent.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(configure(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
