@@ -25,16 +25,23 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
 
-def ngram_classes(w: Column, buckets: int = BUCKETS) -> Column:
+def _neighbours(left: Column, right: Column, gap: int, n: Column) -> Column:
+    """Hashes of left[i] with right[i + gap], `n` of them at most."""
+    size = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), size), F.slice(right, F.lit(1 + gap), size), lambda a, b: F.xxhash64(a, b))
+
+
+def pair_hashes(w: Column) -> Column:
+    """A hash of every word with the next."""
+    return _neighbours(w, w, 1, F.size(w) - 1)
+
+
+def ngram_classes(w: Column, pairs: Column, buckets: int = BUCKETS) -> Column:
     """Hash classes of the words and of the pairs of neighbours."""
-    n = F.size(w)
-    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    pairs = F.zip_with(
-        F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(single, pairs)
+    def wrap(h: Column) -> Column:
+        return F.pmod(h, F.lit(buckets)).cast("int")
+
+    return F.concat(F.transform(w, lambda x: wrap(F.xxhash64(x))), F.transform(pairs, wrap))
 
 
 def trusted_ids(labels: DataFrame, *, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -53,8 +60,9 @@ def log_ratios(
     marked = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("_trusted"))), "doc_id", "left"
     )
+    split = marked.select("_trusted", words(F.col("text")).alias("_w")).withColumn("_pairs", pair_hashes(F.col("_w")))
     counts = (
-        marked.select("_trusted", F.explode(ngram_classes(words(F.col("text")), buckets)).alias("_class"))
+        split.select("_trusted", F.explode(ngram_classes(F.col("_w"), F.col("_pairs"), buckets)).alias("_class"))
         .groupBy("_class")
         .agg(F.count("*").alias("_corpus"), F.count("_trusted").alias("_good"))
     )
@@ -75,28 +83,28 @@ def log_ratios(
     )
 
 
-def repeated_words(windows: Column, size: int = WINDOW) -> Column:
-    """Number of words inside windows that occur twice; `windows` is sorted by hash, then place."""
-    twice = F.filter(
-        windows,
-        lambda x, k: (x["h"] == F.get(windows, k - 1)["h"]) | (x["h"] == F.get(windows, k + 1)["h"]),
+def window_hashes(w: Column, pairs: Column) -> Column:
+    """A hash of every run of `WINDOW` words: two pairs and the word after them."""
+    n = F.size(w)
+    return _neighbours(_neighbours(pairs, pairs, 2, n - 3), w, WINDOW - 1, n - WINDOW + 1)
+
+
+def repeated_words(windows: Column) -> Column:
+    """Number of words inside windows that occur twice; only where any does, windows are sorted."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<h: bigint, i: int>")), placed)
+    pairs = F.filter(
+        F.zip_with(placed, before, lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
+        lambda p: p["x"]["h"] == p["y"]["h"],
     )
-    places = F.array_sort(F.transform(twice, lambda x: x["i"]))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-size).alias("last"))
-    return F.aggregate(
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p["x"]["i"], p["y"]["i"])))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
+    covered = F.aggregate(
         places, start,
-        lambda acc, p: F.struct((acc["n"] + F.least(F.lit(size), p - acc["last"])).alias("n"), p.alias("last")),
+        lambda acc, p: F.struct((acc["n"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("n"), p.alias("last")),
         lambda acc: acc["n"],
     )
-
-
-def window_hashes(w: Column, size: int = WINDOW) -> Column:
-    n = F.size(w)
-    hashed = F.transform(
-        F.sequence(F.lit(0), n - size),
-        lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, size)).alias("h"), i.alias("i")),
-    )
-    return F.when(n >= size, F.array_sort(hashed)).otherwise(F.expr("CAST(array() AS array<struct<h: bigint, i: int>>)"))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0).cast("long"))
 
 
 def without(text: Column, chars: str) -> Column:
@@ -127,12 +135,12 @@ def judge_quality(
         F.length(without(text, BLANK_CHARS)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
-    ).select(
-        "doc_id", "word_chars", "n_symbols", "_w",
+    ).withColumn("_pairs", pair_hashes(F.col("_w"))).select(
+        "doc_id", "word_chars", "n_symbols",
         F.size("_w").cast("long").alias("n_words"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        window_hashes(F.col("_w")).alias("_windows"),
-        ngram_classes(F.col("_w"), buckets).alias("_classes"),
+        window_hashes(F.col("_w"), F.col("_pairs")).alias("_windows"),
+        ngram_classes(F.col("_w"), F.col("_pairs"), buckets).alias("_classes"),
     )
     total = F.aggregate("_classes", F.lit(0.0), lambda acc, c: acc + F.get(ratios, c))
     scored = counted.select(
