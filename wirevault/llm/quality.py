@@ -89,22 +89,26 @@ def window_hashes(w: Column, pairs: Column) -> Column:
     return _neighbours(_neighbours(pairs, pairs, 2, n - 3), w, WINDOW - 1, n - WINDOW + 1)
 
 
-def repeated_words(windows: Column) -> Column:
-    """Number of words inside windows that occur twice; only where any does, windows are sorted."""
+def placed_repeats(windows: Column) -> Column:
+    """Hashes with places, sorted, of texts in which a window repeats; nothing for others."""
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    before = F.concat(F.array(F.lit(None).cast("struct<h: bigint, i: int>")), placed)
-    pairs = F.filter(
-        F.zip_with(placed, before, lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
-        lambda p: p["x"]["h"] == p["y"]["h"],
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    return F.when(repeats, placed).otherwise(F.expr("CAST(array() AS array<struct<h: bigint, i: int>>)"))
+
+
+def repeated_words(placed: Column) -> Column:
+    """Number of words inside windows that occur twice or more; `placed` is a stored column."""
+    twice = F.filter(
+        placed,
+        lambda x, k: (x["h"] == F.get(placed, k - 1)["h"]) | (x["h"] == F.get(placed, k + 1)["h"]),
     )
-    places = F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p["x"]["i"], p["y"]["i"])))))
+    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
-    covered = F.aggregate(
+    return F.aggregate(
         places, start,
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("n"), p.alias("last")),
         lambda acc: acc["n"],
     )
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0).cast("long"))
 
 
 def without(text: Column, chars: str) -> Column:
@@ -142,10 +146,11 @@ def judge_quality(
         window_hashes(F.col("_w"), F.col("_pairs")).alias("_windows"),
         ngram_classes(F.col("_w"), F.col("_pairs"), buckets).alias("_classes"),
     )
+    counted = counted.withColumn("_placed", placed_repeats(F.col("_windows")))
     total = F.aggregate("_classes", F.lit(0.0), lambda acc, c: acc + F.get(ratios, c))
     scored = counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words(F.col("_windows")).alias("n_repeat_words"),
+        repeated_words(F.col("_placed")).alias("n_repeat_words"),
         F.when(F.size("_classes") > 0, total / F.size("_classes")).alias("llr"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
