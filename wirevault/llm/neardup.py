@@ -36,6 +36,7 @@ SKETCH_BITS = 512
 # The estimate's standard error at a similarity of 0.8 is 0.03: floor = 0.8 - 5 * 0.03.
 ESTIMATE_MARGIN = 0.15
 BLOCK = 256
+HOME = 128
 
 _rng = np.random.default_rng(977)
 _FACTOR = (_rng.integers(0, 1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -154,9 +155,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -
                 right = right.as_py()
                 if right != hub:
                     hub, hub_set = right, shingle_set(right, shingle)
-                own = shingle_set(left.as_py(), shingle)
-                common = len(np.intersect1d(own, hub_set, assume_unique=True))
-                keep.append(100 * common >= percent * (len(own) + len(hub_set) - common) > 0)
+                keep.append(_similar(shingle_set(left.as_py(), shingle), hub_set, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -180,8 +179,8 @@ def _most_differing(similarity: float) -> int:
 def _cross_pairs(members: DataFrame, most: int) -> DataFrame:
     """Pairs of a block's members of different components whose sketches differ in `most` bits at most.
 
-    `members`: bucket, node, component, odd and `n`, the bucket's size. Members are dealt to blocks
-    of about `BLOCK`, and every pair of blocks is one row of two short lists.
+    `members`: bucket, node, component, home, odd and `n`, the bucket's size. Members are dealt to
+    blocks of about `BLOCK`, and every pair of blocks is one row of two short lists.
     """
     dealt = members.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
         "_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
@@ -189,15 +188,15 @@ def _cross_pairs(members: DataFrame, most: int) -> DataFrame:
     spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     blocks = spread.groupBy(
         "bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
-    ).agg(F.collect_list(F.struct("node", "component", "_own", "odd")).alias("members"))
+    ).agg(F.collect_list(F.struct("node", "component", "home", "_own", "odd")).alias("members"))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             lists = batch.column("members")
             for k in range(batch.num_rows):
                 own = lists[k].values
-                node, comp, block = (own.field(f).to_numpy() for f in ("node", "component", "_own"))
+                node, comp, home, block = (own.field(f).to_numpy() for f in ("node", "component", "home", "_own"))
                 odd = own.field("odd").flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
                 within = batch.column("_i")[k] == batch.column("_j")[k]
                 first = np.arange(len(node)) if within else np.flatnonzero(block == block.min())
@@ -207,14 +206,72 @@ def _cross_pairs(members: DataFrame, most: int) -> DataFrame:
                     rest = rest[comp[rest] != comp[i]]
                     bits = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1)
                     near = bits <= most
-                    out[0].append(np.maximum(node[rest][near], node[i]))
-                    out[1].append(np.minimum(node[rest][near], node[i]))
-                    out[2].append(bits[near].astype(np.int64))
+                    rest, bits = rest[near], bits[near].astype(np.int64)
+                    later = node[rest] > node[i]
+                    for k, column in enumerate((node, home)):
+                        out[2 * k].append(np.where(later, column[rest], column[i]))
+                        out[2 * k + 1].append(np.where(later, column[i], column[rest]))
+                    out[4].append(bits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.empty(0, np.int64), *c])) for c in out], names=["a", "b", "bits"]
+                [pa.array(np.concatenate([np.empty(0, np.int64), *c])) for c in out], names=["a", "b", "ha", "hb", "bits"]
             )
 
-    return blocks.mapInArrow(batches, "a bigint, b bigint, bits bigint")
+    return blocks.mapInArrow(batches, "a bigint, b bigint, ha bigint, hb bigint, bits bigint").groupBy(
+        "a", "b", "ha", "hb"
+    ).agg(F.min("bits").alias("bits"))
+
+
+def _cross_links(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """Links among `pairs` (a, b, ha, hb, bits) of different components, as far as they join any.
+
+    Pairs are gathered by the homes of both ends. A home has about `HOME` nodes, so a group is
+    bounded, and a text is sent once per group rather than once per pair. In a group the likeliest
+    pairs come first, and pairs that its links have already joined are passed over.
+    """
+    groups = pairs.groupBy("ha", "hb").agg(F.sort_array(F.collect_list(F.struct("bits", "a", "b"))).alias("pairs"))
+    ends = pairs.select("ha", "hb", F.col("a").alias("node")).union(pairs.select("ha", "hb", "b")).distinct()
+    gathered = ends.join(texts, "node").groupBy("ha", "hb").agg(F.collect_list(F.struct("node", "component", "text")).alias("texts"))
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            found = []
+            for pairs, texts in zip(batch.column("pairs"), batch.column("texts")):
+                text = {t["node"].as_py(): t for t in texts}
+                head = {node: t["component"].as_py() for node, t in text.items()}
+                sets: dict[int, np.ndarray] = {}
+
+                def root(c: int, up: dict[int, int]) -> int:
+                    while up.get(c, c) != c:
+                        c = up[c]
+                    return c
+
+                up: dict[int, int] = {}
+                for pair in pairs:
+                    a, b = pair["a"].as_py(), pair["b"].as_py()
+                    ra, rb = root(head[a], up), root(head[b], up)
+                    if ra == rb:
+                        continue
+                    for node in (a, b):
+                        if node not in sets:
+                            sets[node] = shingle_set(text[node]["text"].as_py(), shingle)
+                    if _similar(sets[a], sets[b], percent):
+                        up[max(ra, rb)] = min(ra, rb)
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
+
+    return groups.join(gathered, ["ha", "hb"]).select("pairs", "texts").mapInArrow(batches, "a bigint, b bigint")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two non-empty sorted sets are similar enough; sizes too different need no look."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -240,43 +297,37 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     members = stored(bucketed.join(shared.select("bucket", "pivot"), "bucket"), "members")
 
     odd = nodes.select("node", "odd")
+    lowest = members.groupBy("node").agg(F.min("pivot").alias("pivot"))
+    sizes = lowest.groupBy("pivot").agg(F.ceil(F.count("*") / HOME).alias("_homes"))
     texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node").distinct(), "node"), "texts"
+        docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
+            lowest.join(sizes, "pivot").select(
+                "node", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("_homes"))).alias("home")
+            ),
+            "node",
+        ),
+        "texts",
     )
     floor = _most_differing(percent / 100 - ESTIMATE_MARGIN)
     check = {"shingle": shingle, "percent": percent}
 
-    stars = members.groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b")).where("b < a")
+    stars = lowest.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where("b < a")
     near = (
         stars.join(odd.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a")
         .join(odd.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
         .where(_differing() <= floor)
     )
-    links = stored(_linked(near, texts, **check), "links")
+    links = stored(_linked(near, texts.select("node", "text"), **check), "links")
     reached = stored(components(links), "components")
 
-    placed = (
-        members.select("bucket", "node").distinct().join(reached, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
+    known = texts.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.select("bucket", "node").distinct().join(known.select("node", "component", "home").distinct(), "node")
     mixed = placed.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where("_low < _high").select("bucket", "n")
-    cross = stored(
-        _cross_pairs(placed.join(mixed, "bucket").join(odd, "node"), floor)
-        .groupBy("a", "b").agg(F.min("bits").alias("bits")),
-        "cross",
-    )
-    likely = _most_differing(percent / 100)
-    for part in (F.col("bits") <= likely, F.col("bits") > likely):
-        open_pairs = (
-            cross.where(part)
-            .join(reached.select(F.col("node").alias("a"), F.col("component").alias("_ca")), "a", "left")
-            .join(reached.select(F.col("node").alias("b"), F.col("component").alias("_cb")), "b", "left")
-            .where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
-        )
-        links = links.union(stored(_linked(open_pairs, texts, **check), "links"))
-        reached = stored(components(links), "components")
+    cross = stored(_cross_pairs(placed.join(mixed, "bucket").join(odd, "node"), floor), "cross")
+    links = links.union(stored(_cross_links(cross, known.select("node", "component", "text"), **check), "links"))
+    reached = stored(components(links), "components")
 
     of_class = classes.join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = usable.select("doc_id", "n_shingles", "digest").join(of_class, "digest").drop("digest")
