@@ -1,0 +1,103 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wirevault.llm import langid, queries, urls
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = queries.op3_hyperdimensional(spark, sf).collect()
+    assert len(rows) == len(lang)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    own = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out]
+    assert len(own) > 100 and np.mean(own) > 0.98
+
+
+def brute_vector(text):
+    symbols = [0]
+    for c in text or "":
+        low = c.lower()
+        symbols.append(ord(low if len(low) == 1 else c) if c.isalpha() else 0)
+    symbols = [s for k, s in enumerate([*symbols, 0]) if s or k == 0 or [*symbols, 0][k - 1]]
+    total = np.zeros(langid.DIMENSIONS)
+    for k in range(len(symbols) - 2):
+        total += np.prod([np.roll(langid.letter_vector(s), 2 - j).astype(float) for j, s in enumerate(symbols[k : k + 3])], axis=0)
+    return total
+
+
+@pytest.mark.parametrize("text", ["a", "Ab, c!", "été ß 漢字 x1y", "  x  ", "aaa bbb aaa " * 50])
+def test_bundles_match_brute_force(text, monkeypatch):
+    want = brute_vector(text)
+    assert np.array_equal(langid.bundles([langid.ngram_counts(text)])[0], want)
+    monkeypatch.setattr(langid, "_SLICE", 3)
+    assert np.array_equal(langid.bundles([langid.ngram_counts(text)])[0], want)
+
+
+def test_language_odd_rows(spark, frame, odd_rows):
+    docs = frame([*odd_rows, (20, "1234 !?", "en", "a")])
+    profiles = langid.prototypes(docs)
+    assert sorted(r.lang for r in profiles.collect()) == ["en", "fr"]
+    rows = langid.identified(docs, profiles).collect()
+    assert len(rows) == len(odd_rows) + 1
+    assert all((r._lang == "und") == (not any(map(str.isalpha, r.text or ""))) for r in rows)
+    assert {r._lang for r in rows if r.doc_id in (5, 6)} == {"fr"}
+    assert {r._lang for r in langid.identified(docs, profiles.limit(0)).collect()} == {"und"}
+    assert langid.identified(frame([]), langid.prototypes(frame([]))).count() == 0
+    assert langid.accepted(docs, profiles).columns == docs.columns
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = rest[:end].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    path = rest[end:]
+    path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    best = max(
+        ((len(r), r, v) for r, v in urls.RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)),
+        default=(0, None, None),
+    )
+    return host, path, best[1], best[2]
+
+
+ODD_URLS = [
+    None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x", "http://example.net", "http://example.net?x/en/", "http://x.net/",
+    "http://notexample.com/de/", "http://example.com/de/1#/fr/", "a://b://example.net/en/", "http://É.org/fr/\n?q", "http://org/fr/", "x://y.org/frx",
+]
+
+
+def test_rules_and_parts(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame(list(enumerate(ODD_URLS, 10_000)), "page_id long, url string")
+    both = pages.union(odd).union(odd).withColumn("host", F.lit("clash")).withColumn("score", F.lit(1))
+    rows = urls.judged(both, urls.fit(urls.rule_labels(both))).collect()
+    text = dict((r.page_id, r.url) for r in both.select("page_id", "url").collect())
+    assert len(rows) == both.count()
+    for r in rows:
+        host, path, rule, verdict = brute_url(text[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+
+
+def test_trees_learn_lexical_signs(spark):
+    rng = np.random.default_rng(1)
+    data = []
+    for k in range(1500):
+        bad = bool(k % 3 == 0)
+        name = "".join(rng.choice(list("0123456789" if bad else "abcdefgh"), 12))
+        data.append((f"http://{name}.example.org/p/{k}" + ("?a=1&b=2&c=3" if bad else ""), bad))
+    table = spark.createDataFrame(data, "url string, bad boolean")
+    model = urls.fit(table.limit(1000))
+    held = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(data[1000:])], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judged(held, model, rules=()).collect()}
+    assert np.mean([(got[k] == "block") == bad for k, (_, bad) in enumerate(data[1000:])]) > 0.97
+    # Nothing labelled, or one class: a constant, no crash.
+    for labels in (table.limit(0), table.where("bad")):
+        assert urls.judged(held, urls.fit(labels), rules=()).select("verdict").distinct().count() == 1
+    assert urls.judged(held.limit(0), model).count() == 0
