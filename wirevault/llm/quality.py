@@ -148,11 +148,13 @@ def judge_quality(
     )
     counted = counted.withColumn("_placed", placed_repeats(F.col("_windows")))
     total = F.aggregate("_classes", F.lit(0.0), lambda acc, c: acc + F.get(ratios, c))
-    scored = counted.select(
+    row = F.struct(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         repeated_words(F.col("_placed")).alias("n_repeat_words"),
         F.when(F.size("_classes") > 0, total / F.size("_classes")).alias("llr"),
     )
+    # Behind a generator, so that a later filter on a verdict does not compute it all once more.
+    scored = counted.select(F.inline(F.array(row)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
