@@ -2,8 +2,9 @@
 
 Uni- and bigrams of words are hashed into `buckets` classes. One pass over all documents
 counts each class in the corpus and in the trusted documents. A document scores the mean
-log ratio of the two smoothed multinomials over its n-grams, so its length does not matter,
-and a fixed threshold decides about every document. The ratio table has `buckets` entries
+log ratio of the two smoothed multinomials over its n-grams, so its length does not matter. The
+ratios are shifted so that the trusted n-grams have mean 0, which makes scores of small and large
+corpora alike, and a fixed threshold decides about every document. The ratio table has `buckets` entries
 whatever the size of the corpus; that is the only thing that reaches all tasks.
 """
 
@@ -18,8 +19,8 @@ from .common import BLANK_CHARS, words
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.25
-SMOOTHING = 1.0
+THRESHOLD = -0.17
+SMOOTHING = 10.0
 WINDOW = 5
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -55,7 +56,7 @@ def log_ratios(
 ) -> DataFrame:
     """One row with the array `ratios`, indexed by class. `trusted` holds at most `TRUSTED_ROWS` ids.
 
-    Without trusted n-grams all ratios are 0.
+    The mean over the trusted n-grams is 0. Without any, all ratios are 0.
     """
     marked = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("_trusted"))), "doc_id", "left"
@@ -78,8 +79,10 @@ def log_ratios(
     def ratio(c: Column) -> Column:
         return F.log(c["_good"] + F.lit(smoothing)) - F.log(c["_corpus"] + F.lit(smoothing)) + shift
 
-    return totals.select(
-        F.transform("_rows", lambda c: F.when(F.col("_all_good") > 0, ratio(c)).otherwise(F.lit(0.0))).alias("ratios")
+    mean = F.aggregate("_rows", F.lit(0.0), lambda acc, c: acc + c["_good"] * ratio(c)) / F.col("_all_good")
+    centred = totals.withColumn("_mean", F.when(F.col("_all_good") > 0, mean))
+    return centred.select(
+        F.transform("_rows", lambda c: F.when(F.col("_mean").isNotNull(), ratio(c) - F.col("_mean")).otherwise(F.lit(0.0))).alias("ratios")
     )
 
 
