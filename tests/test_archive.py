@@ -99,6 +99,13 @@ def test_compaction_and_rebuild(spark, archive):
     # A rebuild knows stored flows only.
     assert archive.rebuild_flow_agg() == 70
     assert rows_of(archive.flow_agg()) == rows_of(rollup(archive.flows()))
+    # ... and later compactions start from it.
+    archive.compact()
+    assert archive.flow_agg().agg(F.sum("hit_count")).first()[0] == 70
+    archive.ingest(flows.withColumn("id", F.col("id") + 200), batch_id=4)
+    archive.compact()
+    archive.vacuum()
+    assert archive.flow_agg().agg(F.sum("hit_count")).first()[0] == 110
 
 
 def test_vacuum_keeps_every_answer(spark, archive):
@@ -139,8 +146,13 @@ def test_retag_makes_a_generation(spark, archive):
     for i, (host, tags) in got.items():
         assert tags == (first[i] or (["h0"] if host == "h0" else []))
     # A batch that arrives later is read next to the new generation.
-    archive.ingest(flows.where("id = 3").withColumn("id", F.lit(900)), batch_id=2)
+    later = flows.where("host = 'h0'").limit(1).withColumns({"id": F.lit(900), "collapse": F.lit(False)})
+    archive.ingest(later, batch_id=2)
     assert archive.flows().count() == 36
+    # The rules of the last retag hold for it, and another process with older ones is told.
+    assert "h0" in archive.flows().where("id = 900").first().fingerprints
+    with pytest.warns(UserWarning, match="h0"):
+        Archive(spark, archive.root).ingest(later.withColumn("id", F.lit(901)), batch_id=2)
     assert archive.retag(RuleSet([])) == 36
     assert {tuple(r.fingerprints) for r in archive.flows().collect()} == {()}
 

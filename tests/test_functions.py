@@ -92,9 +92,11 @@ def test_utf8_with_replacement_like_python(spark):
     assert column(spark, raws, indexable_text, "binary")[-1] == "xy"
 
 
-def test_index_covers_a_million_characters(spark):
-    body = bytearray(b"a" * 999_999 + b" b c")
-    assert column(spark, [body], lambda v: word_tokens(indexable_text(v)), "binary") == [["a" * 999_999]]
+def test_index_covers_whole_bodies(spark):
+    body = bytearray(b"a" * 1_000_000 + b" b c")
+    assert column(spark, [body], lambda v: word_tokens(indexable_text(v)), "binary") == [["a" * 1_000_000, "b", "c"]]
+    bounded = column(spark, [body], lambda v: word_tokens(indexable_text(v, chars=1_000_000)), "binary")
+    assert bounded == [["a" * 1_000_000]]
 
 
 def test_index_without_markup(spark):

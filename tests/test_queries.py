@@ -11,6 +11,8 @@ sys.path.insert(0, str(ROOT / "tools"))
 import check_queries  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from wirevault.plans import oracle as plans_oracle  # noqa: E402
+from wirevault.plans import queries as plans  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -23,10 +25,11 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(plans.queries()) == set(plans_oracle.oracle_sql())
+    assert set(plans.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(plans.queries()))
 def test_query(spark, oracle, small, name):
     ok, note = check_queries.compare(spark, oracle, small, name)
     assert ok, note

@@ -79,6 +79,20 @@ def test_capture(spark, tmp_path):
     assert sorted(r.reason for r in dead_letters(parsed, source="c").collect()) == ["bad_url", "missing_field"]
 
 
+def test_odd_clocks_are_dead_letters(spark):
+    """Other units, no numbers, and two clocks decades apart lose their own flow only."""
+    clocks = [(1.7e15, None), (float("nan"), None), (float("inf"), None), (-1e12, None), (1.0, 1.7e9), (1.7e9, float("nan")),
+              (1.7e9, 1.7e9 + 1), (None, 1.7e9), (253402300798.5, None)]
+    rows = [
+        (("GET", "http", "h.org", 80, f"http://h.org/{k}", {}, start, None), (200, {}, end, None))
+        for k, (start, end) in enumerate(clocks)
+    ]
+    parsed = parse_capture(spark.createDataFrame(rows, schemas.CAPTURE_RECORD))
+    letters = dead_letters(parsed, source="c").collect()
+    assert [r.reason for r in letters] == ["bad_time"] * 6
+    assert sorted(r.path for r in good_records(parsed).select("path").collect()) == ["/6", "/7", "/8"]
+
+
 def test_zstd_import(spark):
     frame = zstandard.ZstdCompressor(level=10).compress(b"hello")
     table = spark.createDataFrame([("a", bytearray(frame)), ("b", bytearray(b"junk")), ("c", None)], "sha256 string, content binary")

@@ -24,6 +24,7 @@ Layout below the root::
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -62,12 +63,20 @@ class Archive:
     """Reader and writer of one archive folder, which all executors must be able to reach."""
 
     def __init__(
-        self, spark: SparkSession, root: str, rules: RuleSet | None = None, *, strip_markup: bool = False
+        self,
+        spark: SparkSession,
+        root: str,
+        rules: RuleSet | None = None,
+        *,
+        strip_markup: bool = False,
+        indexed_chars: int | None = None,
     ):
+        """``indexed_chars`` bounds the characters of a body that can be searched for; none by default."""
         self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.rules = rules or RuleSet()
         self.strip_markup = strip_markup
+        self.indexed_chars = indexed_chars
 
     # -- reading ---------------------------------------------------------------------
 
@@ -136,6 +145,7 @@ class Archive:
         same number again replaces that batch, as a streaming retry does. Records get ids
         in order of arrival unless they bring their own ``id``.
         """
+        self._warn_of_other_rules()
         staged, seen = self._stage(parsed, batch_id)
         base = self._last_id(before=batch_id)
         good = staged.where(F.col("reason").isNull())
@@ -159,6 +169,14 @@ class Archive:
             remove_path(self.spark, f"{self.root}/{table}/batch_id={batch_id}")
         return seen["written"], seen["rejected"]
 
+    def _warn_of_other_rules(self) -> None:
+        """New flows would lack the tags that the stored ones were given last."""
+        last = (
+            self._registry().where("kind = 'flows'").agg(F.max_by("rules", "n").alias("rules")).first()["rules"]
+        )
+        if last is not None and last != self.rules.names():
+            warnings.warn(f"stored flows were tagged by {last}, this batch is by {self.rules.names()}", stacklevel=3)
+
     def _together(self, *writes: Callable[[], object]) -> None:
         """Submit independent jobs at once, so that the tail of one overlaps with the next."""
         with ThreadPoolExecutor(len(writes)) as pool:
@@ -262,7 +280,8 @@ class Archive:
             late = texts.join(known.where(~F.col("ever_text")).select("sha256"), "sha256", "left_semi")
             again = distinct_content(obs.join(late, "sha256", "left_semi"))
             indexable = indexable.unionByName(again)
-        self._write(text_index(indexable, strip_markup=self.strip_markup), "body_text", batch_id)
+        index = text_index(indexable, strip_markup=self.strip_markup, chars=self.indexed_chars)
+        self._write(index, "body_text", batch_id)
 
     def _write_flows(self, good: DataFrame, stats: DataFrame, known: DataFrame, batch_id: int) -> None:
         names = list(self.rules.on_empty_text())
@@ -296,7 +315,9 @@ class Archive:
         """Tag the whole history again, for example after adding a rule.
 
         Returns the number of flows looked at. The result is a new generation of the flow
-        files; batches that arrive meanwhile are not touched.
+        files; batches that arrive meanwhile are not touched. Later batches are tagged by the
+        same rules. Their names are kept with the generation, so that an archive opened
+        elsewhere with other rules warns before it stores a batch.
         """
         rules = rules or self.rules
         upto = self._max("batch")
@@ -313,7 +334,8 @@ class Archive:
             settled = flows.where(F.size("fingerprints") > 0).select(*_STORED, "batch_id")
             result = result.unionByName(settled)
         self._write_flow_files(result, f"flows/gen={gen}", ["batch_id", "dt"])
-        self._register("flows", gen, upto)
+        self._register("flows", gen, upto, rules=rules.names())
+        self.rules = rules
         return seen.get["n"]
 
     def rebuild_flow_agg(self) -> int:
@@ -345,7 +367,9 @@ class Archive:
             ("body_stats", schemas.BODY_STATS, merge_body_stats),
             ("shape_stats", schemas.SHAPE_STATS, merge_shape_stats),
         ):
-            self._snapshot(table, merge(self._deltas(table, schema, before=last)), upto=last - 1)
+            upto = self._latest(table)[1]
+            if upto is None or upto < last:  # a rebuild may have settled the last batch already
+                self._snapshot(table, merge(self._deltas(table, schema, before=last)), upto=last - 1)
 
     def vacuum(self) -> None:
         """Delete files that newer snapshots and generations replaced, and fold their registry rows.
@@ -434,9 +458,13 @@ class Archive:
     def _registry(self) -> DataFrame:
         return self._read("registry", schemas.REGISTRY)
 
-    def _register(self, kind: str, n: int, upto: int, last_id: int = 0, written: int = 0, rejected: int = 0) -> None:
+    def _register(
+        self, kind: str, n: int, upto: int, last_id: int = 0, written: int = 0, rejected: int = 0,
+        rules: list[str] | None = None,
+    ) -> None:
         row = self.spark.createDataFrame(
-            [(upto, last_id, written, rejected)], "upto bigint, last_id bigint, written bigint, rejected bigint"
+            [(upto, last_id, written, rejected, rules)],
+            "upto bigint, last_id bigint, written bigint, rejected bigint, rules array<string>",
         )
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/registry/kind={kind}/n={n}")
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # A body is text when its lower-cased content type contains one of these.
 TEXT_TYPE_HINTS = ("text/", "json", "xml", "javascript", "html", "x-www-form-urlencoded")
-# Fixed value: characters of a body that take part in full-text search.
-INDEXED_CHARS = 1_000_000
 
 _NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -23,12 +21,14 @@ def utf8_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def indexable_text(content: Column, *, strip_markup: bool = False) -> Column:
-    """The part of a body that is searchable: decoded, without NUL, length-bounded by the format.
+def indexable_text(content: Column, *, strip_markup: bool = False, chars: int | None = None) -> Column:
+    """The part of a body that is searchable: decoded, without NUL; all of it unless ``chars`` is given.
 
     ``strip_markup`` leaves tag names and attributes out of the words.
     """
-    text = F.substring(F.replace(utf8_text(content), F.lit("\0"), F.lit("")), 1, INDEXED_CHARS)
+    text = F.replace(utf8_text(content), F.lit("\0"), F.lit(""))
+    if chars is not None:
+        text = F.substring(text, 1, chars)
     return F.regexp_replace(text, "<[^>]*>", " ") if strip_markup else text
 
 

@@ -15,9 +15,6 @@ from ..functions.keys import content_key
 from ..functions.text import has_all_words, indexable_text, is_text_type, word_tokens
 from .joins import hot_keys, lookup
 
-# Copies of one body that survive the first content aggregation, see `dedup_bodies`.
-CONTENT_SALTS = 64
-
 
 def with_body_keys(flows: DataFrame) -> DataFrame:
     """Add ``req_body_sha`` and ``resp_body_sha`` to normalised flows."""
@@ -83,10 +80,10 @@ def dedup_bodies(obs: DataFrame) -> DataFrame:
 
     Map-side combining leaves up to one copy of a hot body per map task. On a large input
     those copies would all meet in one task, and unlike counters they are wide. A salt
-    taken from the map partition spreads them first; the second aggregation then sees at
-    most ``CONTENT_SALTS`` copies of any body.
+    taken from the map partition spreads them first: of n partitions, about twice the root
+    of n share a salt, and about the root of n copies of a body reach the second aggregation.
     """
-    salted = obs.withColumn("_salt", F.spark_partition_id() % CONTENT_SALTS)
+    salted = obs.withColumn("_salt", F.floor(F.sqrt(F.spark_partition_id())).cast("int"))
     any_copy = F.any_value("content").alias("content")
     parts = body_stats(salted, any_copy, by=["sha256", "_salt"]).drop("_salt")
     return merge_body_stats(parts, any_copy)
@@ -97,9 +94,9 @@ def distinct_content(obs: DataFrame) -> DataFrame:
     return dedup_bodies(obs).select("sha256", "size", "is_text", "ever_text", "content")
 
 
-def text_index(bodies: DataFrame, *, strip_markup: bool = False) -> DataFrame:
+def text_index(bodies: DataFrame, *, strip_markup: bool = False, chars: int | None = None) -> DataFrame:
     """``sha256, tokens`` for every distinct body that was ever served as text."""
-    text = indexable_text(F.col("content"), strip_markup=strip_markup)
+    text = indexable_text(F.col("content"), strip_markup=strip_markup, chars=chars)
     return bodies.where("ever_text").select("sha256", word_tokens(text).alias("tokens"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -129,9 +131,12 @@ def _hot_parents(replays: DataFrame) -> DataFrame:
     return hot_keys(counts, "parent_id", "n")
 
 
-def replay_chain(flows: DataFrame, *, max_rounds: int = 62) -> DataFrame:
+def replay_chain(flows: DataFrame) -> DataFrame:
     """``id, root, depth`` of every replay: the first ancestor and the number of steps to it.
 
+    A replay whose pointers run into a cycle has no first ancestor; its root and depth are null.
+    It is told by a depth beyond the number of replays, which doubling reaches in a few rounds.
+
     Pointer doubling: every round lets a replay jump to where its target already points,
     so a chain of a million replays takes twenty rounds, not a million. Replays whose
     root is known leave the join; rounds are written to the shared scratch folder, which
@@ -142,14 +147,17 @@ def replay_chain(flows: DataFrame, *, max_rounds: int = 62) -> DataFrame:
         "id", "replay_of", F.lit(1).cast("bigint").alias("depth"), F.lit(False).alias("done")
     )
     folder = new_scratch_dir(spark, "replay-chain")
-    for step in range(max_rounds):
+    for step in count():
         seen = Observation()
         state.observe(
             seen, F.count(F.lit(1)).alias("all"), F.count_if(~F.col("done")).alias("open")
         ).write.parquet(f"{folder}/round={step}")
         state = spark.read.schema(state.schema).parquet(f"{folder}/round={step}")
+        endless = F.col("depth") > seen.get["all"]
         if seen.get["open"] == 0:
-            return state.select("id", F.col("replay_of").alias("root"), "depth")
+            return state.select(
+                "id", F.when(~endless, F.col("replay_of")).alias("root"), F.when(~endless, F.col("depth")).alias("depth")
+            )
         open_ends = state.where(~F.col("done"))
         target = state.select(
             F.col("id").alias("parent_id"), F.col("replay_of").alias("next"),
@@ -164,6 +172,5 @@ def replay_chain(flows: DataFrame, *, max_rounds: int = 62) -> DataFrame:
             F.coalesce("next", "replay_of").alias("replay_of"),
             (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
             F.coalesce("next_done", F.lit(True)).alias("done"),
-        )
+        ).withColumn("done", F.col("done") | endless)
         state = state.where("done").unionByName(moved)
-    raise ValueError("replay pointers form a cycle")

@@ -15,7 +15,6 @@ from .bodies import join_bodies, matching_bodies
 SUMMARY = ("id", "ts", "method", "status", "url", "host", "fingerprints", "session_id", "program")
 # Rows of a listing, of an interactive search and of the live view.
 LISTING_ROWS, SEARCH_ROWS, LIVE_ROWS = 50, 300, 50
-_MAX_SEARCH_ROWS = 1000
 
 
 def newest_first() -> list[Column]:
@@ -113,15 +112,19 @@ def in_either_body(
 
 def search(flows: DataFrame, *, limit: int | None = LISTING_ROWS, **predicates) -> DataFrame:
     """Newest matching flows as 9-column summaries; ``limit=None`` returns all of them."""
-    hits = match_flows(flows, **predicates).select(*SUMMARY)
+    return _newest(match_flows(flows, **predicates).select(*SUMMARY), limit)
+
+
+def _newest(hits: DataFrame, limit: int | None) -> DataFrame:
     return hits if limit is None else hits.orderBy(*newest_first()).limit(limit)
 
 
-def search_summaries(flows: DataFrame, *, limit: int = SEARCH_ROWS, **predicates) -> DataFrame:
-    """Newest matching flows as 8-column summaries with ISO time and the tags as ``tech``."""
-    limit = min(_MAX_SEARCH_ROWS, max(1, limit))
-    newest = match_flows(flows, **predicates).orderBy(*newest_first()).limit(limit)
-    return newest.select(
+def search_summaries(flows: DataFrame, *, limit: int | None = SEARCH_ROWS, **predicates) -> DataFrame:
+    """Newest matching flows as 8-column summaries with ISO time and the tags as ``tech``.
+
+    ``limit=None`` returns all of them; a limit is taken as it is.
+    """
+    return _newest(match_flows(flows, **predicates), limit).select(
         "id",
         iso_time(F.col("ts")).alias("ts"),
         "method",
@@ -134,11 +137,17 @@ def search_summaries(flows: DataFrame, *, limit: int = SEARCH_ROWS, **predicates
 
 
 def iso_time(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO 8601 with the zone's offset; microseconds only where there are any."""
+    micros = F.date_format(ts, ".SSSSSS")
+    return F.concat(
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(micros == ".000000", "").otherwise(micros),
+        F.date_format(ts, "xxx"),
+    )
 
 
 def ranked_search(
-    flows: DataFrame, terms: Iterable[str], *, limit: int = SEARCH_ROWS, **predicates
+    flows: DataFrame, terms: Iterable[str], *, limit: int | None = SEARCH_ROWS, **predicates
 ) -> DataFrame:
     """The newest ``limit`` matches, best match in host and path first.
 
@@ -146,12 +155,7 @@ def ranked_search(
     out. A term that occurs only in the query string scores 0 and keeps its row.
     """
     wanted = [t for t in terms if t]
-    newest = (
-        match_flows(flows, terms=wanted, **predicates)
-        .select(*SUMMARY, "path")
-        .orderBy(*newest_first())
-        .limit(min(_MAX_SEARCH_ROWS, max(1, limit)))
-    )
+    newest = _newest(match_flows(flows, terms=wanted, **predicates).select(*SUMMARY, "path"), limit)
     scored = newest.withColumn("score", relevance(wanted, F.concat("host", "path")))
     return scored.orderBy(F.col("score").desc(), *newest_first())
 

@@ -138,6 +138,9 @@ class RuleSet:
             if isinstance(rule, Rule):
                 self._conditions[rule.name] = rule.match(self._context)
 
+    def names(self) -> list[str]:
+        return [rule.name for rule in self.rules]
+
     @property
     def needs_python(self) -> bool:
         return any(isinstance(r, PythonRule) for r in self.rules)

@@ -32,7 +32,7 @@ SELECT k.event_id AS id, k.ts,
        WHEN k.hk BETWEEN 9 AND 10 THEN 'v' END AS h_extra_value,
   CASE WHEN d.doc_id % 4 = 3 THEN 'image/png' WHEN d.doc_id % 4 = 2 THEN 'application/json'
        ELSE 'text/html; charset=utf-8' END AS content_type,
-  CASE WHEN k.event_id % 10 = 9 THEN NULL
+  CASE WHEN k.user_id % 10 = 9 THEN NULL
        WHEN d.doc_id % 11 = 1 THEN concat('Access Denied ', d.text)
        WHEN d.doc_id % 11 = 2 THEN concat('{"errors":[{"message":"GraphQL"}]} ', d.text)
        WHEN d.doc_id % 11 = 3 THEN concat('{"fault":1} ', d.text) ELSE d.text END AS resp_text,

@@ -185,7 +185,11 @@ _LINES = _BASE.replace("({0})".format(CAPTURE_SQL), f"(SELECT * REPLACE (nullif(
     "strlen(req_text), true,", "strlen(req_text), false,"
 )
 
-_SEARCH_TERMS = f"""SELECT id, {_ISO.format('ts')} AS ts, method, status, host, path, url, tags AS tech FROM flows"""
+_ZONED = (
+    "concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), CASE WHEN strftime(ts, '%f') <> '000000' "
+    "THEN strftime(ts, '.%f') ELSE '' END, '+00:00')"
+)
+_SEARCH_TERMS = f"""SELECT id, {_ZONED} AS ts, method, status, host, path, url, tags AS tech FROM flows"""
 _HAY = "lower(host || path)"
 
 _DETAIL_JOIN = """flows LEFT JOIN bodies qb ON qb.sha256 = flows.req_body_sha
@@ -206,6 +210,10 @@ def oracle_sql() -> dict[str, str]:
         "flow_agg_rollup": _SHAPES,
         "stored_flow_agg": _SHAPES,
         "collapse_routing": f"{_BASE} SELECT {_SHAPE_KEY} AS shape_sha, count(*) AS hit_count, count(*) FILTER (WHERE method <> 'POST') AS stored_flows FROM fl GROUP BY shape_sha",
+        "archive_rebuild": f"{_BASE} SELECT {_SHAPE_KEY} AS shape_sha, count(*) AS hit_count FROM fl WHERE method <> 'POST' GROUP BY shape_sha",
+        "archive_retag": _select("id, tags", flows=_tagged(a=_PAGED)),
+        "archive_counts": "SELECT count(*) AS written, 0 AS rejected FROM events",
+        "search_all": _select(f"id, {_ZONED} AS ts, host", "WHERE contains(lower(host), 'example') OR contains(lower(url), 'example')"),
         "fingerprint_all": _select("id, tags"),
         "fingerprint_untagged": _select("id, tags", "WHERE len(base_tags) = 0", _tagged(a=_PAGED)),
         "user_rule": _select("id, tags", flows=_tagged(a=_PAGED, b=_LICENSE)),
@@ -247,7 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "flow_full": f"""{_FLOWS} SELECT id, ts, program, source_tool, session_id, method, scheme, host, port, path, query, url,
             status, duration_ms, tags, {_REQ_HEADERS} AS req_headers, {_RESP_HEADERS} AS resp_headers, req_body_sha,
             qb.is_text AS req_is_text, resp_body_sha, rb.is_text AS resp_is_text FROM {_DETAIL_JOIN}""",
-        "flow_detail": f"""{_FLOWS} SELECT id, {_ISO.format('ts')} AS ts, program, session_id, method, host, path, query, url, status,
+        "flow_detail": f"""{_FLOWS} SELECT id, {_ZONED} AS ts, program, session_id, method, host, path, query, url, status,
             duration_ms, tags, {_RESP_HEADERS} AS resp_headers, {_kind('req', 'req_text')}, {_kind('resp', 'resp_text')} FROM {_DETAIL_JOIN}""",
         "flow_listing": _select(
             "id, printf('#%-8d %s %3s %-6s [%s] %s', id, strftime(ts, '%Y-%m-%d %H:%M'),"

@@ -111,15 +111,45 @@ def stored_flow_agg(spark, sf_dir):
     return _shapes(archive_of(spark, sf_dir).flow_agg())
 
 
-def collapse_routing(spark, sf_dir):
+def _collapsed_archive(spark: SparkSession, sf_dir: str) -> Archive:
     """Purchases are collapsed: they count in the roll-up but leave no flow row."""
-    flows = B.with_body_keys(capture_flows(configure(spark), sf_dir))
-    routed = flows.withColumn("collapse", F.col("method") == "POST")
+    archive = Archive(spark, new_scratch_dir(spark, "collapsed"))
+    flows = capture_flows(configure(spark), sf_dir)
+    archive.ingest(flows.withColumn("collapse", F.col("method") == "POST"), batch_id=0)
+    return archive
+
+
+def collapse_routing(spark, sf_dir):
+    archive = _collapsed_archive(spark, sf_dir)
     key = shape_key(*(F.col(c) for c in ("host", "method", "path", "status", "resp_body_sha")))
-    return (
-        routed.groupBy(key.alias("shape_sha"))
-        .agg(F.count("*").alias("hit_count"), F.count_if(~F.col("collapse")).alias("stored_flows"))
-    )
+    stored = archive.flows().groupBy(key.alias("shape_sha")).agg(F.count("*").alias("stored_flows"))
+    return archive.flow_agg().select("shape_sha", "hit_count").join(stored, "shape_sha", "left").na.fill(0)
+
+
+def archive_rebuild(spark, sf_dir):
+    """The roll-up after a rebuild from stored flows and a later compaction: kept flows only."""
+    archive = _collapsed_archive(spark, sf_dir)
+    archive.rebuild_flow_agg()
+    archive.compact()
+    return archive.flow_agg().select("shape_sha", "hit_count")
+
+
+def archive_counts(spark, sf_dir):
+    """Records written and rejected, as the registry of batches has them."""
+    archive = archive_of(spark, sf_dir)
+    batches = archive._registry().where("kind = 'batch'")
+    return batches.agg(F.sum("written").alias("written"), F.sum("rejected").alias("rejected"))
+
+
+def archive_retag(spark, sf_dir):
+    """A rule is added between two batches: stored flows and later ones carry its tag."""
+    flows = capture_flows(configure(spark), sf_dir)
+    middle = flows.agg((F.max("id") / 2).alias("m")).scalar()
+    archive = Archive(spark, new_scratch_dir(spark, "retagged"))
+    archive.ingest(flows.where(F.col("id") <= middle), batch_id=0)
+    archive.retag(RuleSet([*RULES, PAGED]))
+    archive.ingest(flows.where(F.col("id") > middle), batch_id=1)
+    return archive.flows().select("id", tags())
 
 
 # -- tags --------------------------------------------------------------------------------
@@ -177,6 +207,12 @@ def search_terms(spark, sf_dir):
     return found.withColumn("tech", F.array_join("tech", ","))
 
 
+def search_all(spark, sf_dir):
+    """No limit: every flow that matches, with zoned ISO time."""
+    found = search.search_summaries(archive_of(spark, sf_dir).flows(), terms=["example"], limit=None)
+    return found.select("id", "ts", "host")
+
+
 def search_by_id(spark, sf_dir):
     found = search.search_summaries(archive_of(spark, sf_dir).flows(), id=424)
     return found.withColumn("tech", F.array_join("tech", ","))
@@ -524,6 +560,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "search_terms": search_terms,
         "search_by_id": search_by_id,
+        "search_all": search_all,
+        "archive_counts": archive_counts,
+        "archive_rebuild": archive_rebuild,
+        "archive_retag": archive_retag,
         "search_ranked": search_ranked,
         "live_tail": live_tail,
         "match_offsets": match_offsets,

@@ -88,4 +88,4 @@ MUTATION = struct(
 )
 
 # Bookkeeping of an archive: one row per batch, snapshot or generation.
-REGISTRY = struct(upto=LONG, last_id=LONG, written=LONG, rejected=LONG, kind=TEXT, n=LONG)
+REGISTRY = struct(upto=LONG, last_id=LONG, written=LONG, rejected=LONG, rules=TEXTS, kind=TEXT, n=LONG)

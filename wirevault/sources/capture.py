@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.headers import header_any_case, or_empty
-from ..functions.messages import duration_ms, epoch_micros
+from ..functions.messages import bad_clocks, duration_ms, epoch_micros
 from ..functions.text import non_empty
 from ..functions.urls import split_url
 from ..schemas import CAPTURE_RECORD
@@ -50,7 +50,7 @@ def parse_capture(
         lacking = lacking | req[name].isNull()
     reason = F.when(lacking, "missing_field").when(
         F.coalesce(parts["bad_authority"], F.lit(False)), "bad_url"
-    )
+    ).when(bad_clocks(req["timestamp_start"], resp["timestamp_end"]), "bad_time")
 
     def content_type(message: Column) -> Column:
         return F.coalesce(header_any_case(message["headers"], "content-type"), F.lit(""))
