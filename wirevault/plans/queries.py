@@ -404,7 +404,7 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.select("id", F.to_json(record).alias("value"))
 
 
-def _jsonl_files(spark: SparkSession, sf_dir: str) -> str:
+def jsonl_files(spark: SparkSession, sf_dir: str) -> str:
     """Folder of JSONL files with the captured records, written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _files:
@@ -415,7 +415,7 @@ def _jsonl_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def parse_jsonl_records(spark, sf_dir):
-    lines = read_jsonl(spark, _jsonl_files(spark, sf_dir))
+    lines = read_jsonl(spark, jsonl_files(spark, sf_dir))
     flows = good_records(parse_jsonl(lines, program="p", session_id="s"))
     return flows.select(
         local_time("ts"), "method", "scheme", "host", "port", "path", "query", "url", "status",
@@ -428,7 +428,7 @@ def parse_jsonl_records(spark, sf_dir):
 
 def dead_letter_lines(spark, sf_dir):
     """Lines are damaged by response status: torn, wrapped in an array, blank or a tunnel."""
-    lines = spark.read.text(_jsonl_files(spark, sf_dir))
+    lines = spark.read.text(jsonl_files(spark, sf_dir))
     value = F.col("value")
     damaged = (
         F.when(F.contains(value, F.lit('"HTTP/1.1 403 ')), F.concat(F.lit("{"), value))
