@@ -58,9 +58,8 @@ def test_components_match_brute_force(spark, frame):
     assert 1 < len({c for _, c in want.values()}) < len(rows)
 
 
-def test_large_buckets_are_cut_into_blocks(spark, frame, monkeypatch):
-    """With tiny blocks and homes the cross-component search gives the same links."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+def test_large_buckets_are_cut_into_homes(spark, frame, monkeypatch):
+    """With tiny homes the cross-component search gives the same links."""
     monkeypatch.setattr(neardup, "HOME", 3)
     rows = list(enumerate(family(random.Random(8), 70, edits=5)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(rows), shingle=4).collect()}

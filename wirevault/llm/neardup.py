@@ -9,9 +9,9 @@ full shingle sets.
 
 No bucket is expanded into its pairs at once. Texts with equal sets are one node from the start.
 Then every node is compared with the smallest node it shares a bucket with. What that links is one
-component. Only buckets that still hold several components are searched further: their members are
-dealt to pairs of blocks, so that no task sees a large bucket whole, and only pairs of different
-components are compared, likely ones first.
+component. Only buckets that still hold several components are searched further: nodes live in
+homes of bounded size, homes that share such a bucket are searched pairwise, so that no task sees a
+large bucket whole, and only pairs of different components are compared, likely ones first.
 """
 
 from __future__ import annotations
@@ -35,8 +35,7 @@ BANDS = 42
 SKETCH_BITS = 512
 # The estimate's standard error at a similarity of 0.8 is 0.03: floor = 0.8 - 5 * 0.03.
 ESTIMATE_MARGIN = 0.15
-BLOCK = 256
-HOME = 128
+HOME = 512
 
 _rng = np.random.default_rng(977)
 _FACTOR = (_rng.integers(0, 1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -176,92 +175,70 @@ def _most_differing(similarity: float) -> int:
     return int(np.flatnonzero(estimate(np.arange(SKETCH_BITS // 2)) >= similarity).max())
 
 
-def _cross_pairs(members: DataFrame, most: int) -> DataFrame:
-    """Pairs of a block's members of different components whose sketches differ in `most` bits at most.
+def _cross_links(placed: DataFrame, nodes: DataFrame, *, most: int, shingle: int, percent: int) -> DataFrame:
+    """Links between different components, as far as they join any.
 
-    `members`: bucket, node, component, home, odd and `n`, the bucket's size. Members are dealt to
-    blocks of about `BLOCK`, and every pair of blocks is one row of two short lists.
+    `placed`: bucket, node, component, home; `nodes`: node, component, home, bands, odd, text. A home
+    holds about `HOME` nodes. Two homes, or one with itself, are searched if they share a bucket and
+    have more than one component; their nodes are gathered once, however many buckets they share.
+    Pairs that share a band and differ in at most `most` sketch bits are compared on full sets, the
+    likeliest first, and passed over once links have joined their components. Only links leave.
     """
-    dealt = members.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
-        "_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    homes = placed.groupBy("bucket", "home").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = homes.groupBy("bucket").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high")
+    open_homes = homes.join(several.select("bucket"), "bucket", "left_semi")
+    left, right = (open_homes.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("home", "low", "high"))) for k in "12")
+    pairs = left.join(right, "bucket").where(
+        "home1 <= home2 AND least(low1, low2) < greatest(high1, high2)"
+    ).select("home1", "home2").distinct()
+    both = pairs.select("home1", "home2", F.col("home1").alias("home")).union(
+        pairs.where("home1 < home2").select("home1", "home2", "home2")
     )
-    spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    blocks = spread.groupBy(
-        "bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
-    ).agg(F.collect_list(F.struct("node", "component", "home", "_own", "odd")).alias("members"))
+    fields = ("node", "component", "home", "bands", "odd", "text")
+    gathered = both.join(nodes, "home").groupBy("home1", "home2").agg(F.collect_list(F.struct(*fields)).alias("nodes"))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            lists = batch.column("members")
-            for k in range(batch.num_rows):
-                own = lists[k].values
-                node, comp, home, block = (own.field(f).to_numpy() for f in ("node", "component", "home", "_own"))
-                odd = own.field("odd").flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-                within = batch.column("_i")[k] == batch.column("_j")[k]
-                first = np.arange(len(node)) if within else np.flatnonzero(block == block.min())
-                second = first if within else np.flatnonzero(block != block.min())
-                for i in first:
-                    rest = second[node[second] < node[i]] if within else second
-                    rest = rest[comp[rest] != comp[i]]
-                    bits = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1)
-                    near = bits <= most
-                    rest, bits = rest[near], bits[near].astype(np.int64)
-                    later = node[rest] > node[i]
-                    for k, column in enumerate((node, home)):
-                        out[2 * k].append(np.where(later, column[rest], column[i]))
-                        out[2 * k + 1].append(np.where(later, column[i], column[rest]))
-                    out[4].append(bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.empty(0, np.int64), *c])) for c in out], names=["a", "b", "ha", "hb", "bits"]
-            )
-
-    return blocks.mapInArrow(batches, "a bigint, b bigint, ha bigint, hb bigint, bits bigint").groupBy(
-        "a", "b", "ha", "hb"
-    ).agg(F.min("bits").alias("bits"))
-
-
-def _cross_links(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """Links among `pairs` (a, b, ha, hb, bits) of different components, as far as they join any.
-
-    Pairs are gathered by the homes of both ends. A home has about `HOME` nodes, so a group is
-    bounded, and a text is sent once per group rather than once per pair. In a group the likeliest
-    pairs come first, and pairs that its links have already joined are passed over.
-    """
-    groups = pairs.groupBy("ha", "hb").agg(F.sort_array(F.collect_list(F.struct("bits", "a", "b"))).alias("pairs"))
-    ends = pairs.select("ha", "hb", F.col("a").alias("node")).union(pairs.select("ha", "hb", "b")).distinct()
-    gathered = ends.join(texts, "node").groupBy("ha", "hb").agg(F.collect_list(F.struct("node", "component", "text")).alias("texts"))
-
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            found = []
-            for pairs, texts in zip(batch.column("pairs"), batch.column("texts")):
-                text = {t["node"].as_py(): t for t in texts}
-                head = {node: t["component"].as_py() for node, t in text.items()}
-                sets: dict[int, np.ndarray] = {}
-
-                def root(c: int, up: dict[int, int]) -> int:
-                    while up.get(c, c) != c:
-                        c = up[c]
-                    return c
-
-                up: dict[int, int] = {}
-                for pair in pairs:
-                    a, b = pair["a"].as_py(), pair["b"].as_py()
-                    ra, rb = root(head[a], up), root(head[b], up)
-                    if ra == rb:
-                        continue
-                    for node in (a, b):
-                        if node not in sets:
-                            sets[node] = shingle_set(text[node]["text"].as_py(), shingle)
-                    if _similar(sets[a], sets[b], percent):
-                        up[max(ra, rb)] = min(ra, rb)
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
-            )
-
-    return groups.join(gathered, ["ha", "hb"]).select("pairs", "texts").mapInArrow(batches, "a bigint, b bigint")
+            found = [pair for group in batch.column("nodes") for pair in _group_links(group.values, most, shingle, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return gathered.select("nodes").mapInArrow(batches, "a bigint, b bigint")
+
+
+def _group_links(group: pa.StructArray, most: int, shingle: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join components among the nodes of one home, or across two."""
+    node, component, home = (group.field(f).to_numpy() for f in ("node", "component", "home"))
+    bands, odd = (group.field(f).flatten().to_numpy().reshape(len(node), -1) for f in ("bands", "odd"))
+    odd, across = odd.view(np.uint64), home.min() < home.max()
+    near: list[np.ndarray] = []
+    for i in range(len(node)):
+        rest = np.flatnonzero((component != component[i]) & ((home > home[i]) if across else (node < node[i])))
+        rest = rest[(bands[rest] == bands[i]).any(axis=1)]
+        bits = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1).astype(np.int64)
+        kept = bits <= most
+        near.append(np.column_stack((bits[kept], np.full(int(kept.sum()), i), rest[kept])))
+    pairs = np.concatenate(near)
+    pairs = pairs[np.lexsort((node[pairs[:, 2]], node[pairs[:, 1]], pairs[:, 0]))]
+    up: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    texts, found = group.field("text"), []
+
+    def root(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    for _, i, j in pairs.tolist():
+        ri, rj = root(int(component[i])), root(int(component[j]))
+        if ri == rj:
+            continue
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = shingle_set(texts[k].as_py(), shingle)
+        if _similar(sets[i], sets[j], percent):
+            up[max(ri, rj)] = min(ri, rj)
+            found.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+    return found
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -322,11 +299,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     known = texts.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = members.select("bucket", "node").distinct().join(known.select("node", "component", "home").distinct(), "node")
-    mixed = placed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("component").alias("_low"), F.max("component").alias("_high")
-    ).where("_low < _high").select("bucket", "n")
-    cross = stored(_cross_pairs(placed.join(mixed, "bucket").join(odd, "node"), floor), "cross")
-    links = links.union(stored(_cross_links(cross, known.select("node", "component", "text"), **check), "links"))
+    full = known.join(nodes.select("node", "bands", "odd"), "node")
+    links = links.union(stored(_cross_links(placed, full, most=floor, **check), "links"))
     reached = stored(components(links), "components")
 
     of_class = classes.join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
