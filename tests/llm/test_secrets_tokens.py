@@ -60,6 +60,23 @@ def test_ownership_tells_examples_from_live_values(spark, frame):
     assert got[200] == [("assign", "example", 3, 2), ("hex", "example", 3, 2)]
 
 
+def test_copies_of_a_text_keep_their_secrets_live(spark, frame):
+    own, wide = "Pd5Fg6Hj7Kl8Zx9Cv0Bn1Mm", "Zq8Lw3Xv9Rt2Bn7Km4Jh1"
+    rows = [(k, f"key {own} and token={HEX}", "en", f"owner{k}") for k in range(2)]  # two exact copies
+    rows += [(10 + k, f"text {k} shows {wide}", "en", f"owner{k}") for k in range(4)]  # texts of their own
+    found = secrets.secrets(frame(rows), repository=F.col("doc_id"), owner=F.col("source")).collect()
+    got = {r.doc_id: [(f.kind, f.verdict, f.n_repositories, f.n_owners) for f in r.findings] for r in found}
+    assert got[0] == got[1] == [("opaque", "live", 2, 2), ("assign", "live", 2, 2), ("hex", "live", 2, 2)]
+    assert all(got[10 + k] == [] for k in range(4))
+
+
+@pytest.mark.parametrize("copies, verdict", [(3, "live"), (29, "live"), (30, "example")])
+def test_only_very_wide_copies_of_one_text_are_examples(spark, frame, copies, verdict):
+    docs = frame([(k, f"token={HEX}", "en", f"owner{k % 5}") for k in range(copies)])
+    found = secrets.secrets(docs, repository=F.col("doc_id"), owner=F.col("source")).collect()
+    assert {f.verdict for r in found for f in r.findings} == {verdict}
+
+
 def test_secrets_odd_rows(spark, frame, odd_rows):
     found = secrets.secrets(frame([*odd_rows, (None, f"token={HEX}")]), repository=F.col("doc_id"), owner=F.col("source")).collect()
     assert len(found) == len(odd_rows) + 1

@@ -2,8 +2,10 @@
 
 Candidates are found in every text: the base kinds by fixed patterns, and opaque tokens that look
 random. Their values are hashed and counted over the whole corpus by distinct repositories and
-distinct owners. A value that many owners hold is a copied example; one that a single owner holds
-and that looks random is taken for live. Opaque tokens become findings only if they are live.
+distinct owners. A copy of a text says nothing new about the values in it, so an equal text counts
+for one owner only, that of its first repository. A value that several owners hold in texts of their
+own is a copied example, as is one in a text that spread very widely; any other that looks random is
+taken for live. Opaque tokens become findings only if they are live.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ KINDS = ("assign", "access", "hex", "opaque")
 
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MIN_ENTROPY = 3.0
-WIDE_OWNERS = 2
+# An example has so many owners over distinct texts and so many repositories, both.
+WIDE_OWNERS, WIDE_REPOSITORIES = 2, 3
+# Copies of one text make an example only from so many owners and repositories on, both.
+COPY_OWNERS, COPY_REPOSITORIES = 5, 30
 
 _CANDIDATES = "array<struct<kind: int, start: bigint, stop: bigint, value: string, random: boolean>>"
 
@@ -62,9 +67,9 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
 
 
 def with_candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """Per row: `row` (a number of its own), doc_id, repository, owner and candidates.
+    """Per row: `row` (a number of its own), doc_id, repository, owner, text_hash and candidates.
 
-    Values leave the task as hashes only.
+    Values and texts leave the task as hashes only; a text without candidates needs none.
     """
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,42 +85,53 @@ def with_candidates(docs: DataFrame, repository: Column, owner: Column) -> DataF
                 ("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string()), ("random", pa.bool_()),
             ]))
             rest = ["doc_id", "repository", "owner"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, kind)], names=[*rest, "candidates"])
+            texts = [hashlib.sha256(t.as_py().encode()).hexdigest()[:32] if c else None for t, c in zip(batch.column("text"), out)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(out, kind)],
+                names=[*rest, "text_hash", "candidates"],
+            )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), repository.cast("string").alias("repository"),
         owner.cast("string").alias("owner"), "text",
-    ).mapInArrow(batches, f"doc_id bigint, repository string, owner string, candidates {_CANDIDATES}")
+    ).mapInArrow(batches, f"doc_id bigint, repository string, owner string, text_hash string, candidates {_CANDIDATES}")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per hashed value: `n_repositories` and `n_owners`, over the whole corpus.
+    """Per hashed value: `n_repositories`, `n_owners` and `text_owners`, over the whole corpus.
 
-    Counted in steps with partial sums, so a value in a third of all documents is a few rows.
+    `text_owners` counts every distinct text for one owner, that of its smallest repository. Counted
+    in steps with partial sums, so a value or a text in a third of all documents is a few rows.
     Repositories and owners that are null count as one each.
     """
     each = found.groupBy("value", "owner", "repository").agg(F.lit(1).alias("_one"))
     by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("_repositories"))
-    return by_owner.groupBy("value").agg(
+    counted = by_owner.groupBy("value").agg(
         F.sum("_repositories").alias("n_repositories"), F.count("*").alias("n_owners")
     )
+    texts = found.groupBy("value", "text_hash").agg(F.min(F.struct("repository", "owner")).alias("_first"))
+    credited = texts.select("value", F.col("_first.owner").alias("owner")).groupBy("value", "owner").agg(F.lit(1).alias("_one"))
+    return counted.join(credited.groupBy("value").agg(F.count("*").alias("text_owners")), "value")
 
 
 def secrets(docs: DataFrame, *, repository: Column, owner: Column, wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """Per row of `docs` (doc_id, text and what the two columns read): `findings`, by place.
 
     A finding has kind, start, stop (code points, end exclusive), the value's hash, `n_repositories`,
-    `n_owners` and verdict: `example` from `wide_owners` owners on, else `live` if the value looks
-    random, else `plain`. Base kinds stay whatever their verdict; opaque tokens stay if live. Null
+    `n_owners` and verdict: `example` from `wide_owners` owners over distinct texts together with
+    WIDE_REPOSITORIES repositories on (or COPY_OWNERS and COPY_REPOSITORIES, whatever the texts), else
+    `live` if the value looks random, else `plain`. Base kinds stay whatever their verdict; opaque tokens stay if live. Null
     and empty texts have no findings; repeated rows are repeated; rows without an id are kept. Other
     columns are not read.
     """
     rows = stored(with_candidates(docs, repository, owner), "secret-candidates")
-    each = rows.select("row", "doc_id", "repository", "owner", F.explode("candidates").alias("c"))
-    seen = each.select("repository", "owner", F.col("c.value").alias("value"))
+    each = rows.select("row", "doc_id", "repository", "owner", "text_hash", F.explode("candidates").alias("c"))
+    seen = each.select("repository", "owner", F.col("c.value").alias("value"), "text_hash")
+    wide = (F.col("text_owners") >= wide_owners) & (F.col("n_repositories") >= WIDE_REPOSITORIES)
+    spread = (F.col("n_owners") >= COPY_OWNERS) & (F.col("n_repositories") >= COPY_REPOSITORIES)
     verdict = (
-        F.when(F.col("n_owners") >= wide_owners, "example").when(F.col("c.random"), "live").otherwise("plain")
+        F.when(wide | spread, "example").when(F.col("c.random"), "live").otherwise("plain")
     )
     names = F.array(*(F.lit(k) for k in KINDS))
     judged = (
