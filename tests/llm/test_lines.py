@@ -59,6 +59,19 @@ def test_no_link_is_lost(spark, frame, edits):
         assert got[a].n_copies == copies[a] and got[a].doc_id == texts.index(a)
 
 
+def test_short_lines_are_compared_as_registered(spark, frame):
+    rng = random.Random(7)
+    base = ["Le treque.", "The anhely eran.", *("".join(rng.choice("abcdefghé .") for _ in range(rng.randrange(1, 24))) for _ in range(60))]
+    texts = ["Le | treque.", "The, anhely eran.", *base, *(edited(rng, rng.choice(base), rng.randrange(4)) for _ in range(120))]
+    got = {r.line: r for r in lines.deduplicated_lines(frame(list(enumerate(texts)))).collect()}
+    distinct = {t for t in texts if t.strip(" \t\n\x0b\x0c\r")}
+    long = lines.EDITS + 1
+    near = {a: sum(b != a and min(len(a), len(b)) >= long and distance(a, b) <= lines.EDITS for b in distinct) for a in distinct}
+    assert {a: r.n_links for a, r in got.items()} == near
+    assert got["Le treque."].class_line == got["Le | treque."].class_line
+    assert sum(near[a] > 0 for a in distinct if len(a) < 20) > 20
+
+
 def test_odd_rows(spark, frame, odd_rows):
     rows = lines.deduplicated_lines(frame([*odd_rows, (9, "one\n\none\r\n \nno id at all")])).collect()
     got = {r.line: (r.doc_id, r.n_copies) for r in rows}

@@ -24,8 +24,8 @@ from .neardup import components
 from .wordhash import _BASE, _INVERSE, _power_table, mix
 
 EDITS = 2
-# Shorter lines are duplicates only if equal: two edits in a few letters make another line.
-MIN_CHARS = 20
+# All lines that have segments are compared, that is, those of more than `edits` characters.
+MIN_CHARS = 0
 _CHUNK = 1 << 18
 
 
