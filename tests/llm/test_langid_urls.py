@@ -101,3 +101,19 @@ def test_trees_learn_lexical_signs(spark):
     for labels in (table.limit(0), table.where("bad")):
         assert urls.judged(held, urls.fit(labels), rules=()).select("verdict").distinct().count() == 1
     assert urls.judged(held.limit(0), model).count() == 0
+
+
+def test_suffixes_of_one_class_do_not_decide(spark):
+    rng = np.random.default_rng(2)
+
+    def named(bad):
+        return "".join(rng.choice(list("0123456789" if bad else "abcdefgh"), 12))
+
+    # good.com is only allowed and bad.org only blocked; in mixed.net the digits tell.
+    data = [(f"http://{named(False)}.good.com/p", False) for _ in range(200)]
+    data += [(f"http://{named(True)}.vbad.org/p", True) for _ in range(200)]
+    data += [(f"http://{named(k % 2)}.mixd.net/p", bool(k % 2)) for k in range(400)]
+    model = urls.fit(spark.createDataFrame(data, "url string, bad boolean"))
+    held = [(k, f"http://{named(k % 2)}.{('good.com', 'vbad.org')[k // 2 % 2]}/p") for k in range(200)]
+    got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(held, "page_id long, url string"), model, rules=()).collect()}
+    assert np.mean([(got[k] == "block") == bool(k % 2) for k, _ in held]) > 0.97
