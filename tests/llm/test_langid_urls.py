@@ -117,3 +117,23 @@ def test_suffixes_of_one_class_do_not_decide(spark):
     held = [(k, f"http://{named(k % 2)}.{('good.com', 'vbad.org')[k // 2 % 2]}/p") for k in range(200)]
     got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(held, "page_id long, url string"), model, rules=()).collect()}
     assert np.mean([(got[k] == "block") == bool(k % 2) for k, _ in held]) > 0.97
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_every_suffix_has_its_rate(spark, monkeypatch, broadcast):
+    data = [(f"http://a.s{k}.net/p{i}", i == 0) for k in range(1500) for i in range(2 + (k > 1400))]
+    model = urls.fit(spark.createDataFrame(data, "url string, bad boolean"))
+    overall = 1500 / len(data)
+    # Joined as if there were too many rates to broadcast, with repeated rows and a hot suffix.
+    if not broadcast:
+        monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr("wirevault.operators.joins.BROADCAST_ROWS", 0)
+        monkeypatch.setitem(urls.hot_keys.__kwdefaults__, "floor", 10)
+    rows = [(k, f"s{k}.net") for k in range(1500)] * 2 + [(9000 + k, "s0.net") for k in range(300)] + [(None, "none.net")]
+    got = model.with_rate(spark.createDataFrame(rows, "page_id long, suffix string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = int(r.suffix[1:-4]) if r.suffix != "none.net" else None
+        n = 2 + (k is not None and k > 1400)
+        want = overall if k is None else (1 + urls.PRIOR_ROWS * overall) / (n + urls.PRIOR_ROWS)
+        assert r.rate == pytest.approx(want)
