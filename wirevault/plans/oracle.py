@@ -314,4 +314,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_tag_new": _select(
             "ts, url, status, array_to_string(list_filter(tag_list, lambda t: t NOT IN ('apigee', 'graphql', 'waf-generic')), ',') AS tags"
         ),
+        "stream_tag_all": _select("ts, url, status, tags"),
     }

@@ -485,6 +485,22 @@ _streamed: dict[tuple[str, str], Archive] = {}
 WAVES = 3
 
 
+def arrival_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, wave``: when a record arrives.
+
+    The first record of a body, by id, comes with its half of the ids, and every other one a wave
+    after its own half. So whatever the order inside a wave, a body is first seen where its id is least.
+    """
+    flows = capture_flows(configure(spark), sf_dir).select("id", F.sha2("resp_body", 256).alias("_body"))
+    middle = flows.agg((F.min("id") + F.max("id")) / 2).scalar()
+    first = flows.where("_body IS NOT NULL").groupBy("_body").agg(F.min("id").alias("id")).select("id", F.lit(0).alias("_later"))
+    bodiless = flows.where("_body IS NULL").select("id", F.lit(0).alias("_later"))
+    late = F.when(F.col("id") > middle, 1).otherwise(0)
+    return flows.select("id").join(first.union(bodiless), "id", "left").select(
+        "id", (late + F.coalesce("_later", F.lit(1))).alias("wave")
+    )
+
+
 def streamed_archive(spark: SparkSession, sf_dir: str) -> Archive:
     """The JSONL lines stored by a file stream that is stopped and restarted between waves."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -492,7 +508,7 @@ def streamed_archive(spark: SparkSession, sf_dir: str) -> Archive:
         configure(spark)
         root = new_scratch_dir(spark, "stream")
         archive = Archive(spark, f"{root}/archive")
-        lines = jsonl_lines(spark, sf_dir).select("value", F.pmod(F.hash("id"), F.lit(WAVES)).alias("wave"))
+        lines = jsonl_lines(spark, sf_dir).join(arrival_waves(spark, sf_dir), "id").select("value", "wave")
         lines.write.partitionBy("wave").text(f"{root}/all")
         for wave in range(WAVES):
             spark.read.text(f"{root}/all/wave={wave}").write.mode("append").text(f"{root}/incoming")
@@ -528,6 +544,13 @@ def stream_tag_new(spark, sf_dir):
     )
 
 
+def stream_tag_all(spark, sf_dir):
+    """All tags of new flows, those by body text too, as they are stored."""
+    return streamed_archive(spark, sf_dir).flows().select(
+        local_time("ts"), "url", "status", F.array_join("fingerprints", ",").alias("tags")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "bodies_dedup": bodies_dedup,
@@ -588,4 +611,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_rollup": stream_rollup,
         "stream_bodies": stream_bodies,
         "stream_tag_new": stream_tag_new,
+        "stream_tag_all": stream_tag_all,
     }
