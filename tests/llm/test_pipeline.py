@@ -32,5 +32,5 @@ def test_stages_keep_what_they_should(spark, small):
 def test_everything_is_registered():
     names = set(entry.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
     assert set(queries.oracle_sql()) <= names

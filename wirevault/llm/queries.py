@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontam, langid, lines, mixing, neardup, oracle, quality, secrets, sharding, tokens, urls
+from . import conversations, decontam, langid, lines, mixing, neardup, oracle, quality, secrets, sharding, tokens, urls
 from .common import table
 
 
@@ -92,10 +92,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_survivor_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, times = conversations.damaged(table(configure(spark), sf_dir, "conversations"))
+    return conversations.repair_report(rows, copies=times)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ownership, op2_edit_join, op3_hyperdimensional, op4_odd_sketches, op5_boosted_trees,
         op6_suffix_arrays, op7_virtual_slots, op8_mixing, op9_trie_tokens, op10_quality,
+        op11_survivor_viterbi,
     )}
 
 
