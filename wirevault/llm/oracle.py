@@ -60,3 +60,76 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN run USING (doc_id)
 """
+
+# The checksum bit by bit, then a search of four states (cost, edits, repaired lines) row by row:
+# s0 nothing yet, s1 after a system row, s2 after a user row, s3 after an assistant row.
+OP11 = r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), summed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+    list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM keyed, bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM summed, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS copy,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged)
+), faulty AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN last = '' THEN 'blank' WHEN copy > 1 THEN 'duplicate'
+    WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), search AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} AS s0,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS s1, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS s2,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS s3
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, k, CASE WHEN s0 IS NOT NULL THEN {'c': s0.c + 3, 'a': s0.a || 'D', 'r': s0.r} END,
+    list_sort([CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 3, 'a': s1.a || 'D', 'r': s1.r} END,
+      CASE WHEN s0 IS NOT NULL AND stays AND i = 's' THEN {'c': s0.c + late, 'a': s0.a || 'K', 'r': s0.r || own} END], 'ASC', 'NULLS LAST')[1],
+    list_sort([CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 3, 'a': s2.a || 'D', 'r': s2.r} END,
+      CASE WHEN s0 IS NOT NULL AND stays AND i = 'u' THEN {'c': s0.c + late, 'a': s0.a || 'K', 'r': s0.r || own} END,
+      CASE WHEN s1 IS NOT NULL AND stays AND i = 'u' THEN {'c': s1.c + late, 'a': s1.a || 'K', 'r': s1.r || own} END,
+      CASE WHEN s3 IS NOT NULL AND stays AND i = 'u' THEN {'c': s3.c + late, 'a': s3.a || 'K', 'r': s3.r || own} END,
+      CASE WHEN s0 IS NOT NULL AND stays THEN {'c': s0.c + 2 + late, 'a': s0.a || 'R', 'r': s0.r || chr(10) || 'user:' || text} END,
+      CASE WHEN s1 IS NOT NULL AND stays THEN {'c': s1.c + 2 + late, 'a': s1.a || 'R', 'r': s1.r || chr(10) || 'user:' || text} END,
+      CASE WHEN s3 IS NOT NULL AND stays THEN {'c': s3.c + 2 + late, 'a': s3.a || 'R', 'r': s3.r || chr(10) || 'user:' || text} END], 'ASC', 'NULLS LAST')[1],
+    list_sort([CASE WHEN s3 IS NOT NULL THEN {'c': s3.c + 3, 'a': s3.a || 'D', 'r': s3.r} END,
+      CASE WHEN s2 IS NOT NULL AND stays AND i = 'a' THEN {'c': s2.c + late, 'a': s2.a || 'K', 'r': s2.r || own} END,
+      CASE WHEN s2 IS NOT NULL AND stays THEN {'c': s2.c + 2 + late, 'a': s2.a || 'R', 'r': s2.r || chr(10) || 'assistant:' || text} END], 'ASC', 'NULLS LAST')[1]
+  FROM (
+    SELECT conv_id, k, i, text, own, stays, late, s0, s1, s2, list_sort([s3,
+      CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || chr(10) || 'assistant:'} END], 'ASC', 'NULLS LAST')[1] AS s3
+    FROM (
+      SELECT f.conv_id, f.k, f.i, f.text, chr(10) || f.role || ':' || f.text AS own, f.fault NOT IN ('blank', 'duplicate') AS stays,
+        CASE f.fault WHEN 'truncated' THEN 1 ELSE 0 END AS late, s.s0, s.s1, s.s3, list_sort([s.s2,
+        CASE WHEN s.s0 IS NOT NULL THEN {'c': s.s0.c + 2, 'a': s.s0.a || 'I', 'r': s.s0.r || chr(10) || 'user:'} END,
+        CASE WHEN s.s1 IS NOT NULL THEN {'c': s.s1.c + 2, 'a': s.s1.a || 'I', 'r': s.s1.r || chr(10) || 'user:'} END,
+        CASE WHEN s.s3 IS NOT NULL THEN {'c': s.s3.c + 2, 'a': s.s3.a || 'I', 'r': s.s3.r || chr(10) || 'user:'} END], 'ASC', 'NULLS LAST')[1] AS s2
+      FROM search s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.k = s.k + 1
+    )
+  )
+), ended AS (
+  SELECT conv_id, list_sort([s0, s3, CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || chr(10) || 'assistant:'} END,
+    CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || chr(10) || 'user:' || chr(10) || 'assistant:'} END], 'ASC', 'NULLS LAST')[1] AS e
+  FROM search QUALIFY k = max(k) OVER (PARTITION BY conv_id)
+)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.e.c AS cost, e.e.a AS audit,
+  sha256(substr(e.e.r, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -106,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_odd_sketches": oracle.OP4, "op6_suffix_arrays": oracle.OP6}
+    return {"op4_odd_sketches": oracle.OP4, "op6_suffix_arrays": oracle.OP6, "op11_survivor_viterbi": oracle.OP11}
