@@ -1,0 +1,158 @@
+import random
+import re
+import time
+from html import escape, unescape
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from wirevault.llm import queries
+from wirevault.llm.html import main_text, main_texts, runs
+
+LONG = "The text of a paragraph goes on for a while, so that it is told from what stands around it, and ends."
+
+
+def page(body, head=""):
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Some title</title>{head}</head><body>{body}</body></html>'
+
+
+def test_everything_around_an_article_goes():
+    body = f"""
+    <header class="site"><a href="/">Home</a> Welcome to this page</header>
+    <nav><ul><li><a href="/a">First</a></li><li>Second</li></ul></nav>
+    <div id="cookie-notice">We use cookies &amp; more. <button>Accept</button></div>
+    <aside>{LONG} In a sidebar.</aside>
+    <article class="has-sidebar"><header><h1>A  title</h1></header>
+      <p>Short.</p>
+      <p>Some <b>bold</b>,
+         <i>slanted</i>&nbsp;and<br>broken &lt;text&gt; &copy; &#233;.</p>
+      <div class="ad">Buy <p>this</p> now</div><script>var t = "</p><p>no";</script><style>p {{ color: red }}</style>
+      <p>With <span class="ad-slot">an advert</span> inside.</p>
+      <form action="/"><label>Mail</label><input name=m><textarea>{LONG}</textarea></form>
+      <ul><li>one<li>two <a href="x">linked</a></ul>
+      <table><tr><td>a</td><td>b</td></tr><tr><td>c<td>d</table>
+      <!-- not <p>this</p> -->
+      <footer>Written by me. {LONG}</footer>
+      <p>Last</p>
+      <section class="comments"><article class="comment"><p>{LONG} Says a reader.</p></article></section>
+    </article>
+    <div class="related-posts"><p>{LONG}</p></div>
+    <footer>&copy; me</footer>"""
+    assert main_text(page(body)).split("\n") == [
+        "A title", "Short.", "Some bold, slanted and broken <text> © é.", "With inside.", "one", "two linked", "a b", "c d", "Last",
+    ]
+
+
+def test_surge_and_dive_without_an_article():
+    body = f"""<div><a href="/1">Menu one</a></div><div><a href="/2">Menu two</a></div><div><a href="/3">Menu three</a></div>
+    <div><a href="/4">Menu four</a></div>
+    <div id="content"><h2>Heading</h2><p>{LONG}</p><p>Short.</p><div class="advert">Buy</div><p>{LONG}</p><p>End.</p></div>
+    <div><a href="/5">Next</a></div><div><a href="/6">Previous</a></div><div><a href="/7">All</a></div><div>Imprint</div>"""
+    assert main_text(page(body)) == f"Heading\n{LONG}\nShort.\n{LONG}\nEnd."
+
+
+def test_runs():
+    assert runs([], surge=10) == []
+    assert runs([0, 0], surge=10) == []
+    assert runs([0, 3, 0, 0, 0, 12, 0, 1, 0, 0, 0, 9, 2, 0], surge=10) == [(5, 8), (11, 13)]
+    assert runs([1, 0, 2], surge=10) == [(0, 3)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=30), st.integers(1, 4), st.integers(1, 20))
+def test_runs_against_all_windows(weights, window, surge):
+    n = len(weights)
+    sums = {i: sum(w for j, w in enumerate(weights) if i <= j < i + window) for i in range(1 - window, n)}
+    limit = min(surge, max(sums.values(), default=0))
+    covered = [limit > 0 and any(sums[k] >= limit for k in range(i - window + 1, i + 1)) for i in range(n)]
+    want, i = [], 0
+    while i < n:
+        j = i
+        while j < n and covered[j]:
+            j += 1
+        heavy = [k for k in range(i, j) if weights[k]]
+        if heavy:
+            want.append((heavy[0], heavy[-1] + 1))
+        i = j + 1
+    assert runs(weights, window=window, surge=surge) == want
+
+
+def random_page(rng):
+    """A page and its main text, with blocks of all sizes and things to drop around and inside."""
+    word = lambda: "".join(rng.choice("abcdeé漢😀&<") for _ in range(rng.randrange(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(rng.randrange(1, n)))
+    junk = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{k}>{escape(text(3))}</a></li>' for k in range(rng.randrange(9)))}</ul></nav>",
+        lambda: f'<div class="ad">{escape(text(40))}</div>',
+        lambda: f"<aside><h3>{escape(text(5))}</h3><p>{escape(text(60))}</p></aside>",
+        lambda: f'<section id="comments"><p>{escape(text(50))}<p>{escape(text(50))}</section>',
+        lambda: f"<form><p>{escape(text(20))}</p><select><option>{escape(text(3))}</select></form>",
+        lambda: f'<script>if (a < b) document.write("<p>{word()}</p>")</script><style>p > b {{}}</style>',
+        lambda: f"<!-- {word()} <p> -->",
+    ]
+    blocks, body = [], []
+    for _ in range(rng.randrange(1, 12)):
+        words = [word() for _ in range(rng.choice([1, 2, 5, 60]))]
+        blocks.append(" ".join(words))
+        marked = [f"<b>{escape(w)}</b>" if rng.random() < 0.1 else escape(w) for w in words]
+        inner = rng.choice([" ", "\n", " \t "]).join(marked)
+        kind = rng.choice(["p", "h2", "li", "blockquote", "open"])
+        body.append({"open": f"<p>{inner}<br>", "li": f"<ul><li>{inner}</li></ul>"}.get(kind, f"<{kind}>{inner}</{kind}>"))
+        if rng.random() < 0.3:
+            body.append(rng.choice(junk)())
+    around = lambda: "".join(rng.choice(junk)() for _ in range(rng.randrange(4)))
+    wrapper = rng.choice(["article", "main", "div role=main"])
+    html = page(f"<header>{escape(text(9))}</header>{around()}<{wrapper}>{''.join(body)}</{wrapper.split()[0]}>{around()}<footer>{escape(text(9))}</footer>")
+    return html, "\n".join(blocks)
+
+
+def test_random_pages():
+    rng = random.Random(11)
+    for _ in range(400):
+        html, want = random_page(rng)
+        assert main_text(html) == want, html
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("<>/\"'= &;!-apdivscriptarticle\n", max_size=120))
+def test_broken_markup_never_fails(html):
+    assert "\n\n" not in main_text(html)
+
+
+def test_time_grows_with_the_page_only():
+    began = time.time()
+    for piece in ("<div>", '<p class="', "</div><a href='", "<!--", "<script", "<li><b>", "a < b ", "<article>x", "&amp", "<td>x</p>"):
+        main_text(piece * 60_000)
+    assert time.time() - began < 60
+    article = f"<article>{'<p>' + LONG + '</p>'}</article>" * 1
+    assert main_text(page(article + "<div>" * 100_000)) == LONG
+
+
+def test_table_of_odd_rows(spark):
+    rows = [
+        (1, "u", page(f"<article><p>{LONG}</p></article>")), (1, "u", page(f"<article><p>{LONG}</p></article>")),
+        (2, None, None), (None, "v", ""), (3, "w", "no markup at all"), (4, "x", page("<nav>only a menu</nav>")),
+        (5, "y", page("<article>" + f"<p>{LONG}</p>" * 20_000)),
+    ]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'z' AS text", "1 AS _text", "page_id AS n_chars")
+    found = main_texts(frame)
+    assert found.columns == ["page_id", "url", "text", "n_chars", "_text", "_n_chars"]
+    got = [(r.page_id, r._text, r._n_chars) for r in found.collect()]
+    many = "\n".join([LONG] * 20_000)
+    texts = [(1, LONG), (1, LONG), (2, ""), (None, ""), (3, "no markup at all"), (4, ""), (5, many)]
+    assert got == [(i, t, len(t)) for i, t in texts]
+    assert main_texts(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_registered_query_against_the_articles_of_the_table(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    want = {}
+    for row in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        article = re.search("<article>(.*?)</article>", row.html, re.S)[1]
+        blocks = (" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>|<br>", article))
+        want[row.page_id] = "\n".join(b for b in blocks if b)
+    found = queries.op13_line_blocks(spark, folder).collect()
+    assert {r.page_id: r.text for r in found} == want and len(found) == len(want)
+    assert all(r.n_chars == len(r.text) for r in found)
