@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import conversations, decontam, html, langid, lines, mixing, neardup, oracle, quality, secrets, sharding, tokens, urls
+from . import (
+    conversations, decontam, html, langid, lines, mixing, neardup, oracle, phrases, quality, secrets, sharding, tokens, urls,
+)
 from .common import table
 
 
@@ -97,6 +99,10 @@ def op11_survivor_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(rows, copies=times)
 
 
+def op12_tiled_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(configure(spark), sf_dir, "documents"))
+
+
 def op13_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(configure(spark), sf_dir, "pages").select("page_id", "url", "html")
     return html.main_texts(pages).select("page_id", "url", F.col("_text").alias("text"), F.col("_n_chars").alias("n_chars"))
@@ -106,9 +112,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ownership, op2_edit_join, op3_hyperdimensional, op4_odd_sketches, op5_boosted_trees,
         op6_suffix_arrays, op7_virtual_slots, op8_mixing, op9_trie_tokens, op10_quality,
-        op11_survivor_viterbi, op13_line_blocks,
+        op11_survivor_viterbi, op12_tiled_phrases, op13_line_blocks,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_odd_sketches": oracle.OP4, "op6_suffix_arrays": oracle.OP6, "op11_survivor_viterbi": oracle.OP11}
+    return {
+        "op4_odd_sketches": oracle.OP4, "op6_suffix_arrays": oracle.OP6, "op11_survivor_viterbi": oracle.OP11,
+        "op12_tiled_phrases": oracle.OP12,
+    }
