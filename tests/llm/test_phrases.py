@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wirevault.llm import phrases
-from wirevault.llm.phrases import Ranks, Tiles, chunks, join_keys, language_key
+from wirevault.llm.phrases import Ranks, Tiles, chunks, language_key
 
 
 def lower(text):
@@ -133,16 +134,17 @@ def test_arrays_and_coordinates_agree(monkeypatch, dense):
     monkeypatch.setattr(phrases, "TILES", 3)
     rng = np.random.default_rng(1)
     keys = rng.integers(1, 1 << 60, size=900, dtype=np.uint64)
-    ranks = Ranks.of([(int(k), int(k)) for k in keys[:700]])
+    ranks = Ranks.of(pa.table({"key": keys[:700].view(np.int64), "n": np.arange(700)}), [])
     tiles, want = Tiles(ranks, ranks), Counter()
     found = Counter()
     for _ in range(6):
         i, j = (np.minimum(rng.zipf(1.3, 4000) - 1, 899) for _ in range(2))
-        tiles.add(keys[i], keys[j], keys[j])
+        tiles.add(keys[i], keys[j])
         want.update(zip(keys[i].tolist(), keys[j].tolist()))
     assert bool(tiles.arrays) == (dense < 10**9)
-    for key, left, right, rest, n in tiles.counts():
-        assert (key == join_keys(left, right)).all() and (rest == right).all()
+    for cell, left, right, n in tiles.counts():
+        left, right, ranked = left.copy(), right.copy(), cell >= 0
+        left[ranked], right[ranked] = (ranks.facts["key"][c[ranked]] for c in (cell >> 32, cell & 0xFFFFFFFF))
         for a, b, c in zip(left.tolist(), right.tolist(), n.tolist()):
             found[a, b] += c
     assert found == want
@@ -175,3 +177,13 @@ def test_bitmap_has_no_misses(spark):
     assert phrases._in_bitmap(bits, keys.view(np.uint64)).all()
     others = rng.integers(-(1 << 63), (1 << 63) - 1, size=5000).view(np.uint64)
     assert phrases._in_bitmap(bits, others).sum() < 50
+
+
+@pytest.mark.parametrize("limit", [0, 1, 5, 40, 1000])
+def test_ranks_are_bounded_and_in_order(spark, limit):
+    rng = random.Random(limit)
+    rows = [(k, rng.choice([10, 11, 5000, 10**6 + k, 2**40 + k])) for k in range(60)]
+    found = phrases.ranks(spark.createDataFrame(rows, "key bigint, n bigint"), limit, [], []).facts["key"].tolist()
+    n = dict(rows)
+    assert len(found) <= limit and [n[k] for k in found] == sorted((n[k] for k in found), reverse=True)
+    assert all(n[k] >= max((n[j] for j in n if j not in found), default=0) for k in found)
