@@ -74,6 +74,7 @@ def test_late_text_is_indexed_once(spark, archive):
     archive.ingest(seen_as("text/html", 2), batch_id=1)
     archive.ingest(seen_as("text/html", 3), batch_id=2)
     assert [r.tokens for r in archive.body_text().collect()] == [["late", "words"]]
+    assert sorted((r.word, len(r.keys)) for r in archive.body_words().collect()) == [("late", 1), ("words", 1)]
     body = archive.bodies().first()
     assert (body.is_text, body.seen_count) == (False, 3)
 
@@ -157,6 +158,54 @@ def test_retag_makes_a_generation(spark, archive):
     assert {tuple(r.fingerprints) for r in archive.flows().collect()} == {()}
 
 
+def files_below(root):
+    return {
+        os.path.join(at, name): os.stat(os.path.join(at, name)).st_mtime_ns
+        for at, _, names in os.walk(root) for name in names
+    }
+
+
+def test_tags_of_untagged_flows_touch_no_flow_file(spark, archive):
+    days = [dict(ts=at(0).replace(day=1 + i % 4), host=f"h{i % 4}", resp_headers={"Server": "nginx"} if i % 8 < 4 else {}) for i in range(24)]
+    archive.ingest(make(spark, *days), batch_id=0)
+    before = files_below(f"{archive.root}/flows")
+    one = RuleSet([*RULES, Rule("h1", lambda c: F.col("host") == "h1")])
+    assert archive.retag(one, only_untagged=True) == 12
+    assert files_below(f"{archive.root}/flows") == before
+    tagged = files_below(f"{archive.root}/flow_tags")
+    assert {p.split("dt=")[1][:10] for p in tagged if p.endswith(".parquet")} == {"2024-01-02"}
+    got = {r.id: r.fingerprints for r in archive.flows().collect()}
+    assert len(got) == 24 and all(got[i + 1] == (["nginx"] if i % 8 < 4 else ["h1"] if i % 4 == 1 else []) for i in range(24))
+    # The next rule looks only at what is untagged still, and leaves the earlier tags as they are.
+    two = RuleSet([*RULES, Rule("h1", lambda c: F.col("host") == "h1"), Rule("h2", lambda c: F.col("host").isin("h1", "h2"))])
+    assert archive.retag(two, only_untagged=True) == 9
+    assert {p: t for p, t in files_below(f"{archive.root}/flow_tags").items() if p in tagged and p.endswith(".parquet")} == {
+        p: t for p, t in tagged.items() if p.endswith(".parquet")
+    }
+    got = {r.id: r.fingerprints for r in archive.flows().collect()}
+    assert got[2 + 4] == ["h1"] and got[3 + 4] == ["h2"] and got[4 + 4] == []
+    # A whole retag makes a generation, which takes their place.
+    assert archive.retag(two) == 24
+    assert {r.id: r.fingerprints for r in archive.flows().collect()}[2] == ["nginx", "h1", "h2"]
+    archive.vacuum()
+    assert not path_exists(spark, f"{archive.root}/flow_tags/base=0")
+    assert archive.flows().count() == 24
+
+
+def test_columns_of_later_writers(spark, archive):
+    from pyspark.sql.types import StructType
+
+    archive.ingest(make(spark, dict(id=1)), batch_id=0)
+    newer = Archive(spark, archive.root, more=StructType().add("note", "string"))
+    newer.ingest(make(spark, dict(id=2)).withColumn("note", F.lit("seen")), batch_id=1)
+    newer.ingest(make(spark, dict(id=3)), batch_id=2)
+    assert {r.id: r.note for r in newer.flows().collect()} == {1: None, 2: "seen", 3: None}
+    assert "note" not in archive.flows().columns
+    assert {r.id: r.note for r in archive.flows(all_columns=True).collect()} == {1: None, 2: "seen", 3: None}
+    newer.retag()
+    assert {r.id: r.note for r in newer.flows().collect()} == {1: None, 2: "seen", 3: None}
+
+
 def test_ids_follow_arrival(spark, archive):
     first = make(spark, *(dict(host=f"h{i}") for i in range(10))).drop("id", "ingest_seq")
     archive.ingest(first.repartition(3), batch_id=0)

@@ -333,3 +333,21 @@ def test_replay_lineage(spark):
     assert {r.id: (r.root, r.depth) for r in replay.replay_chain(looped).collect()} == {
         1: (None, None), 2: (None, None), 3: (None, None), 5: (4, 1)
     }
+
+
+def test_postings_find_what_the_words_of_bodies_find(spark, monkeypatch):
+    import random
+
+    from wirevault.operators import postings as P
+
+    monkeypatch.setattr(P, "RUN_BODIES", 7)
+    rng = random.Random(3)
+    vocabulary = ["a", "b", "c", "d", "e", "é", "漢字", "x_1", "9"]
+    # The first word is in every body.
+    rows = [(f"k{i}", ["all", *rng.sample(vocabulary, rng.randrange(len(vocabulary)))]) for i in range(60)]
+    index = spark.createDataFrame(rows, "sha256 string, tokens array<string>")
+    posted = P.postings(index, 60).withColumn("batch_id", F.lit(0).cast("bigint"))
+    assert posted.where("word = 'all'").count() > 5 and posted.where("size(keys) > 25").count() == 0
+    for phrase in ("all", "ALL a", "a, b", "c d e", "é 漢字", "x_1-9", "missing", "all missing", "...", "", "a a"):
+        want = sorted(r.sha256 for r in B.matching_bodies(index, phrase).collect())
+        assert sorted(r.sha256 for r in P.bodies_with_words(posted, phrase).collect()) == want, phrase

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wirevault.operators import bodies as B
 from wirevault.operators import rollup, search, stats
+from wirevault.operators.postings import bodies_with_words
 from wirevault.operators.tagging import tag_flows
 from wirevault.plans.capture_view import capture_flows
 from wirevault.plans.queries import archive_of
@@ -35,6 +36,16 @@ def test_body_search_has_no_nested_loop(archive):
             assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_body_search_reads_the_words_of_the_phrase(archive):
+    for phrase, pushed in (("Denied", "EqualTo(word,denied)"), ("access Denied", "In(word, [access,denied])")):
+        text = plan(bodies_with_words(archive.body_words(), phrase))
+        assert pushed in text, text
+        assert "NestedLoop" not in text and text.count("hashpartitioning(") <= 1
+    for predicate in ({"grep": "the"}, {"body": "the"}):
+        text = plan(search.search(archive.flows(), body_words=archive.body_words(), hot=archive.hot_bodies(), **predicate))
+        assert "NestedLoop" not in text and "Cartesian" not in text
+
+
 def test_built_in_rules_stay_in_the_jvm(archive):
     text = plan(tag_flows(archive.flows(), archive.body_content(), hot=archive.hot_bodies()))
     assert "Python" not in text and "NestedLoop" not in text and "Cartesian" not in text

@@ -14,6 +14,8 @@ Layout below the root::
     body_content/batch_id=N         each distinct body once in the whole archive
     body_stats/batch_id=N           counters per body
     body_text/batch_id=N            words of each body ever served as text
+    body_words/batch_id=N           the same by word: lists of body keys
+    flow_tags/base=G/n=N/dt=D       tags given later to flows that had none, over generation G
     shape_stats/batch_id=N          counters per request shape
     dead_letters/batch_id=N         rejected records
     staging*/batch_id=N             the parsed batch that all of the above read, removed after it
@@ -44,13 +46,13 @@ from .operators.bodies import (
     text_index,
     with_body_keys,
 )
-from .operators.joins import BROADCAST_ROWS
+from .operators.joins import BROADCAST_ROWS, lookup
+from .operators.postings import postings
 from .operators.rollup import flow_agg, merge_shape_stats, shape_stats
 from .operators.tagging import RuleSet, tag_flows
 from .session import configure, path_exists, remove_path
 from .sources.common import ARRIVAL, dead_letters
 
-_STORED = [f.name for f in schemas.STORED_FLOW]
 _PARQUET = {"compression": "zstd"}
 # Fixed value: bodies are written once and kept for good, so they get a high level.
 _BODY_PARQUET = {**_PARQUET, "parquet.compression.codec.zstd.level": "10"}
@@ -70,21 +72,51 @@ class Archive:
         *,
         strip_markup: bool = False,
         indexed_chars: int | None = None,
+        more: StructType | None = None,
     ):
-        """``indexed_chars`` bounds the characters of a body that can be searched for; none by default."""
+        """``indexed_chars`` bounds the characters of a body that can be searched for; none by default.
+
+        ``more`` names columns that flows of this archive have besides `schemas.STORED_FLOW`: batches
+        that bring them keep them, and flows stored before they were known read as null.
+        """
         self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.rules = rules or RuleSet()
         self.strip_markup = strip_markup
         self.indexed_chars = indexed_chars
+        self.flow_schema = StructType([*schemas.STORED_FLOW.fields, *(more.fields if more else [])])
+        self._stored = [f.name for f in self.flow_schema]
 
     # -- reading ---------------------------------------------------------------------
 
-    def flows(self) -> DataFrame:
-        """Stored flows with their current tags, plus ``dt`` for partition pruning."""
-        schema = schemas.extend(
-            schemas.STORED_FLOW, gen=schemas.LONG, batch_id=schemas.LONG, dt=schemas.DAY
-        )
+    def flows(self, *, all_columns: bool = False) -> DataFrame:
+        """Stored flows with their current tags, plus ``dt`` for partition pruning.
+
+        ``all_columns`` adds the columns that other writers of the archive stored and this one was not
+        told of; it reads the footers of all files for that.
+        """
+        stored = self._generation(all_columns)
+        base = self._latest("flows")[0] or 0
+        given = self._registry().where((F.col("kind") == "tags") & (F.col("upto") == base))
+        rows = given.agg(F.sum("written").alias("n")).first()["n"]
+        if not rows:
+            return stored
+        later = self._read("flow_tags", schemas.FLOW_TAGS).where(F.col("base") == base)
+        days = [r["dt"] for r in later.select("dt").distinct().collect()]  # partition values only
+        tags = later.select(F.col("id").alias("_tagged"), F.col("fingerprints").alias("_tags"))
+        touched = lookup(stored.where(F.col("dt").isin(days)), tags, "id", table_key="_tagged", table_rows=rows)
+        own = F.size("fingerprints") > 0  # a batch that was repeated since has tags of its own
+        current = F.when(own, F.col("fingerprints")).otherwise(F.coalesce("_tags", "fingerprints"))
+        overlaid = touched.withColumn("fingerprints", current).select(stored.columns)
+        return stored.where(~F.col("dt").isin(days) | F.col("dt").isNull()).unionByName(overlaid)
+
+    def _generation(self, all_columns: bool = False) -> DataFrame:
+        """Flows with the tags of their files."""
+        schema = schemas.extend(self.flow_schema, gen=schemas.LONG, batch_id=schemas.LONG, dt=schemas.DAY)
+        if all_columns and path_exists(self.spark, f"{self.root}/flows"):
+            found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/flows").schema
+            known = set(schema.names)
+            schema = StructType([*schema, *(f for f in found if f.name not in known)])
         stored = self._read("flows", schema)
         gen, upto = self._latest("flows")
         current = F.col("gen") == 0
@@ -107,6 +139,10 @@ class Archive:
         counters = self.body_stats().select("sha256", "seen_count", "first_seen")
         return self.body_content().join(counters, "sha256")
 
+    def body_words(self) -> DataFrame:
+        """Postings of all words of text bodies, for `match_flows`."""
+        return self._read("body_words", schemas.extend(schemas.BODY_WORDS, batch_id=schemas.LONG))
+
     def body_text(self) -> DataFrame:
         return self._read("body_text", schemas.extend(schemas.BODY_TEXT, batch_id=schemas.LONG)).drop("batch_id")
 
@@ -171,9 +207,13 @@ class Archive:
 
     def _warn_of_other_rules(self) -> None:
         """New flows would lack the tags that the stored ones were given last."""
-        last = (
-            self._registry().where("kind = 'flows'").agg(F.max_by("rules", "n").alias("rules")).first()["rules"]
-        )
+        entries = self._registry()
+        base = self._latest("flows")[0] or 0
+        # Tags laid over the newest generation are newer than it.
+        for kind in ((F.col("kind") == "tags") & (F.col("upto") == base), F.col("kind") == "flows"):
+            last = entries.where(kind).agg(F.max_by("rules", "n").alias("rules")).first()["rules"]
+            if last is not None:
+                break
         if last is not None and last != self.rules.names():
             warnings.warn(f"stored flows were tagged by {last}, this batch is by {self.rules.names()}", stacklevel=3)
 
@@ -281,7 +321,10 @@ class Archive:
             again = distinct_content(obs.join(late, "sha256", "left_semi"))
             indexable = indexable.unionByName(again)
         index = text_index(indexable, strip_markup=self.strip_markup, chars=self.indexed_chars)
-        self._write(index, "body_text", batch_id)
+        seen = Observation()
+        path = self._write(index.observe(seen, F.count(F.lit(1)).alias("n")), "body_text", batch_id)
+        stored = self.spark.read.schema(schemas.BODY_TEXT).parquet(path)
+        self._write(postings(stored, seen.get["n"]), "body_words", batch_id)
 
     def _write_flows(self, good: DataFrame, stats: DataFrame, known: DataFrame, batch_id: int) -> None:
         names = list(self.rules.on_empty_text())
@@ -298,7 +341,8 @@ class Archive:
             features = self.rules.informative(texts.select("sha256", *names))
             features, rows = self._staged_small(features, "staging_features", batch_id)
             tagged = self.rules.tag(join_bodies(kept, features, "resp_body_sha", rows=rows, hot=hot))
-        self._write_flow_files(tagged.select(*_STORED), f"flows/gen=0/batch_id={batch_id}", ["dt"])
+        known_columns = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in tagged.columns else f.name for f in self.flow_schema]
+        self._write_flow_files(tagged.select(*known_columns), f"flows/gen=0/batch_id={batch_id}", ["dt"])
 
     def _write_flow_files(self, flows: DataFrame, table: str, partitions: list[str]) -> None:
         dated = flows.withColumn("dt", F.to_date("ts"))
@@ -318,6 +362,9 @@ class Archive:
         files; batches that arrive meanwhile are not touched. Later batches are tagged by the
         same rules. Their names are kept with the generation, so that an archive opened
         elsewhere with other rules warns before it stores a batch.
+
+        With ``only_untagged`` no flow file is written: the tags of flows that had none go to
+        narrow files of the days they touch, which readers lay over the flows.
         """
         rules = rules or self.rules
         upto = self._max("batch")
@@ -329,15 +376,31 @@ class Archive:
             flows, self.body_content(), rules, hot=self.hot_bodies(), only_untagged=only_untagged
         )
         seen = Observation()
-        result = tagged.observe(seen, F.count(F.lit(1)).alias("n")).select(*_STORED, "batch_id")
         if only_untagged:
-            settled = flows.where(F.size("fingerprints") > 0).select(*_STORED, "batch_id")
-            result = result.unionByName(settled)
+            counts = (F.count(F.lit(1)).alias("n"), F.count_if(F.size("fingerprints") > 0).alias("tagged"))
+            self._write_tags(tagged.observe(seen, *counts), base=gen - 1)
+            n = (self._max("tags") or 0) + 1
+            self._register("tags", n, gen - 1, written=seen.get["tagged"], rules=rules.names())
+            self.rules = rules
+            return seen.get["n"]
+        result = tagged.observe(seen, F.count(F.lit(1)).alias("n")).select(*self._stored, "batch_id")
         self._write_flow_files(result, f"flows/gen={gen}", ["batch_id", "dt"])
         self._register("flows", gen, upto, rules=rules.names())
         self.rules = rules
         return seen.get["n"]
 
+    def _write_tags(self, tagged: DataFrame, *, base: int) -> None:
+        """New tags as files of their own; a flow is in one of them at most, since it is untagged before."""
+        n = (self._max("tags") or 0) + 1
+        rows = tagged.where(F.size("fingerprints") > 0).select(
+            "id", "fingerprints", F.lit(base).alias("base"), F.lit(n).alias("n"), "dt"
+        )
+        # Only the partitions that are written are replaced, as a retry needs it.
+        (
+            rows.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .options(**_PARQUET).partitionBy("base", "n", "dt").parquet(f"{self.root}/flow_tags")
+        )
+
     def rebuild_flow_agg(self) -> int:
         """Recompute the roll-up from the stored flows only; returns their number.
 
@@ -390,6 +453,10 @@ class Archive:
         if gen is not None:
             self._drop("flows/gen=0/batch_id", [b for b in batches if b <= upto])
             self._forget("flows", "flows/gen", gen)
+            # Tags over older generations are part of the newest one.
+            old = self._registry().where((F.col("kind") == "tags") & (F.col("upto") < gen)).select("n", "upto").collect()
+            self._drop("flow_tags/base", sorted({r["upto"] for r in old}))
+            self._drop("registry/kind=tags/n", [r["n"] for r in old])
         self._forget("hot_bodies", "hot_bodies/n", self._latest("hot_bodies")[0])
         settled = [b for b in batches if b <= min(folded_upto)]
         if len(settled) > 1:
@@ -449,9 +516,10 @@ class Archive:
             _STAGING_PARQUET if table.startswith("staging")
             else _BODY_PARQUET if table == "body_content" else _PARQUET
         )
-        if "sha256" in df.columns:
-            # Point lookups of a body skip files and row groups that cannot hold it.
-            options["parquet.bloom.filter.enabled#sha256"] = "true"
+        for key in ("sha256", "word"):
+            if key in df.columns:
+                # Point lookups skip files and row groups that cannot hold the key.
+                options[f"parquet.bloom.filter.enabled#{key}"] = "true"
         df.write.mode("overwrite").options(**options).parquet(path)
         return path
 

@@ -11,6 +11,7 @@ from ..functions.ranking import relevance
 from ..functions.text import ilike_contains
 from ..session import stored_once
 from .bodies import join_bodies, matching_bodies
+from .postings import bodies_with_words
 
 SUMMARY = ("id", "ts", "method", "status", "url", "host", "fingerprints", "session_id", "program")
 # Rows of a listing, of an interactive search and of the live view.
@@ -37,13 +38,16 @@ def match_flows(
     grep: str | None = None,
     body: str | None = None,
     body_text: DataFrame | None = None,
+    body_words: DataFrame | None = None,
     hot: DataFrame | None = None,
     literal: bool = False,
 ) -> DataFrame:
     """The flows that satisfy every given predicate; empty strings are ignored.
 
     ``grep`` looks at response bodies, ``body`` at request and response bodies; both need
-    ``body_text`` and look up the matching bodies at once, to see how many there are. Each of ``terms`` must occur in the host or in the URL.
+    ``body_words`` (postings, of which only those of the words are read) or ``body_text`` and look
+    up the matching bodies at once, to see how many there are. Each of ``terms`` must occur in
+    the host or in the URL.
     """
     kept = flows
     for name in tech:
@@ -69,18 +73,20 @@ def match_flows(
         in_host = ilike_contains(F.col("host"), term, literal=literal)
         kept = kept.where(in_host | ilike_contains(F.col("url"), term, literal=literal))
     if grep:
-        hits, rows = stored_once(matching_bodies(_required(body_text), grep), "body-hits")
+        hits, rows = stored_once(_body_hits(body_text, body_words, grep), "body-hits")
         kept = in_response(kept, hits, rows=rows, hot=hot)
     if body:
-        hits, rows = stored_once(matching_bodies(_required(body_text), body), "body-hits")
+        hits, rows = stored_once(_body_hits(body_text, body_words, body), "body-hits")
         kept = in_either_body(kept, hits, rows=rows, hot=hot)
     return kept
 
 
-def _required(body_text: DataFrame | None) -> DataFrame:
+def _body_hits(body_text: DataFrame | None, body_words: DataFrame | None, phrase: str) -> DataFrame:
+    if body_words is not None:
+        return bodies_with_words(body_words, phrase)
     if body_text is None:
-        raise ValueError("a body search needs body_text")
-    return body_text
+        raise ValueError("a body search needs body_words or body_text")
+    return matching_bodies(body_text, phrase)
 
 
 def in_response(

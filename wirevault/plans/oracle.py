@@ -43,7 +43,7 @@ bodies AS (
   FROM obs GROUP BY sha256
 ),
 words AS (
-  SELECT sha256, {_TOKENS.format("substring(replace(content, chr(0), ''), 1, 1000000)")} AS tokens
+  SELECT sha256, {_TOKENS.format("replace(content, chr(0), '')")} AS tokens
   FROM bodies WHERE ever_text
 )
 """
@@ -212,6 +212,11 @@ def oracle_sql() -> dict[str, str]:
         "collapse_routing": f"{_BASE} SELECT {_SHAPE_KEY} AS shape_sha, count(*) AS hit_count, count(*) FILTER (WHERE method <> 'POST') AS stored_flows FROM fl GROUP BY shape_sha",
         "archive_rebuild": f"{_BASE} SELECT {_SHAPE_KEY} AS shape_sha, count(*) AS hit_count FROM fl WHERE method <> 'POST' GROUP BY shape_sha",
         "archive_retag": _select("id, tags", flows=_tagged(a=_PAGED)),
+        "archive_retag_new": f"""{_tagged(a=_PAGED)} SELECT id, CASE WHEN id <= m THEN 0 ELSE 1 END AS batch_id,
+            CASE WHEN id > m OR len(base_tags) = 0 THEN tags ELSE array_to_string(base_tags, ',') END AS tags
+            FROM flows, (SELECT max(id) / 2 AS m FROM flows)""",
+        "schema_growth": f"""{_FLOWS} SELECT id, CASE WHEN id > m THEN concat('seen ', method) END AS note, tags
+            FROM flows, (SELECT max(id) / 2 AS m FROM flows)""",
         "archive_counts": "SELECT count(*) AS written, 0 AS rejected FROM events",
         "search_all": _select(f"id, {_ZONED} AS ts, host", "WHERE contains(lower(host), 'example') OR contains(lower(url), 'example')"),
         "fingerprint_all": _select("id, tags"),

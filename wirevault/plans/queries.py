@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..archive import Archive
 from ..functions.headers import ordered_entries
@@ -152,6 +153,28 @@ def archive_retag(spark, sf_dir):
     return archive.flows().select("id", tags())
 
 
+def archive_retag_new(spark, sf_dir):
+    """Flows without a tag get those of a new rule, between two batches, without new flow files."""
+    flows = capture_flows(configure(spark), sf_dir)
+    middle = flows.agg((F.max("id") / 2).alias("m")).scalar()
+    archive = Archive(spark, new_scratch_dir(spark, "retagged-new"))
+    archive.ingest(flows.where(F.col("id") <= middle), batch_id=0)
+    archive.retag(RuleSet([*RULES, PAGED]), only_untagged=True)
+    archive.ingest(flows.where(F.col("id") > middle), batch_id=1)
+    return archive.flows().select("id", "batch_id", tags())
+
+
+def schema_growth(spark, sf_dir):
+    """A later batch brings a column that earlier ones and this reader do not know."""
+    flows = capture_flows(configure(spark), sf_dir)
+    middle = flows.agg((F.max("id") / 2).alias("m")).scalar()
+    root = new_scratch_dir(spark, "grown")
+    Archive(spark, root).ingest(flows.where(F.col("id") <= middle), batch_id=0)
+    noted = flows.where(F.col("id") > middle).withColumn("note", F.concat(F.lit("seen "), "method"))
+    Archive(spark, root, more=StructType().add("note", "string")).ingest(noted, batch_id=1)
+    return Archive(spark, root).flows(all_columns=True).select("id", "note", tags())
+
+
 # -- tags --------------------------------------------------------------------------------
 
 
@@ -196,7 +219,7 @@ def _search(**predicates) -> Callable[[SparkSession, str], DataFrame]:
 
     def run(spark, sf_dir):
         a = archive_of(spark, sf_dir)
-        extra = {"body_text": a.body_text(), "hot": a.hot_bodies()} if needs_text else {}
+        extra = {"body_words": a.body_words(), "hot": a.hot_bodies()} if needs_text else {}
         return _summary(search.search(a.flows(), **extra, **predicates))
 
     return run
@@ -587,6 +610,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "archive_counts": archive_counts,
         "archive_rebuild": archive_rebuild,
         "archive_retag": archive_retag,
+        "archive_retag_new": archive_retag_new,
+        "schema_growth": schema_growth,
         "search_ranked": search_ranked,
         "live_tail": live_tail,
         "match_offsets": match_offsets,

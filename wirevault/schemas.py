@@ -72,6 +72,9 @@ BODY_STATS = struct(
 # A body as stored in the batch that saw it first, with its text flags in that batch.
 BODY_CONTENT = struct(sha256=TEXT, size=INT, is_text=FLAG, ever_text=FLAG, content=BYTES)
 BODY_TEXT = struct(sha256=TEXT, tokens=TEXTS)
+BODY_WORDS = struct(word=TEXT, run=INT, keys=TEXTS)
+# Tags that flows without one were given later, for the flow files of one generation.
+FLOW_TAGS = struct(id=LONG, fingerprints=TEXTS, base=LONG, n=LONG, dt=DAY)
 
 HOT_BODIES = struct(sha256=TEXT, salts=INT)
 
