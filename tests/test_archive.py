@@ -273,3 +273,37 @@ def test_older_files_without_a_column_read_as_null(spark, archive):
     old.withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(f"{archive.root}/flows/gen=0/batch_id=1")
     got = archive.flows().where("id > 500").select("replay_of").collect()
     assert got and all(r.replay_of is None for r in got)
+
+
+def test_ids_come_back_for_the_records_that_asked(spark, archive):
+    archive.ingest(sample(spark), batch_id=0)
+    named = sample(spark, 10).withColumn("request", F.concat(F.lit("r"), "id")).drop("id", "ingest_seq")
+    archive.ingest(named.withColumn("replay_of", F.lit(3)), batch_id=1, returning="request")
+    back = {r.key: r.id for r in archive.returned_ids(1).collect()}
+    assert sorted(back) == sorted(f"r{k}" for k in range(1, 11)) and len(set(back.values())) == 10 and min(back.values()) == 41
+    hosts = {r.id: r.host for r in archive.flows().where("batch_id = 1").collect()}
+    assert all(hosts[back[f"r{k}"]] == f"h{(k - 1) % 3}" for k in range(1, 11) if (k - 1) % 8)
+    assert archive.returned_ids(0).count() == 0
+
+
+def test_metrics_keep_the_last_row_of_a_repeated_batch(spark):
+    from types import SimpleNamespace
+
+    from wirevault.streaming.metrics import OBSERVED, IngestMetrics, metrics_table
+
+    folder = new_scratch_dir(spark, "metrics")
+    assert metrics_table(spark, folder).count() == 0
+    listener = IngestMetrics(spark, folder, every=2)
+
+    def progress(batch, written, seen_at, metrics=True):
+        seen = {OBSERVED: {"written": written, "rejected": 1}} if metrics else {}
+        return SimpleNamespace(progress=SimpleNamespace(
+            name="q", runId="run", batchId=batch, numInputRows=9, timestamp=f"2024-01-01T00:00:0{seen_at}.000Z", observedMetrics=seen,
+        ))
+
+    for event in (progress(0, 5, 0), progress(1, 6, 1), progress(1, 7, 2), progress(2, 8, 3, metrics=False)):
+        listener.onQueryProgress(event)
+    assert metrics_table(spark, folder).count() == 2
+    listener.onQueryTerminated(None)
+    rows = {r.batch_id: (r.written, r.rejected, r.input_rows) for r in metrics_table(spark, folder).collect()}
+    assert rows == {0: (5, 1, 9), 1: (7, 1, 9)}

@@ -351,3 +351,75 @@ def test_postings_find_what_the_words_of_bodies_find(spark, monkeypatch):
     for phrase in ("all", "ALL a", "a, b", "c d e", "é 漢字", "x_1-9", "missing", "all missing", "...", "", "a a"):
         want = sorted(r.sha256 for r in B.matching_bodies(index, phrase).collect())
         assert sorted(r.sha256 for r in P.bodies_with_words(posted, phrase).collect()) == want, phrase
+
+
+def test_template_matrix(spark):
+    flows = make(spark, dict(path="/a", query="q=1", req_headers={"Cookie": "c", "A": "1"}, req_body=b"x"), dict(host="other", path="/b"))
+    templates = [
+        {"name": "move", "url": "http://{host}:81{path}{query}#{id}", "unset_headers": ["COOKIE"], "set_headers": {"a": "2"}},
+        {"name": "same"}, {"name": "post", "method": "post", "body": b""},
+    ]
+    rows = {(r.replay_of, r.template): r for r in replay.request_matrix(flows, templates).collect()}
+    assert len(rows) == 6
+    moved = rows[1, "move"]
+    assert (moved.url, moved.host, moved.port, moved.path, moved.query) == ("http://h.example.com:81/a?q=1#1", "h.example.com", 81, "/a", "q=1")
+    assert moved.req_headers == {"a": "2"} and bytes(moved.req_body) == b"x"
+    assert rows[2, "move"].url == "http://other:81/b#2" and rows[2, "move"].query is None
+    assert rows[1, "same"].req_headers == {"Cookie": "c", "A": "1"}
+    assert rows[2, "post"].method == "POST" and bytes(rows[2, "post"].req_body) == b""
+    many = [{"name": f"t{k}", "set_headers": {"n": str(k)}} for k in range(replay.TEMPLATES + 5)]
+    found = replay.request_matrix(flows, many)
+    assert found.count() == 2 * len(many) and found.where("req_headers['n'] = substr(template, 2)").count() == 2 * len(many)
+    for wrong in ([], [{"name": "a"}, {"name": "a"}], [{"name": "a", "status": 1}]):
+        with pytest.raises(ValueError):
+            replay.request_matrix(flows, wrong)
+
+
+def test_many_mutations_of_one_flow_are_split(spark, monkeypatch):
+    flows = make(spark, *(dict(path=f"/{k}") for k in range(5)))
+    data = [(1, "put", f"http://x/{k}", {}, [], None) for k in range(300)] + [(k, None, None, {"a": str(k)}, None, b"") for k in (2, 3, 99)]
+    mutations = spark.createDataFrame(data, schemas.MUTATION)
+    monkeypatch.setattr(replay, "hot_keys", lambda counts, key, n: joins.hot_keys(counts, key, n, share=10, floor=20))
+    rows = replay.request_variants(flows, mutations).collect()
+    assert sorted(r.url for r in rows if r.replay_of == 1) == sorted(f"http://x/{k}" for k in range(300))
+    assert sorted((r.replay_of, r.req_headers["a"]) for r in rows if r.replay_of != 1) == [(2, "2"), (3, "3")]
+    counts = mutations.groupBy(F.col("flow_id").alias("id")).agg(F.count("*").alias("n"))
+    assert joins.hot_keys(counts, "id", "n", share=10, floor=20).count() == 1
+
+
+def test_a_python_rule_is_called_once_per_distinct_input(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def match(status, headers, body):
+        with open(calls, "a") as file:
+            file.write(f"{status}|{sorted(headers.items())}|{body}\n")
+        return status == 200 and "x" in body
+
+    kinds = [
+        dict(resp_body=b"x", resp_headers={"A": "1", "B": "2"}), dict(resp_body=b"x", resp_headers={"b": "2", "a": "1"}),
+        dict(resp_body=b"y"), dict(resp_body=None), dict(resp_body=b"x", status=None), dict(resp_body=b"x", resp_content_type="image/png"),
+    ]
+    flows = B.with_body_keys(make(spark, *(kinds[k % 6] for k in range(120))))
+    content = B.distinct_content(B.observations(flows))
+    found = {r.id: r.fingerprints for r in tag_flows(flows, content, RuleSet([PythonRule("has-x", match)])).collect()}
+    # The first body of that key was text, so a later image of equal bytes is tested like it.
+    assert found == {k + 1: (["has-x"] if k % 6 in (0, 1, 5) else []) for k in range(120)}
+    with open(calls) as file:
+        lines = file.read().splitlines()
+    assert len(lines) == len(set(lines)) == 5
+
+
+def test_earliest_row_of_a_shape(spark):
+    rows = [dict(program=f"p{k % 7}", source_tool=f"t{k % 2}", ts=at(5 - k % 3), path=f"/{k % 4}", status=None if k % 4 == 3 else 200) for k in range(200)]
+    rows += [dict(program="old", path="/0", ts=at(0).replace(year=1960)), dict(program=None, path="/9"), dict(program="p", path="/9")]
+    flows = B.with_body_keys(make(spark, *rows)).orderBy("path")
+    want = {}
+    for k, row in enumerate(rows, 1):
+        key = (row["path"], row.get("status", 200))
+        n, first = want.get(key, (0, None))
+        mine = (row.get("ts", at(0)), k, row.get("program"), row.get("source_tool", "t"))
+        want[key] = (n + 1, mine if first is None else min(first, mine, key=lambda m: m[:2]))
+    parts = [rollup.shape_stats(flows.where(F.col("id") % 3 == r)) for r in range(3)]
+    for stats_ in (rollup.shape_stats(flows), rollup.merge_shape_stats(parts[0].union(parts[1]).union(parts[2]))):
+        found = {(r.path, r.status): (r.hit_count, (r.first_id, r.program, r.source_tool)) for r in stats_.collect()}
+        assert found == {key: (n, first[1:]) for key, (n, first) in want.items()}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirevault.operators import bodies as B
-from wirevault.operators import rollup, search, stats
+from wirevault.operators import replay, rollup, search, stats
 from wirevault.operators.postings import bodies_with_words
 from wirevault.operators.tagging import tag_flows
 from wirevault.plans.capture_view import capture_flows
@@ -79,3 +79,14 @@ def test_point_lookup_is_pushed_down(archive):
     key = archive.body_content().first().sha256
     text = plan(archive.body_content().where(F.col("sha256") == key))
     assert f"EqualTo(sha256,{key})" in text
+
+
+def test_roll_up_is_hash_aggregated(archive):
+    for agg in (rollup.rollup(archive.flows()), archive.flow_agg()):
+        text = plan(agg)
+        assert "SortAggregate" not in text and "partial_" in text and "NestedLoop" not in text
+
+
+def test_matrix_moves_no_request(archive):
+    text = plan(replay.request_matrix(archive.flows().withColumn("req_body", F.lit(None).cast("binary")), [{"name": "a"}, {"name": "b"}]))
+    assert "Exchange" not in text and "Join" not in text

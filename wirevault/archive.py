@@ -18,6 +18,7 @@ Layout below the root::
     flow_tags/base=G/n=N/dt=D       tags given later to flows that had none, over generation G
     shape_stats/batch_id=N          counters per request shape
     dead_letters/batch_id=N         rejected records
+    returned/batch_id=N             ids of records whose writer asked for them
     staging*/batch_id=N             the parsed batch that all of the above read, removed after it
     *_snapshot/n=N, hot_bodies/n=N  folded counters; bodies whose flows joins must split
     registry/kind=K/n=N             one small row per batch, snapshot or generation
@@ -150,6 +151,11 @@ class Archive:
         """The roll-up, hits of collapsed flows included."""
         return flow_agg(merge_shape_stats(self._deltas("shape_stats", schemas.SHAPE_STATS)))
 
+    def returned_ids(self, batch_id: int) -> DataFrame:
+        """`key, id` of the records of a batch that was stored with ``returning``."""
+        schema = schemas.extend(schemas.RETURNED, batch_id=schemas.LONG)
+        return self._read("returned", schema).where(F.col("batch_id") == batch_id).drop("batch_id")
+
     def dead_letters(self) -> DataFrame:
         return self._read("dead_letters", schemas.extend(schemas.DEAD_LETTER, batch_id=schemas.LONG))
 
@@ -174,12 +180,15 @@ class Archive:
 
     # -- writing ---------------------------------------------------------------------
 
-    def ingest(self, parsed: DataFrame, *, batch_id: int, source: str = "batch") -> tuple[int, int]:
+    def ingest(
+        self, parsed: DataFrame, *, batch_id: int, source: str = "batch", returning: str | None = None
+    ) -> tuple[int, int]:
         """Store one batch of parsed records; returns how many were written and rejected.
 
         ``parsed`` comes from a source's parse function. Batches are numbered upwards; the
         same number again replaces that batch, as a streaming retry does. Records get ids
-        in order of arrival unless they bring their own ``id``.
+        in order of arrival unless they bring their own ``id``. With ``returning``, a column that
+        names each record, `returned_ids` tells which id it got.
         """
         self._warn_of_other_rules()
         staged, seen = self._stage(parsed, batch_id)
@@ -192,12 +201,16 @@ class Archive:
         known, n_known = self._known_bodies(stats, batch_id)
         now = F.lit(dt.datetime.now(dt.timezone.utc))
         rejected = dead_letters(staged, source=source, ingest_ts=now)
-        self._together(
+        writes = [
             lambda: self._write_flows(good, stats, known, batch_id),
             lambda: self._write_bodies(good, stats, known, n_known, batch_id),
             lambda: self._write(shape_stats(good), "shape_stats", batch_id),
             lambda: self._write(rejected, "dead_letters", batch_id),
-        )
+        ]
+        if returning is not None:
+            ids = good.select(F.col(returning).cast("string").alias("key"), "id")
+            writes.append(lambda: self._write(ids, "returned", batch_id))
+        self._together(*writes)
         self._register("batch", batch_id, batch_id, last_id, seen["written"], seen["rejected"])
         if batch_id == 0:
             self._list_hot_bodies(batch_id)
@@ -318,7 +331,11 @@ class Archive:
             # Stored before as binary and served as text now: index it from this batch.
             texts = stats.where("ever_text").select("sha256")
             late = texts.join(known.where(~F.col("ever_text")).select("sha256"), "sha256", "left_semi")
-            again = distinct_content(obs.join(late, "sha256", "left_semi"))
+            marked = lookup(
+                obs, late.withColumn("_late", F.lit(True)), "sha256", table_key="sha256", table_rows=n_known,
+                hot=hot_bodies(stats), row_id="seq",
+            )
+            again = distinct_content(marked.where("_late").drop("_late"))
             indexable = indexable.unionByName(again)
         index = text_index(indexable, strip_markup=self.strip_markup, chars=self.indexed_chars)
         seen = Observation()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -57,16 +58,65 @@ def mutate_requests(requests: DataFrame) -> DataFrame:
     return requests.select(*(changed[c].alias(c) if c in changed else c for c in kept))
 
 
+_MUTATED = ("method", "url", "set_headers", "unset_headers", "body")
+# Templates that one expression holds; more of them are applied in several passes.
+TEMPLATES = 200
+
+
 def request_variants(requests: DataFrame, mutations: DataFrame) -> DataFrame:
     """One variant per row of ``mutations`` (schema `schemas.MUTATION`), joined on the flow id.
 
-    The result keeps the flow it came from as ``replay_of``.
+    The result keeps the flow it came from as ``replay_of``. The mutations of a flow that has
+    very many of them are split over tasks.
     """
     renamed = mutations.select(
-        F.col("flow_id").alias("id"),
-        *(F.col(c).alias(f"m_{c}") for c in ("method", "url", "set_headers", "unset_headers", "body")),
+        F.col("flow_id").alias("_of"),
+        *(F.col(c).alias(f"m_{c}") for c in _MUTATED),
+        F.xxhash64("method", "url", F.to_json("set_headers"), "unset_headers", "body").alias("_mutation"),
+    )
+    counts = renamed.groupBy(F.col("_of").alias("id")).agg(F.count("*").alias("n"))
+    found = lookup(
+        renamed, requests.withColumn("_found", F.lit(True)), "_of", table_key="id",
+        hot=hot_keys(counts, "id", "n"), row_id="_mutation",
+    )
+    kept = found.where("_found").withColumnRenamed("_of", "id").drop("_found", "_mutation")
+    return mutate_requests(kept).withColumnRenamed("id", "replay_of")
+
+
+def request_matrix(requests: DataFrame, templates: Sequence[Mapping[str, object]]) -> DataFrame:
+    """Every request under every template: one variant each, with the template's name as ``template``.
+
+    A template is a ``name`` and any of ``method, url, set_headers, unset_headers, body`` (bytes). In its
+    URL, ``{id}``, ``{host}``, ``{path}`` and ``{query}`` stand for those of the request, ``{query}``
+    with its question mark. Templates are constants of the plan, so requests are neither joined nor moved.
+    """
+    names = [str(t["name"]) for t in templates]
+    unknown = {key for t in templates for key in t} - {"name", *_MUTATED}
+    if not names or len(set(names)) < len(names) or unknown:
+        raise ValueError(f"templates need names that differ and no other parts than {_MUTATED}")
+    result = None
+    for at in range(0, len(templates), TEMPLATES):
+        some = F.array(*(_template(t) for t in templates[at : at + TEMPLATES]))
+        rows = requests.drop("replay_of").select("*", F.inline(some))
+        query = F.coalesce(F.concat(F.lit("?"), non_empty(F.col("query"))), F.lit(""))
+        url = F.col("m_url")
+        for mark, value in (("{id}", F.col("id").cast("string")), ("{host}", F.col("host")), ("{path}", F.col("path")), ("{query}", query)):
+            url = F.replace(url, F.lit(mark), value)
+        variants = mutate_requests(rows.withColumn("m_url", url)).withColumnRenamed("id", "replay_of")
+        result = variants if result is None else result.unionByName(variants)
+    return result
+
+
+def _template(template: Mapping[str, object]) -> Column:
+    added = [F.lit(x) for item in (template.get("set_headers") or {}).items() for x in item]
+    return F.struct(
+        F.lit(str(template["name"])).alias("template"),
+        F.lit(template.get("method")).cast("string").alias("m_method"),
+        F.lit(template.get("url")).cast("string").alias("m_url"),
+        F.create_map(*added).cast(EMPTY_MAP).alias("m_set_headers"),
+        F.array(*(F.lit(h) for h in template.get("unset_headers") or [])).cast("array<string>").alias("m_unset_headers"),
+        F.lit(template.get("body")).cast("binary").alias("m_body"),
     )
-    return mutate_requests(requests.join(renamed, "id")).withColumnRenamed("id", "replay_of")
 
 
 def mutate_all(

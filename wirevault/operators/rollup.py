@@ -2,53 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import shape_key
 
 
+_SHAPE = ["host", "method", "path", "status", "resp_body_sha"]
+_CARRIED = ["program", "source_tool", "method", "host", "path", "status", "resp_body_sha"]
+_COLUMNS = ["shape_sha", *_CARRIED, "hit_count", "first_seen", "last_seen", "first_id"]
+# A number beyond all ids.
+_ID_RANGE = str(10**19)
+
+
+def _first_key(ts: Column, id: Column) -> Column:
+    """One number that orders by time and then by id; fixed in width, unlike a struct of both."""
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(38,0)")
+    return (micros * F.lit(_ID_RANGE).cast("decimal(20,0)") + id.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _first_id(first: Column) -> Column:
+    return F.pmod(first, F.lit(_ID_RANGE).cast("decimal(20,0)")).cast("bigint")
+
+
+def _folded(parts: DataFrame) -> DataFrame:
+    """One row per shape out of parts by shape, program and tool: all aggregates are of fixed width.
+
+    The part that holds the earliest flow gives program and tool; it is found by its key, which
+    no other part has.
+    """
+    totals = parts.groupBy("shape_sha").agg(
+        F.sum("hit_count").alias("hit_count"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), F.min("_first").alias("_first"),
+    )
+    earliest = parts.select("shape_sha", *_CARRIED, "_first")
+    return totals.join(earliest, ["shape_sha", "_first"]).withColumn("first_id", _first_id(F.col("_first"))).select(*_COLUMNS)
+
+
 def shape_stats(flows: DataFrame) -> DataFrame:
     """One row per (host, method, path, status, response body) with hits and time range.
 
     Program and source tool are those of the earliest flow; ``id`` breaks equal times.
-    All aggregates are order-free, so late flows need no special care.
+    All aggregates are order-free, so late flows need no special care. Flows are grouped by
+    shape, program and tool first, by hash and on the map side; the key is computed per group.
     """
-    keyed = flows.select(
-        shape_key(*(F.col(c) for c in ("host", "method", "path", "status", "resp_body_sha"))).alias(
-            "shape_sha"
-        ),
-        F.struct(
-            "program", "source_tool", "method", "host", "path", "status", "resp_body_sha"
-        ).alias("row"),
-        "ts",
-        "id",
-    )
-    grouped = keyed.groupBy("shape_sha").agg(
-        F.min_by("row", F.struct("ts", "id")).alias("row"),
-        F.count("*").alias("hit_count"),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        F.min(F.struct("ts", "id"))["id"].alias("first_id"),
-    )
-    return grouped.select(
-        "shape_sha", "row.*", "hit_count", "first_seen", "last_seen", "first_id"
+    parts = flows.groupBy(*_SHAPE, "program", "source_tool").agg(
+        F.count("*").alias("hit_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.min(_first_key(F.col("ts"), F.col("id"))).alias("_first"),
     )
+    return _folded(parts.withColumn("shape_sha", shape_key(*(F.col(c) for c in _SHAPE))))
 
 
 def merge_shape_stats(parts: DataFrame) -> DataFrame:
     """Fold the shape counters of several batches; associative."""
-    carried = ["program", "source_tool", "method", "host", "path", "status", "resp_body_sha"]
-    first = F.struct("first_seen", "first_id")
-    grouped = parts.groupBy("shape_sha").agg(
-        F.min_by(F.struct(*carried), first).alias("row"),
-        F.sum("hit_count").alias("hit_count"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.min(first)["first_id"].alias("first_id"),
-    )
-    return grouped.select(
-        "shape_sha", "row.*", "hit_count", "first_seen", "last_seen", "first_id"
+    return _folded(
+        parts.groupBy("shape_sha", *_CARRIED).agg(
+            F.sum("hit_count").alias("hit_count"), F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"), F.min(_first_key(F.col("first_seen"), F.col("first_id"))).alias("_first"),
+        )
     )
 
 

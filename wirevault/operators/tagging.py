@@ -18,6 +18,7 @@ from ..functions.headers import lower_keys
 from ..functions.text import utf8_text
 from ..session import stored_once
 from .bodies import join_bodies
+from .joins import hot_keys, lookup
 
 BodyTest = Callable[[Column], Column]
 
@@ -187,30 +188,56 @@ class RuleSet:
         hits = []
         for rule in self.rules:
             if isinstance(rule, PythonRule):
-                condition = _python_condition(rule)
+                condition = F.coalesce(F.array_contains("_python", rule.name), F.lit(False))
             else:
                 condition = self._conditions[rule.name]
             hits.append(F.when(condition, F.lit(rule.name)))
         tags = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
         return context.withColumn("fingerprints", tags).drop(
-            "_status", "_headers", "_text", *self.on_empty_text()
+            "_status", "_headers", "_python", *self.on_empty_text()
         )
 
 
-def _python_condition(rule: PythonRule) -> Column:
-    match = rule.match
+def _python_tags(rules: Sequence[PythonRule]) -> Callable[[Column, Column, Column], Column]:
+    """The names of the Python rules that match (status, headers, body), in Arrow batches."""
+    matches = [(rule.name, rule.match) for rule in rules]
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("array<string>")
     def run(status: pd.Series, headers: pd.Series, body: pd.Series) -> pd.Series:
-        def safe(s, h, b):
+        def safe(match, s, h, b):
             try:
                 return bool(match(int(s), dict(h), b))
             except Exception:  # a rule that fails on a flow does not match it
                 return False
 
-        return pd.Series([safe(*row) for row in zip(status, headers, body)], dtype="bool")
+        rows = zip(status, headers, body)
+        return pd.Series([[name for name, match in matches if safe(match, *row)] for row in rows], dtype=object)
 
-    return run(F.col("_status"), F.col("_headers"), F.col("_text"))
+    return run.asNondeterministic()  # so that the optimiser does not repeat the call in a filter
+
+
+def python_outcomes(flows: DataFrame, content: DataFrame, rules: RuleSet, *, hot: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """`_input, _python` of the distinct inputs that a Python rule matches, and their number.
+
+    Flows with equal status, headers and body key have one outcome, so a predicate is called once
+    for all of them, and no body stands beside a flow.
+    """
+    inputs = flows.select(
+        _input_key().alias("_input"), F.coalesce("status", F.lit(0)).alias("_status"),
+        lower_keys(F.col("resp_headers")).alias("_headers"), "resp_body_sha",
+    )
+    distinct = inputs.groupBy("_input", "_status", "resp_body_sha").agg(F.any_value("_headers").alias("_headers"))
+    texts = content.where("is_text").select("sha256", utf8_text(F.col("content")).alias("_text"))
+    joined = lookup(distinct, texts, "resp_body_sha", table_key="sha256", hot=hot, row_id="_input")
+    run = _python_tags([r for r in rules.rules if isinstance(r, PythonRule)])
+    tagged = joined.select("_input", run(F.col("_status"), F.col("_headers"), F.coalesce("_text", F.lit(""))).alias("_python"))
+    return stored_once(tagged.where(F.size("_python") > 0), "python-outcomes")
+
+
+def _input_key() -> Column:
+    """What a Python rule may look at, as one key; headers in order of their names."""
+    headers = F.to_json(F.array_sort(F.map_entries(lower_keys(F.col("resp_headers")))))
+    return F.sha2(F.concat_ws("\n", F.coalesce("status", F.lit(0)).cast("string"), F.coalesce("resp_body_sha", F.lit("")), headers), 256)
 
 
 def tag_flows(
@@ -234,11 +261,12 @@ def tag_flows(
     flows = flows.drop("fingerprints")
     texts = content.where("is_text")
     payload, rows = stored_once(rules.body_features(texts), "rule-features")
-    if rules.needs_python:
-        # A Python rule wants the text itself next to the flow; that is never broadcast.
-        texts = texts.select("sha256", utf8_text(F.col("content")).alias("_text"))
-        payload, rows = texts.join(payload, "sha256", "left"), None
     joined = join_bodies(flows, payload, "resp_body_sha", rows=rows, hot=hot)
     if rules.needs_python:
-        joined = joined.withColumn("_text", F.coalesce("_text", F.lit("")))
+        outcomes, found = python_outcomes(flows, content, rules, hot=hot)
+        keyed = joined.withColumn("_of_input", _input_key())
+        counts = keyed.groupBy(F.col("_of_input").alias("_input")).agg(F.count("*").alias("_n"))
+        joined = lookup(
+            keyed, outcomes, "_of_input", table_key="_input", table_rows=found, hot=hot_keys(counts, "_input", "_n")
+        ).drop("_of_input")
     return rules.tag(joined)

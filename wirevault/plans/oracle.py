@@ -203,7 +203,7 @@ def _kind(side: str, text: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "bodies_dedup": f"{_BASE} SELECT sha256, size, is_text, ever_text, seen_count, first_seen, length(content) AS n_chars FROM bodies",
         "body_text_index": f"{_BASE} SELECT sha256, len(tokens) AS n_tokens, md5(array_to_string(list_sort(tokens), ' ')) AS tokens_md5 FROM words",
         "stored_bodies": f"{_BASE} SELECT sha256, size, is_text, seen_count, first_seen, length(content) AS n_chars FROM bodies",
@@ -287,6 +287,28 @@ def oracle_sql() -> dict[str, str]:
             " '{}' AS req_body",
             "WHERE method = 'POST'",
         ),
+        "request_matrix": " UNION ALL ".join(f"({part})" for part in (
+            _select(
+                "id AS replay_of, 'plain' AS template, method, 'http' AS scheme, host, 8080 AS port, path, query,"
+                " concat('http://', host, ':8080', path, coalesce('?' || query, '')) AS url,"
+                f" regexp_replace({_REQ_HEADERS}, ';Cookie=sid=''[^'']*''', '') AS req_headers, req_text AS req_body"
+            ),
+            _select(
+                "id, 'method', 'OPTIONS', scheme, host, port, path, query, url,"
+                " concat('Host=', host, ';ACCEPT=text/html;Cookie=sid=''', session_id, ''';X-Probe=1',"
+                " CASE WHEN req_text IS NOT NULL THEN concat(';Content-Type=application/json;Content-Length=', length(req_text)) ELSE '' END),"
+                " req_text"
+            ),
+            _select(
+                "id, 'empty', method, 'https', 'probe.example.com', NULL, '/' || id, NULL,"
+                f" 'https://probe.example.com/' || id, {_REQ_HEADERS}, '[]'"
+            ),
+        )),
+        "stored_replays": f"""{_FLOWS} SELECT 'request-' || id AS key, id AS replay_of, status AS parent_status, 200 AS status,
+            status IS DISTINCT FROM 200 AS status_changed, false AS body_changed, 5 AS duration_change_ms FROM flows WHERE method = 'POST'""",
+        "stream_metrics": f"""WITH cap AS ({CAPTURE_SQL}) SELECT
+            CAST(count(*) FILTER (coalesce(status, 0) NOT IN (403, 406, 419, 500)) AS BIGINT) AS written,
+            CAST(count(*) FILTER (status IN (403, 406)) AS BIGINT) AS rejected FROM cap""",
         "sendable_headers": _select(f"id, regexp_replace({_REQ_HEADERS}, ';Content-Length=.*$', '') AS req_headers"),
         "replay_pairs": f"""{_FLOWS} SELECT c.id, c.replay_of, p.status AS parent_status, c.status,
             c.status IS DISTINCT FROM p.status AS status_changed,
@@ -321,3 +343,4 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_tag_all": _select("ts, url, status, tags"),
     }
+    return sql | {"tail_jsonl": sql["parse_jsonl"]}

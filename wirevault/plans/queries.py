@@ -7,7 +7,10 @@ as a user of the archive would run them.
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +29,9 @@ from ..session import configure, new_scratch_dir
 from ..sources.capture import parse_capture
 from ..sources.common import dead_letters, good_records
 from ..sources.jsonl import parse_jsonl, read_jsonl, stream_jsonl
+from ..sources.tail import stream_tail
 from ..streaming.ingest import ingest_jsonl_stream
+from ..streaming.metrics import IngestMetrics, metrics_table
 from .capture_view import capture_flows
 
 # Per session and folder: what was derived and stored in the shared scratch folder.
@@ -371,6 +376,38 @@ def request_variants(spark, sf_dir):
     )
 
 
+MATRIX = (
+    {"name": "plain", "url": "http://{host}:8080{path}{query}", "unset_headers": ["cookie"]},
+    {"name": "method", "method": "options", "set_headers": {"X-Probe": "1", "ACCEPT": "text/html"}},
+    {"name": "empty", "url": "https://probe.example.com/{id}", "body": b"[]"},
+)
+
+
+def request_matrix(spark, sf_dir):
+    """Every request under three templates."""
+    variants = replay.request_matrix(_requests(spark, sf_dir), MATRIX)
+    return variants.select(
+        "replay_of", "template", "method", "scheme", "host", "port", "path", "query", "url",
+        header_text("req_headers"), F.col("req_body").cast("string").alias("req_body"),
+    )
+
+
+def stored_replays(spark, sf_dir):
+    """Every POST is sent again and stored; the ids that come back lead to the pairs with the parents."""
+    flows = capture_flows(configure(spark), sf_dir)
+    archive = Archive(spark, new_scratch_dir(spark, "replayed"))
+    archive.ingest(flows, batch_id=0)
+    sent = flows.where("method = 'POST'").withColumns({
+        "replay_of": F.col("id"), "request_key": F.concat(F.lit("request-"), F.col("id").cast("string")),
+        "status": F.lit(200), "duration_ms": F.col("duration_ms") + 5,
+    }).drop("id", "ingest_seq")
+    archive.ingest(sent, batch_id=1, returning="request_key")
+    pairs = replay.replay_pairs(archive.flows())
+    return archive.returned_ids(1).join(pairs, "id").select(
+        "key", "replay_of", "parent_status", "status", "status_changed", "body_changed", "duration_change_ms"
+    )
+
+
 def sendable_headers(spark, sf_dir):
     sent = archive_of(spark, sf_dir).flows().withColumn(
         "req_headers", replay.sendable_headers(F.col("req_headers"))
@@ -438,7 +475,10 @@ def jsonl_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def parse_jsonl_records(spark, sf_dir):
-    lines = read_jsonl(spark, jsonl_files(spark, sf_dir))
+    return _parsed_lines(read_jsonl(spark, jsonl_files(spark, sf_dir)))
+
+
+def _parsed_lines(lines: DataFrame) -> DataFrame:
     flows = good_records(parse_jsonl(lines, program="p", session_id="s"))
     return flows.select(
         local_time("ts"), "method", "scheme", "host", "port", "path", "query", "url", "status",
@@ -543,6 +583,97 @@ def streamed_archive(spark: SparkSession, sf_dir: str) -> Archive:
     return _streamed[key]
 
 
+def _damaged(value: Column) -> Column:
+    """Lines damaged by response status: torn, wrapped in an array, blank or a tunnel."""
+
+    def answered(status: int) -> Column:
+        return F.contains(value, F.lit(f'"HTTP/1.1 {status} '))
+
+    tunnel = F.replace(value, F.lit('"method":"GET"'), F.lit('"method":"CONNECT"'))
+    return (
+        F.when(answered(403), F.concat(F.lit("{"), value)).when(answered(406), F.concat(F.lit("["), value, F.lit("]")))
+        .when(answered(419), F.lit("  \t ")).when(answered(500), tunnel).otherwise(value)
+    )
+
+
+def stream_metrics(spark, sf_dir):
+    """Records written and rejected, as the listener of a running stream stored them batch by batch."""
+    configure(spark)
+    root = new_scratch_dir(spark, "metrics")
+    lines = spark.read.text(jsonl_files(spark, sf_dir)).select(_damaged(F.col("value")).alias("value"))
+    lines.write.text(f"{root}/incoming")
+    listener = IngestMetrics(spark, f"{root}/metrics")
+    spark.streams.addListener(listener)
+    try:
+        stream = stream_jsonl(spark, f"{root}/incoming", max_files_per_trigger=3)
+        query = ingest_jsonl_stream(
+            Archive(spark, f"{root}/archive"), stream, checkpoint=f"{root}/checkpoint", available_now=True, name="damaged"
+        )
+        query.awaitTermination()
+        batches = len({p.batchId for p in query.recentProgress if p.numInputRows})
+        deadline = time.monotonic() + 60  # progress reaches listeners a little later
+        while time.monotonic() < deadline and listener.seen < batches:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+        listener.flush()
+    rows = metrics_table(spark, f"{root}/metrics").where("name = 'damaged'")
+    return rows.agg(F.sum("written").alias("written"), F.sum("rejected").alias("rejected"))
+
+
+def tail_jsonl(spark, sf_dir):
+    """Log files that grow in three steps, ending in the middle of a line twice, read by one stream."""
+    configure(spark)
+    root = new_scratch_dir(spark, "tail")
+    folder = posix_path(f"{root}/logs")
+    lines = jsonl_lines(spark, sf_dir).withColumn("log", F.pmod("id", F.lit(4)))
+    third = lines.agg((F.max("id") / 3).alias("m")).scalar()
+    wave = F.least(F.floor(F.col("id") / third), F.lit(WAVES - 1)).cast("int")
+    lines.withColumn("wave", wave).write.partitionBy("wave").parquet(f"{root}/all")
+    for n in range(WAVES):
+        append_lines(spark.read.parquet(f"{root}/all/wave={n}"), folder, torn=n < WAVES - 1)
+        stream_tail(spark, folder, part_bytes=1 << 18).writeStream.format("parquet").option(
+            "checkpointLocation", f"{root}/checkpoint"
+        ).trigger(availableNow=True).start(f"{root}/lines").awaitTermination()
+    return _parsed_lines(spark.read.parquet(f"{root}/lines"))
+
+
+def posix_path(uri: str) -> str:
+    """The path of a folder on a shared disk."""
+    return uri.removeprefix("file://").removeprefix("file:")
+
+
+def append_lines(lines: DataFrame, folder: str, *, torn: bool) -> None:
+    """Append the lines of each ``log`` to its file, which must be on a disk that all tasks share.
+
+    ``torn`` holds back the second half of the last line for the next call. A task that runs again
+    first cuts its file to the size that it had before.
+    """
+    os.makedirs(folder, exist_ok=True)
+    sizes = {n: os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".log")}
+    before = {}
+    for name in sizes:
+        with open(f"{folder}/.{name}.rest", "rb") as file:
+            before[name] = file.read()
+
+    def write(rows) -> None:
+        for log, in_order in groupby(rows, key=lambda r: r["log"]):
+            name, last = f"{log}.log", b""
+            with open(f"{folder}/{name}", "r+b" if name in sizes else "wb") as file:
+                file.truncate(sizes.get(name, 0))
+                file.seek(0, os.SEEK_END)
+                file.write(before.get(name, b""))
+                for row in in_order:
+                    file.write(last)
+                    last = row["value"].encode() + b"\n"
+                cut = len(last) // 2 if torn else len(last)
+                file.write(last[:cut])
+            with open(f"{folder}/.{name}.rest", "wb") as file:
+                file.write(last[cut:])
+
+    lines.repartition("log").sortWithinPartitions("log", "id").foreachPartition(write)
+
+
 def stream_rollup(spark, sf_dir):
     return streamed_archive(spark, sf_dir).flow_agg().select(
         "shape_sha", "program", "source_tool", "method", "host", "path", "status", "resp_body_sha",
@@ -624,6 +755,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "raw_request": raw_request,
         "body_preview": body_preview,
         "request_variants": request_variants,
+        "request_matrix": request_matrix,
+        "stored_replays": stored_replays,
         "sendable_headers": sendable_headers,
         "replay_pairs": replay_pairs,
         "replay_chain": replay_chain,
@@ -633,6 +766,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_jsonl": parse_jsonl_records,
         "dead_letters": dead_letter_lines,
         "normalise_capture": normalise_capture,
+        "tail_jsonl": tail_jsonl,
+        "stream_metrics": stream_metrics,
         "stream_rollup": stream_rollup,
         "stream_bodies": stream_bodies,
         "stream_tag_new": stream_tag_new,

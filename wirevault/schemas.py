@@ -84,6 +84,8 @@ SHAPE_STATS = struct(
     resp_body_sha=TEXT, hit_count=LONG, first_seen=TIME, last_seen=TIME, first_id=LONG,
 )
 
+RETURNED = struct(key=TEXT, id=LONG)
+
 DEAD_LETTER = struct(source=TEXT, raw=TEXT, reason=TEXT, ingest_ts=TIME)
 
 MUTATION = struct(
