@@ -1,9 +1,10 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Equal lines are counted first. A distinct line of n characters is cut into `edits + 1` segments;
-two lines within `edits` edits share at least one of them, nearly in place. Every line is indexed
-by its segments and probes those of lines up to `edits` characters shorter (or of its own length)
-at the few places where a shared segment can stand, given the two lengths and the edits used up on
+How many edits make two lines alike depends on the shorter one: none up to five characters, one up
+to 19, two beyond. Equal lines are counted first. A distinct line is cut into one segment more than
+it allows edits; two lines within so many edits share at least one of them, nearly in place. Every line
+is indexed by its segments and probes those of lines that are shorter by so many characters (or of its
+own length) at the few places where a shared segment can stand, given the two lengths and the edits used up on
 either side. Matching keys are joined; a 64-bit parity signature of letter pairs, which an edit
 changes in at most four bits, drops most false candidates inside the join. What is left is checked
 by a banded bit-parallel edit distance.
@@ -23,8 +24,8 @@ from .common import BLANK_CHARS, stored
 from .neardup import components
 from .wordhash import _BASE, _INVERSE, _power_table, mix
 
-EDITS = 2
-# All lines that have segments are compared, that is, those of more than `edits` characters.
+# Lengths from which on a line allows one edit more.
+EDIT_STEPS = (6, 20)
 MIN_CHARS = 0
 _CHUNK = 1 << 18
 
@@ -38,6 +39,13 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def allowed_edits(length: np.ndarray | int, edits: int | None) -> np.ndarray:
+    """The edits that a line of so many characters allows: by its length, or `edits` for all."""
+    if edits is None:
+        return np.searchsorted(EDIT_STEPS, length, side="right")
+    return np.full(np.shape(length), edits)
+
+
 def segment(length: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of the k-th of `edits + 1` segments; the last ones are longer by one."""
     parts = edits + 1
@@ -46,10 +54,11 @@ def segment(length: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.ndar
     return start, size + (k >= parts - longer)
 
 
-def _keys(codes: np.ndarray, first: np.ndarray, length: np.ndarray, edits: int):
+def _keys(codes: np.ndarray, first: np.ndarray, length: np.ndarray, most: int | None):
     """Index and probe keys of many lines at once: (line, key) arrays of both kinds.
 
-    `codes` holds the lines' characters one after the other, `first` where each begins.
+    `codes` holds the lines' characters one after the other, `first` where each begins. The edits of a
+    pair are those that the indexed line allows, which is the shorter one or as long as the other.
     """
     total = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(codes) + 1)[: len(codes)], out=total[1:])
@@ -59,20 +68,24 @@ def _keys(codes: np.ndarray, first: np.ndarray, length: np.ndarray, edits: int):
         text = (total[at + size] - total[at]) * inverse[at]
         return mix(mix(text) + of_length.astype(np.uint64) * np.uint64(64) + np.uint64(k)).view(np.int64)
 
-    line = np.arange(len(first))
-    index, probe = [], []
-    for k in range(edits + 1):
+    none = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    index, probe = [none], [none]
+    own = allowed_edits(length, most)
+    levels = range(1, len(EDIT_STEPS) + 1) if most is None else (most,)
+    for edits, k in ((e, k) for e in levels for k in range(e + 1)):
         start, size = segment(length, k, edits)
-        index.append((line, key(first + start, size, length, k)))
+        line = np.flatnonzero((own == edits) & (length > edits))
+        index.append((line, key(first[line] + start[line], size[line], length[line], k)))
         for gap in range(edits + 1):  # the other line is shorter by so many characters
             other = length - gap
+            fits = (other > edits) & (allowed_edits(other, most) == edits)
             start, size = segment(other, k, edits)
             left = edits - k
             low = np.maximum.reduce([np.zeros_like(start), start - k, start + gap - left])
             high = np.minimum.reduce([length - size, start + k, start + gap + left])
             for shift in range(-edits, 2 * edits + 1):
                 at = start + shift
-                ok = np.flatnonzero((at >= low) & (at <= high) & (other > edits))
+                ok = np.flatnonzero((at >= low) & (at <= high) & fits)
                 if len(ok):
                     probe.append((ok, key(first[ok] + at[ok], size[ok], other[ok], k)))
     return tuple(tuple(np.concatenate(c) for c in zip(*rows)) for rows in (index, probe))
@@ -87,8 +100,8 @@ def _signatures(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, first).view(np.int64)
 
 
-def line_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """`line_id, signature, index, probe` of stored lines (line_id, line)."""
+def line_keys(lines: DataFrame, edits: int | None) -> DataFrame:
+    """`line_id, signature, allowed, index, probe` of stored lines (line_id, line)."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -106,14 +119,15 @@ def line_keys(lines: DataFrame, edits: int) -> DataFrame:
                     order = np.argsort(line, kind="stable")
                     offsets = np.searchsorted(line[order], np.arange(len(part) + 1)).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(offsets, key[order]))
+                allowed = pa.array(allowed_edits(length, edits).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("line_id").slice(begin, len(part)), pa.array(_signatures(codes, first)), *lists],
-                    names=["line_id", "signature", "index", "probe"],
+                    [batch.column("line_id").slice(begin, len(part)), pa.array(_signatures(codes, first)), allowed, *lists],
+                    names=["line_id", "signature", "allowed", "index", "probe"],
                 )
                 begin, chars = k + 1, 0
 
     return lines.select("line_id", "line").mapInArrow(
-        batches, "line_id bigint, signature bigint, index array<bigint>, probe array<bigint>"
+        batches, "line_id bigint, signature bigint, allowed int, index array<bigint>, probe array<bigint>"
     )
 
 
@@ -169,20 +183,21 @@ def _common(a: str, b: str, n: int) -> int:
     return low
 
 
-def line_links(lines: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All pairs a < b of different stored lines (line_id, line) within `edits` edits.
+def line_links(lines: DataFrame, *, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """All pairs a < b of different stored lines (line_id, line) within the edits that the shorter one allows.
 
-    Only lines of `min_chars` characters or more are compared; it is raised to `edits + 1`, below
-    which a line has no segments. Keys shared by many lines are split by the join; no group is
+    These go by its length, or are `edits` for all lines longer than that. Only lines of `min_chars`
+    characters or more are compared. Keys shared by many lines are split by the join; no group is
     gathered anywhere.
     """
-    long_lines = lines.where(F.length("line") >= max(min_chars, edits + 1))
+    least = EDIT_STEPS[0] if edits is None else edits + 1  # shorter lines allow no edit, or have no segments
+    long_lines = lines.where(F.length("line") >= max(min_chars, least))
     keys = stored(line_keys(long_lines, edits), "line-keys")
-    index = keys.select(F.explode("index").alias("key"), F.col("line_id").alias("x"), F.col("signature").alias("sx"))
+    index = keys.select(F.explode("index").alias("key"), F.col("line_id").alias("x"), F.col("signature").alias("sx"), "allowed")
     probe = keys.select(F.explode("probe").alias("key"), F.col("line_id").alias("y"), F.col("signature").alias("sy"))
     pairs = stored(
         index.join(probe, "key").where(
-            (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 4 * edits)
+            (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 4 * F.col("allowed"))
         ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
         "line-pairs",
     )
@@ -191,18 +206,19 @@ def line_links(lines: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHA
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            near = [within_edits(a.as_py(), b.as_py(), edits) for a, b in zip(batch.column("la"), batch.column("lb"))]
+            texts = zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())
+            near = [within_edits(a, b, int(allowed_edits(min(len(a), len(b)), edits))) for a, b in texts]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     left, right = (texts.select(F.col("line_id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(batches, "a bigint, b bigint")
 
 
-def deduplicated_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, *, edits: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per distinct line of `docs` (doc_id, text) that is not blank.
 
     `doc_id` (the smallest document that has it), `line`, `n_copies`, `n_links` (different lines
-    within `edits` edits), `class_line` (the smallest line reachable over links, in code point
+    within the edits that the shorter of both allows by EDIT_STEPS, or within `edits`), `class_line` (the smallest line reachable over links, in code point
     order) and `kept` (whether it is that line). Lines are parted by line feeds and compared
     as they are. Null and empty texts have no lines; repeated rows count as copies; a line only in
     documents without an id has a null doc_id. Other columns are not read.
