@@ -106,6 +106,38 @@ def test_sharding_odd_rows(spark, frame, odd_rows):
     assert sorted(out.columns) == sorted(docs.columns) and out.count() == len(odd_rows)
 
 
+def test_a_stored_map_is_edited(spark, frame, tmp_path):
+    docs = [(k, f"text {k} " * (k % 13 + 1)) for k in range(1000)]
+    path, before, after = str(tmp_path), frame(docs[:900]), frame(docs)
+    old = {r.doc_id: r.shard for r in sharding.shard_documents(before, 8, map_path=path).collect()}
+    same = {r.doc_id: r.shard for r in sharding.with_shard(after, sharding.rebalance(after, path, 8)).collect()}
+    assert sharding.newest_version(spark, path) == 1
+    # A tenth of documents is added: hardly any of the others moves, and bytes stay near equal.
+    assert sum(old[k] != same[k] for k in old) <= 100
+    load = Counter()
+    for k, text in docs:
+        load[same[k]] += len(text) + 16
+    assert set(load) == set(range(8)) and max(load.values()) <= 1.1 * min(load.values())
+    grown = {r.doc_id: r.shard for r in sharding.with_shard(after, sharding.rebalance(after, path, 9)).collect()}
+    moved = [k for k in grown if grown[k] != same[k]]
+    assert 60 <= len(moved) <= 160 and {grown[k] for k in moved} == {8}
+    back = {r.doc_id: r.shard for r in sharding.with_shard(after, sharding.rebalance(after, path, 8)).collect()}
+    assert sharding.newest_version(spark, path) == 3 and max(back.values()) == 7
+    assert sum(back[k] != grown[k] for k in grown if grown[k] != 8) <= 100
+
+
+def test_copies_of_a_text_are_spread(spark, frame):
+    rows = sharding.placed_records(frame([(k, "the same text") for k in range(2000)]), 5).collect()
+    count = Counter(r.shard for r in rows)
+    assert set(count) == set(range(5)) and max(count.values()) - min(count.values()) <= 2
+
+
+def test_registered_sharding_edits_its_map(spark, small):
+    rows = queries.op7_virtual_slots(spark, small).collect()
+    moved = [r for r in rows if r.shard != r.edited_shard]
+    assert {r.edited_shard for r in moved} <= {40} and len(moved) < 0.1 * len(rows)
+
+
 def test_slot_map_versions(spark, tmp_path):
     sizes = [(s, 100 + s % 7, 1) for s in range(512)]
     old = sharding.first_map(sizes, 8, slots=512)

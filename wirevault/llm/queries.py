@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, new_scratch_dir
 from . import (
     conversations, decontam, html, langid, lines, mixing, neardup, oracle, phrases, quality, secrets, sharding, tokens, urls,
 )
@@ -69,17 +69,24 @@ def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.placed_records(table(configure(spark), sf_dir, "documents"), 40)
-    return placed.select(
+    """Shards by the first map, and those after the map was edited for one shard more."""
+    docs = table(configure(spark), sf_dir, "documents")
+    path = new_scratch_dir(spark, "slot-map")
+    placed = sharding.placed_records(docs, 40, map_path=path)
+    edited = sharding.rebalance(docs, path, 41).select(F.col("slot").alias("virtual_slot"), F.col("shard").alias("edited_shard"))
+    return placed.join(F.broadcast(edited), "virtual_slot", "left").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "edited_shard",
     )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(configure(spark), sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda acc, d: acc + d["words"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    places = F.transform("draws", lambda d: F.concat_ws(":", d["shard"], d["order"], d["words"]))
+    return rows.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(places, ",").alias("draws")
+    )
 
 
 def op9_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,25 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return stored.withColumn("version", F.lit(version))
 
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The number of the last map kept at `path`."""
+    return spark.read.parquet(path).agg(F.max("version")).first()[0]
+
+
+def rebalance(docs: DataFrame, map_path: str, shards: int, *, slots: int = SLOTS) -> DataFrame:
+    """Edit the newest map kept at `map_path` for `docs` and `shards`, keep the result as the next version, return it.
+
+    Records keep their slots, and only slots move, off shards above the new mean. So records that
+    were there before stay where they are unless their slot moves, and one shard more takes slots
+    but gives none away.
+    """
+    spark = docs.sparkSession
+    version = newest_version(spark, map_path)
+    old = [r["shard"] for r in read_map(spark, map_path, version).orderBy("slot").collect()]
+    to = edited_map(old, slot_sizes(docs, slots=slots), shards)
+    return write_map(spark, map_path, version + 1, to)
+
+
 def with_shard(docs: DataFrame, slot_map: DataFrame, *, slots: int = SLOTS) -> DataFrame:
     """All columns of `docs` with `shard`; a column of that name is replaced. Nothing is shuffled.
 
@@ -109,8 +128,9 @@ def placed_records(docs: DataFrame, shards: int, *, slots: int = SLOTS, map_path
 
     Positions count from 0 without gaps in every shard: slot by slot, inside a slot by hash. Each
     slot is numbered by itself and starts at the sum of the slots before it, so no task numbers a
-    whole shard. A null text counts as no bytes. Rows equal in id and
-    text share a slot. No rows in, no rows out; other columns are not read.
+    whole shard. A null text counts as no bytes. Equal texts under different ids are treated like
+    different texts, so a group of copies is spread over all slots. Rows equal in id and text share a
+    slot, and therefore a shard, however many they are. No rows in, no rows out; other columns are not read.
     """
     spark = docs.sparkSession
     sizes = slot_sizes(docs, slots=slots)
