@@ -80,6 +80,21 @@ def test_shards_are_disjoint_and_mixed(spark, frame):
     assert len(per_shard) == 12  # every shard has all sources
 
 
+def test_shards_and_order_come_from_the_tree(spark, frame):
+    rows = [(i, f"t{i} " * 10, None, "abc"[i % 3]) for i in range(300)]
+    one, four = (
+        mixing.mixed(frame(rows), block_docs=10, shards=n).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").collect()
+        for n in (1, 4)
+    )
+    words = lambda draws: sorted((r.doc_id, r.epoch, r.words) for r in draws)
+    assert words(one) == words(four)
+    assert {r.shard for r in one} == {0} and {r.shard for r in four} == {0, 1, 2, 3}
+    assert [r.doc_id for r in sorted(one, key=lambda r: r.order)] != sorted(r.doc_id for r in one)
+    out = mixing.shuffled(mixing.mixture(frame(rows), block_docs=10, shards=4)).collect()
+    assert [(r._shard, r._order) for r in out] == sorted((r._shard, r._order) for r in out)
+    assert sorted((r.doc_id, r._shard, r._order) for r in out) == sorted((r.doc_id, r.shard, r.order) for r in four)
+
+
 def test_mixture_returns_documents(spark, frame, odd_rows):
     docs = frame(odd_rows)
     out = mixing.mixture(docs)

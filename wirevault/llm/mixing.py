@@ -94,8 +94,8 @@ def mixed(
 ) -> DataFrame:
     """Per row of `docs` (doc_id, text, source): `size`, `source_size`, `target` and `draws`.
 
-    `draws` lists what the mix takes of the row: shard, epoch and words. All but one document of a
-    source are taken whole in every epoch; the one at the end of the quota gives its first words
+    `draws` lists what the mix takes of the row: shard, epoch, words, and `order`, by which the draws
+    of a shard are shuffled. All but one document of a source are taken whole in every epoch; the one at the end of the quota gives its first words
     only, so that a source's words meet its rounded target. `carry` names input columns to keep.
     Words of a null text are 0; documents without a source are a source of their own; equal rows
     are drawn like different ones. No rows in, no rows out. Columns not named are not read.
@@ -158,6 +158,9 @@ def mixed(
         turn = epoch * F.col("_blocks") + block
         return F.struct(epoch.alias("epoch"), F.size(F.filter("_ends", lambda e: e <= turn)).alias("shard"))
 
+    def order(t: Column) -> Column:
+        return F.xxhash64(F.lit(seed), t["shard"], t["epoch"], F.col("_place"))
+
     epochs = F.sequence(F.lit(0).cast("long"), F.col("_epochs"))
     last = F.when(F.col("_start") < F.col("_rest"), F.col("_epochs")).otherwise(F.col("_epochs") - 1)
     turns = starts.join(F.broadcast(ends), "_key").select(
@@ -170,7 +173,7 @@ def mixed(
     placed = blocked.join(turns, ["_key", "_block"]).withColumn("_part", part)
     draws = F.filter(
         F.transform("_turns", lambda t: F.struct(
-            t["shard"].alias("shard"), t["epoch"].alias("epoch"),
+            t["shard"].alias("shard"), t["epoch"].alias("epoch"), order(t).alias("order"),
             F.when(t["epoch"] < F.col("_epochs"), F.col("_size")).otherwise(F.col("_part")).alias("words"),
         )),
         lambda d: d["words"] > 0,
@@ -196,6 +199,12 @@ def mixture(docs: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
     if "n_chars" in named:
         kind = docs.schema["n_chars"].dataType
         named["n_chars"] = F.when(cut, F.length(text).cast(kind)).otherwise(named["n_chars"])
-    shard, epoch = F.col("_draw.shard"), F.col("_draw.epoch")
-    order = F.xxhash64(F.lit(seed), shard, epoch, F.col("doc_id"), F.col("text"))
-    return drawn.select(*(named[c].alias(c) for c in columns), shard.alias("_shard"), order.alias("_order"))
+    return drawn.select(
+        *(named[c].alias(c) for c in columns), F.col("_draw.shard").alias("_shard"), F.col("_draw.order").alias("_order")
+    )
+
+
+def shuffled(draws: DataFrame) -> DataFrame:
+    """The result of `mixture` as it is to be written: shard after shard, each in its local order."""
+    order = ["_shard", "_order"]
+    return draws.repartitionByRange(*order).sortWithinPartitions(*order)
