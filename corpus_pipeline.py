@@ -33,8 +33,11 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix draws them; one of a source is cut at its quota's end."""
-    return mixing.mixture(docs).select(*docs.columns)
+    """The documents as often as the mix draws them, in its shuffled order; one of a source is cut at its quota's end.
+
+    Null texts have no words and are not drawn; repeated rows are drawn each; an empty table stays empty.
+    """
+    return mixing.shuffled(mixing.mixture(docs)).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
