@@ -64,6 +64,21 @@ def test_hits_match_brute_force(spark, frame, monkeypatch):
     assert found(frame(docs), benchmark, block_words=40) == want
 
 
+def test_blocks_are_read_by_tasks_in_one_step(spark, frame):
+    docs, items = corpus(random.Random(5))
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    words = sum(len(split(t)) for t in {t for _, t in items})
+    blocks = decontam.Blocks(benchmark, 10, words // 4)
+    assert blocks.number >= 5
+    stored = [blocks.read(k) for k in range(blocks.number)]
+    ids = [i for b in stored if b is not None for i in b.ids]
+    assert len(ids) == len(set(ids)) == len({i for i, t in items if split(t)})
+    marked = decontam.marked(frame(docs), benchmark, block_words=words // 4)
+    assert marked._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    whole = decontam.marked(frame(docs), benchmark)
+    assert sorted(marked.collect(), key=repr) == sorted(whole.collect(), key=repr)
+
+
 def test_matches_give_places(spark, frame):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     docs = frame([(1, f"zero {passage} end"), (2, "nothing here"), (3, passage.replace("six", "6"))])

@@ -6,8 +6,9 @@ that follow. Every suffix of every benchmark item is looked up by binary search,
 places where its window occurs; equal words are followed to the longest verbatim match. Documents
 stay where they are: nothing is shuffled.
 
-The benchmark is read in blocks of at most `BLOCK_WORDS` words; one block at a time is on the
-driver and in a task, however large the benchmark is. Blocks follow each other in one pass.
+The benchmark's words are hashed in tasks and stored in the shared folder, dealt over blocks of about
+`BLOCK_WORDS` words. The driver knows the number of blocks only. A task reads the blocks one after
+the other for each of its shards and holds one at a time, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import new_scratch_dir
+from .common import stored
 from .wordhash import NOT_WORD, word_hashes
 
 WINDOW = 10
@@ -187,21 +192,55 @@ def _joined(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Suffixes]:
-    """Benchmark items in blocks, streamed to the driver."""
-    items, total = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where(F.col("text").isNotNull())
-    for item_id, text in rows.toLocalIterator():
-        hashes = word_hashes(text, NOT_WORD)
-        if not len(hashes):
-            continue
-        items.append((item_id, hashes))
-        total += len(hashes)
-        if total >= block_words:
-            yield Suffixes(items, window)
-            items, total = [], 0
-    if items:
-        yield Suffixes(items, window)
+def _hashed(benchmark: DataFrame) -> DataFrame:
+    """`item_id` and the hashes of its words, for every item that has words."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            words = [word_hashes(t.as_py(), NOT_WORD).view(np.int64) for t in batch.column("text")]
+            found = pa.array([w if len(w) else None for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), found], names=["item_id", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    return items.mapInArrow(batches, "item_id string, words array<bigint>").where("words IS NOT NULL")
+
+
+class Blocks:
+    """Benchmark items stored in blocks, each a folder of its own below the shared one."""
+
+    def __init__(self, benchmark: DataFrame, window: int, block_words: int):
+        spark = benchmark.sparkSession
+        items = stored(_hashed(benchmark).distinct(), "benchmark-words")
+        total = items.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+        self.window, self.number = window, -(-total // block_words)
+        if self.number:
+            folder = new_scratch_dir(spark, "benchmark-blocks")
+            block = F.pmod(F.xxhash64("item_id", "words"), F.lit(self.number))
+            items.withColumn("_block", block).repartition("_block").write.partitionBy("_block").parquet(folder)
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            self.folder = system.makeQualified(path).toString()
+
+    def read(self, number: int) -> Suffixes | None:
+        """One block, read by a task; None for a block that no item fell into."""
+        uri = self.folder
+        for name in ("s3a:", "s3n:"):  # Arrow's name of the same file system
+            uri = uri.replace(name, "s3:", 1) if uri.startswith(name) else uri
+        system, folder = fs.FileSystem.from_uri(uri)
+        found = system.get_file_info(fs.FileSelector(f"{folder}/_block={number}", allow_not_found=True))
+        items: list[tuple[str | None, np.ndarray]] = []
+        for file in sorted(f.path for f in found if f.base_name.endswith(".parquet")):
+            with system.open_input_file(file) as source:
+                part = pq.ParquetFile(source).read(columns=["item_id", "words"])
+            words = (w.values.to_numpy().view(np.uint64) for w in part.column("words"))
+            items += zip(part.column("item_id").to_pylist(), words)
+        return Suffixes(items, self.window) if items else None
+
+
+def _merged(old: tuple, new: tuple) -> tuple:
+    """What two blocks found in one document."""
+    matches = sorted([*old[3], *new[3]], key=lambda m: (m["start"], -m["words"], m["item_id"] or ""))
+    return _joined(old[0], new[0]), sorted({*old[1], *new[1]}), max(old[2], new[2]), matches
 
 
 def marked(
@@ -214,50 +253,42 @@ def marked(
     consecutive words of an item, or all words of a shorter one. Null or empty texts have no words
     and no hits; items without words are never found; items without an id count for hits but are
     not listed; repeated items count once. An empty benchmark finds nothing. Input columns of these
-    names are replaced; no others are touched.
+    names are replaced; no others are touched. The shared folder must be on a file system that Arrow
+    can open, since tasks read the blocks there. An item is never cut, so a block is longer than
+    `block_words` if one item is.
     """
     names = [f.name for f in _FOUND]
     base = docs.drop(*names, "_n_hit")
 
-    def first_pass(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            n = [len(word_hashes(t.as_py(), NOT_WORD)) for t in batch.column("text")]
-            found = [n, [[]] * len(n), [[]] * len(n), [0] * len(n), [[]] * len(n)]
-            arrays = [pa.array(c, _ARROW[k]) for k, c in zip(names, found)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
+    blocks = Blocks(benchmark, window, block_words)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, held, block = list(range(blocks.number)), None, None
 
-    def searcher(block: Suffixes, first: bool):
         def finish(part: pa.RecordBatch, texts: list[np.ndarray]) -> pa.RecordBatch:
-            results = _shard(block, texts)
+            nonlocal held, block
+            results: list[tuple] = [([], [], 0, [])] * len(texts)
+            for k in order:
+                if k != held:
+                    block = None  # the old one goes before the next is read
+                    held, block = k, blocks.read(k)
+                if block is not None:
+                    results = [_merged(*r) if r[1][2] else r[0] for r in zip(results, _shard(block, texts))]
+            order.reverse()  # the next shard begins with the block at hand
             columns = [[len(t) for t in texts], *(list(c) for c in zip(*results))]
-            if not first:
-                old = [part.column(k).to_pylist() for k in names[1:]]
-                columns[1] = [_joined(a, b) for a, b in zip(old[0], columns[1])]
-                columns[2] = [sorted({*a, *b}) for a, b in zip(old[1], columns[2])]
-                columns[3] = [max(a, b) for a, b in zip(old[2], columns[3])]
-                columns[4] = [[*a, *b] for a, b in zip(old[3], columns[4])]
-            rest = [k for k in part.schema.names if k not in names]
             arrays = [pa.array(c, _ARROW[k]) for k, c in zip(names, columns)]
-            return pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), *arrays], names=[*rest, *names])
-
-        def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in stream:
-                texts, begin, total = [], 0, 0
-                for k, text in enumerate(batch.column("text")):
-                    texts.append(word_hashes(text.as_py(), NOT_WORD))
-                    total += len(texts[-1])
-                    if total >= SHARD_WORDS or k + 1 == batch.num_rows:
-                        yield finish(batch.slice(begin, len(texts)), texts)
-                        texts, begin, total = [], k + 1, 0
-
-        return batches
-
-    out = T.StructType([*base.schema.fields, *_FOUND.fields])
-    rows, first = base, True
-    for block in _blocks(benchmark, window, block_words):
-        rows, first = rows.mapInArrow(searcher(block, first), out), False
-    if first:
-        rows = base.mapInArrow(first_pass, out)
+            return pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *names])
+
+        for batch in stream:
+            texts, begin, total = [], 0, 0
+            for k, text in enumerate(batch.column("text")):
+                texts.append(word_hashes(text.as_py(), NOT_WORD))
+                total += len(texts[-1])
+                if total >= SHARD_WORDS or k + 1 == batch.num_rows:
+                    yield finish(batch.slice(begin, len(texts)), texts)
+                    texts, begin, total = [], k + 1, 0
+
+    rows = base.mapInArrow(batches, T.StructType([*base.schema.fields, *_FOUND.fields]))
     pieces = F.transform("_spans", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x))
     n_hit = F.aggregate(pieces, F.lit(0).cast("long"), lambda acc, x: acc + x)
     return rows.withColumn("_n_hit", n_hit).drop("_spans")
