@@ -66,6 +66,36 @@ def test_large_buckets_are_cut_into_homes(spark, frame, monkeypatch):
     assert got == brute_components(rows, 4)
 
 
+def test_homes_are_bounded_by_bytes(spark, frame, monkeypatch):
+    """Long texts are gathered a few at a time, with the same links; one longer than a home has its own."""
+    rng = random.Random(11)
+    texts = family(rng, 12, words=3000, edits=150) + family(rng, 12, words=400, edits=20) + family(rng, 40, edits=5)
+    rows = list(enumerate(texts))
+    gathered = []
+    cross = neardup._cross_links
+
+    def spied(placed, nodes, **options):
+        gathered.extend(nodes.groupBy("home").agg({"node": "count"}).collect())
+        return cross(placed, nodes, **options)
+
+    monkeypatch.setattr(neardup, "HOME_BYTES", 30_000)
+    monkeypatch.setattr(neardup, "_cross_links", spied)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(rows), shingle=4).collect()}
+    assert got == brute_components(rows, 4)
+    assert len(gathered) > 12
+
+
+def test_rows_of_a_hot_set_are_split(spark, frame, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 10)
+    rows = [(k, "Copied by a great many sites") for k in range(3, 60)] + [(k, f"text number {k}") for k in range(60, 70)]
+    rows += [(None, "Copied by a great many sites"), (3, "copied BY a great many sites")]
+    found = neardup.near_duplicates(frame(rows))
+    assert found.count() == len(rows)
+    by_id = {r.doc_id: r.component_id for r in found.collect()}
+    assert {by_id[k] for k in range(3, 60)} == {3} and by_id[None] is None
+    assert all(by_id[k] == k for k in range(60, 70))
+
+
 def test_odd_rows(spark, frame, odd_rows):
     rows = neardup.near_duplicates(frame(odd_rows)).collect()
     assert len(rows) == len(odd_rows)

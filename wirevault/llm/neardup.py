@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import hot_keys, lookup
 from .common import stored
 from .wordhash import mix, window_hashes, word_hashes
 
@@ -35,7 +37,11 @@ BANDS = 42
 SKETCH_BITS = 512
 # The estimate's standard error at a similarity of 0.8 is 0.03: floor = 0.8 - 5 * 0.03.
 ESTIMATE_MARGIN = 0.15
+# A home holds about so many texts, and so many bytes of them, at most.
 HOME = 512
+HOME_BYTES = 8 << 20
+# Rows of one set from which on they are split, in a large corpus a thousandth of all.
+HOT_ROWS = 1000
 
 _rng = np.random.default_rng(977)
 _FACTOR = (_rng.integers(0, 1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -78,7 +84,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * BANDS * ROWS) * np.log(rest)
 
 
-_SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, odd array<bigint>"
+_SKETCH = "doc_id bigint, n_bytes bigint, n_shingles bigint, digest binary, bands array<bigint>, odd array<bigint>"
 _NOTHING = (0, None, np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -97,7 +103,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of `docs` (doc_id, text): set size, digest of the set, band keys and odd sketch."""
+    """Per row of `docs` (doc_id, text): bytes of the text, set size, digest of the set, band keys and odd sketch."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -109,9 +115,10 @@ def sketches(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
                     for t in part.column("text").to_pylist()
                 ]
                 n, digest, bands, odd = zip(*rows)
+                size = pc.cast(pc.binary_length(part.column("text")), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(bands), _lists(odd)],
-                    names=["doc_id", "n_shingles", "digest", "bands", "odd"],
+                    [part.column("doc_id"), size, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(bands), _lists(odd)],
+                    names=["doc_id", "n_bytes", "n_shingles", "digest", "bands", "odd"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, _SKETCH)
@@ -179,7 +186,7 @@ def _cross_links(placed: DataFrame, nodes: DataFrame, *, most: int, shingle: int
     """Links between different components, as far as they join any.
 
     `placed`: bucket, node, component, home; `nodes`: node, component, home, bands, odd, text. A home
-    holds about `HOME` nodes. Two homes, or one with itself, are searched if they share a bucket and
+    holds about `HOME` nodes and `HOME_BYTES` of text, or one longer text. Two homes, or one with itself, are searched if they share a bucket and
     have more than one component; their nodes are gathered once, however many buckets they share.
     Pairs that share a band and differ in at most `most` sketch bits are compared on full sets, the
     likeliest first, and passed over once links have joined their components. Only links leave.
@@ -263,10 +270,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     """
     sketched = stored(sketches(docs, shingle=shingle), "sketches")
     usable = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
     nodes = stored(
-        usable.select("digest", F.col("doc_id").alias("node"), "bands", "odd")
-        .join(classes, ["digest", "node"]).drop("digest"),
+        usable.select("digest", F.col("doc_id").alias("node"), "n_bytes", "bands", "odd")
+        .join(classes.select("digest", "node"), ["digest", "node"]).drop("digest"),
         "nodes",
     )
     bucketed = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -275,7 +282,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     odd = nodes.select("node", "odd")
     lowest = members.groupBy("node").agg(F.min("pivot").alias("pivot"))
-    sizes = lowest.groupBy("pivot").agg(F.ceil(F.count("*") / HOME).alias("_homes"))
+    sizes = lowest.join(nodes.groupBy("node").agg(F.sum("n_bytes").alias("n_bytes")), "node").groupBy("pivot").agg(
+        F.ceil(F.greatest(F.count("*") / HOME, F.sum("n_bytes") / HOME_BYTES)).alias("_homes")
+    )
     texts = stored(
         docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
             lowest.join(sizes, "pivot").select(
@@ -304,7 +313,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     reached = stored(components(links), "components")
 
     of_class = classes.join(reached, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    linked = usable.select("doc_id", "n_shingles", "digest").join(of_class, "digest").drop("digest")
+    hot = hot_keys(classes, "digest", "n", floor=HOT_ROWS)
+    linked = lookup(
+        usable.select("doc_id", "n_shingles", "digest"), of_class, "digest", table_key="digest", hot=hot, row_id="doc_id"
+    ).drop("digest")
     alone = sketched.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
