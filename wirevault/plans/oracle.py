@@ -343,4 +343,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_tag_all": _select("ts, url, status, tags"),
     }
+    sql |= {
+        "stream_state_rollup": sql["stream_rollup"],
+        "stream_state_bodies": f"{_LINES} SELECT sha256, size, seen_count, first_seen FROM bodies",
+        "stream_new_keys": f"{_LINES} SELECT sha256, size, 1 AS named FROM bodies",
+    }
     return sql | {"tail_jsonl": sql["parse_jsonl"]}

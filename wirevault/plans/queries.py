@@ -25,13 +25,14 @@ from ..functions.urls import split_url
 from ..operators import bodies as B
 from ..operators import detail, replay, rollup, search, stats
 from ..operators.tagging import RULES, PythonRule, Rule, RuleSet, tag_flows
-from ..session import configure, new_scratch_dir
+from ..session import configure, new_scratch_dir, remove_path
 from ..sources.capture import parse_capture
 from ..sources.common import dead_letters, good_records
 from ..sources.jsonl import parse_jsonl, read_jsonl, stream_jsonl
 from ..sources.tail import stream_tail
 from ..streaming.ingest import ingest_jsonl_stream
 from ..streaming.metrics import IngestMetrics, metrics_table
+from ..streaming.state import body_counts, new_bodies, shapes, stream_body_counts, stream_new_bodies, stream_shapes
 from .capture_view import capture_flows
 
 # Per session and folder: what was derived and stored in the shared scratch folder.
@@ -638,6 +639,44 @@ def tail_jsonl(spark, sf_dir):
     return _parsed_lines(spark.read.parquet(f"{root}/lines"))
 
 
+def _through_state(spark, sf_dir, start) -> str:
+    """The folder of a stateful stream over the JSONL lines, whose records come in mixed order.
+
+    The stream is stopped and restarted between waves; after each of them but the last, its last
+    batch counts as unfinished, so the restarted stream repeats it.
+    """
+    configure(spark)
+    root = new_scratch_dir(spark, "state")
+    lines = jsonl_lines(spark, sf_dir).withColumn("wave", F.pmod(F.xxhash64("id"), F.lit(WAVES)).cast("int"))
+    lines.select("value", "wave").write.partitionBy("wave").text(f"{root}/all")
+    for wave in range(WAVES):
+        spark.read.text(f"{root}/all/wave={wave}").write.mode("append").text(f"{root}/incoming")
+        arriving = stream_jsonl(spark, f"{root}/incoming", max_files_per_trigger=10_000)
+        flows = good_records(parse_jsonl(arriving, program="streamed"))
+        query = start(flows, f"{root}/totals", checkpoint=f"{root}/checkpoint", available_now=True)
+        query.awaitTermination()
+        if wave < WAVES - 1:
+            remove_path(spark, f"{root}/checkpoint/commits/{query.lastProgress['batchId']}")
+    return f"{root}/totals"
+
+
+def stream_state_rollup(spark, sf_dir):
+    found = shapes(spark, _through_state(spark, sf_dir, stream_shapes))
+    return found.withColumns({c: local_time(c) for c in ("first_seen", "last_seen")})
+
+
+def stream_state_bodies(spark, sf_dir):
+    found = body_counts(spark, _through_state(spark, sf_dir, stream_body_counts))
+    return found.withColumn("first_seen", local_time("first_seen"))
+
+
+def stream_new_keys(spark, sf_dir):
+    """Bodies of the feed of new ones, and how often it named each."""
+    folder = _through_state(spark, sf_dir, stream_new_bodies)
+    named = spark.read.parquet(folder).groupBy("sha256").agg(F.count("*").alias("named"))
+    return new_bodies(spark, folder).select("sha256", "size").join(named, "sha256")
+
+
 def posix_path(uri: str) -> str:
     """The path of a folder on a shared disk."""
     return uri.removeprefix("file://").removeprefix("file:")
@@ -769,6 +808,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tail_jsonl": tail_jsonl,
         "stream_metrics": stream_metrics,
         "stream_rollup": stream_rollup,
+        "stream_state_rollup": stream_state_rollup,
+        "stream_state_bodies": stream_state_bodies,
+        "stream_new_keys": stream_new_keys,
         "stream_bodies": stream_bodies,
         "stream_tag_new": stream_tag_new,
         "stream_tag_all": stream_tag_all,
