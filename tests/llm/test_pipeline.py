@@ -34,3 +34,16 @@ def test_everything_is_registered():
     assert set(queries.queries()) | {"pipeline"} <= names
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
     assert set(queries.oracle_sql()) <= names
+
+
+def test_stages_take_odd_and_empty_tables(spark, frame, odd_rows, small):
+    docs = frame(odd_rows)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        found, none = stage(spark, docs, small), stage(spark, docs.limit(0), small)
+        if stage is not corpus_pipeline.shard:
+            assert found.columns == docs.columns, name
+        assert none.columns == found.columns and none.count() == 0, name
+        ids = [r.doc_id for r in found.collect()]
+        assert set(ids) <= {i for i, *_ in odd_rows}, name
+        if stage in (corpus_pipeline.clean_of_benchmarks, corpus_pipeline.shard):
+            assert len(ids) == len(odd_rows), name
