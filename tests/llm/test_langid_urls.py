@@ -137,3 +137,53 @@ def test_every_suffix_has_its_rate(spark, monkeypatch, broadcast):
         n = 2 + (k is not None and k > 1400)
         want = overall if k is None else (1 + urls.PRIOR_ROWS * overall) / (n + urls.PRIOR_ROWS)
         assert r.rate == pytest.approx(want)
+
+
+def test_one_class_suffixes_teach_no_tree(spark):
+    # Digits are bad in mixd.net. The suffixes of one class say the opposite, and are twice as many.
+    data = [(f"http://{'0123456789'[k % 7:]}{k}.mixd.net/p", True) for k in range(200)]
+    data += [(f"http://{'abcdefghij'[k % 7:]}.mixd.net/p", False) for k in range(200)]
+    data += [(f"http://0123456{k}.good.com/p", False) for k in range(400)]
+    data += [(f"http://abcdefg.vbad.org/{k}", True) for k in range(400)]
+    model = urls.fit(spark.createDataFrame(data, "url string, bad boolean"))
+    held = [(k, f"http://{'98765432' if k % 2 else 'hgfedcba'}.other.com/p") for k in range(50)]
+    got = urls.judged(spark.createDataFrame(held, "page_id long, url string"), model, rules=()).collect()
+    assert all((r.verdict == "block") == bool(r.page_id % 2) for r in got)
+
+
+def test_skill_of_left_out_rules(spark, small):
+    rules = (("a.net/", "block"), ("b.net/", "allow"), ("c.net/", "block"), ("d.net/", "allow"), ("none.net/", "block"))
+    data = [(f"http://{'free-xx-bet' if k % 2 else 'aeroplane'}{k}.{'dabc'[k % 4]}.net/{k}",) for k in range(600)]
+    pages = spark.createDataFrame(data + [(None,), ("http://e.org/",)], "url string")
+    got = {r.rule: r for r in urls.rule_skill(pages, rules).collect()}
+    # Hosts with hyphens are bad under a.net and c.net: a model without one of the rules still knows.
+    assert set(got) == {"a.net/", "b.net/", "c.net/", "d.net/"}
+    want = {name + ".net/": sum(f".{name}.net" in u for (u,) in data) for name in "abcd"}
+    assert {k: r.n_urls for k, r in got.items()} == want
+    assert all(r.n_right == r.n_urls for r in got.values())
+    assert urls.rule_skill(pages.limit(0), rules).count() == 0
+    assert urls.rule_skill(spark.read.parquet(f"{small}/pages.parquet")).where("n_right > n_urls").count() == 0
+
+
+def test_very_long_urls(spark):
+    long = "http://" + "a" * 200_000 + "-b.example.com/" + "x/" * 100_000 + "?" + "q=1&" * 50_000
+    model = urls.fit(spark.createDataFrame([(f"http://{k % 2}.example.com/{k}", bool(k % 2)) for k in range(100)], "url string, bad boolean"))
+    (row,) = urls.judged(spark.createDataFrame([(1, long)], "page_id long, url string"), model).collect()
+    assert (len(row.host), len(row.path), row.rule) == (200_014, 200_001, None)
+
+
+def test_trees_that_do_not_help_other_hosts_are_left_out():
+    rng = np.random.default_rng(3)
+    hosts = np.repeat(np.arange(40), 50)
+    # The first column names the host, and hosts are bad at random.
+    bad = (rng.random(40) < 0.4)[hosts].astype(float)
+    x = np.column_stack([rng.permutation(40)[hosts], rng.random(len(hosts))])
+    constant = urls.grow_checked(x, bad, hosts % 5 == 0)
+    assert len(urls.grow(x, bad).leaf) == urls.TREES and len(constant.leaf) < urls.TREES / 2
+    # A sign that all hosts share keeps its trees.
+    x[:, 1] = bad + rng.random(len(hosts)) / 2
+    kept = urls.grow_checked(x, bad, hosts % 5 == 0)
+    # A bin may lie across the gap between the classes.
+    assert ((kept.probability(x) >= 0.5) == (bad > 0)).mean() > 0.95
+    for held in (np.zeros(len(bad), bool), np.ones(len(bad), bool)):
+        assert len(urls.grow_checked(x, bad, held).leaf) == urls.TREES

@@ -1,17 +1,21 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
 Features are taken from the URL's text alone: lengths, depth, shares of digits and of other marks,
-entropy, numbers of parameters and labels, and how often labelled URLs of its suffix are bad. Trees
-are grown on a bounded sample of labelled URLs, the same on every run, and then judge every URL in
-Arrow batches; the model is a few kilobytes.
+entropy, numbers of parameters and labels, hyphens, runs without a vowel, and how often labelled URLs
+of its suffix are bad. Trees are grown on a bounded sample of labelled URLs, the same on every run, and
+then judge every URL in Arrow batches; the model is a few kilobytes. `rule_skill` tells how well a model
+judges the URLs of a rule that it was not taught.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,9 @@ PRIOR_ROWS = 20.0
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, PENALTY = 40, 3, 0.2, 32, 20, 1.0
 FEATURES = (
     "url length", "host length", "path length", "depth", "labels", "digit ratio", "mark ratio", "entropy",
-    "host entropy", "parameters", "query length", "suffix rate",
+    "host entropy", "parameters", "query length", "suffix rate", "host hyphens", "host run without vowels",
 )
+_NO_VOWELS = re.compile("[b-df-hj-np-tv-xz]+")
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -78,7 +83,8 @@ def features(url: str | None, host: str, path: str, rate: float) -> list[float]:
     return [
         len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(map(str.isdigit, url)) / n,
         sum(not c.isalnum() for c in url) / n, _entropy(url), _entropy(host),
-        query.count("=") if query else 0, len(query), rate,
+        query.count("=") if query else 0, len(query), rate, host.count("-"),
+        max(map(len, _NO_VOWELS.findall(host)), default=0),
     ]
 
 
@@ -91,18 +97,25 @@ class Forest:
     limit: np.ndarray
     leaf: np.ndarray
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def totals(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Log odds by no tree, the first tree, the first two and so on."""
         total = np.full(len(x), self.base)
+        yield total
         for split, limit, leaf in zip(self.split, self.limit, self.leaf):
             node = np.zeros(len(x), dtype=np.int64)
             for _ in range(DEPTH):
                 right = x[np.arange(len(x)), split[node]] > limit[node]
                 node = 2 * node + 1 + right
-            total += leaf[node - (2**DEPTH - 1)]
+            total = total + leaf[node - (2**DEPTH - 1)]
+            yield total
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        for total in self.totals(x):
+            pass
         return 1 / (1 + np.exp(-total))
 
 
-def grow(x: np.ndarray, bad: np.ndarray) -> Forest:
+def grow(x: np.ndarray, bad: np.ndarray, trees: int = TREES) -> Forest:
     """Boosting of the logistic loss on binned features. One class, or no rows: a constant."""
     inner = 2**DEPTH - 1
     share = (bad.sum() + 0.5) / (len(bad) + 1) if len(bad) else 0.0
@@ -112,7 +125,7 @@ def grow(x: np.ndarray, bad: np.ndarray) -> Forest:
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
         binned = np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)])
         score = np.full(len(bad), base)
-        for _ in range(TREES):
+        for _ in range(trees):
             p = 1 / (1 + np.exp(-score))
             gradient, weight = bad - p, p * (1 - p)
             s, c = np.zeros(inner, np.int64), np.full(inner, np.inf)
@@ -146,6 +159,18 @@ def _best_split(binned, cuts, gradient, weight, rows) -> tuple[int, float, int]:
     return best[1:]
 
 
+def grow_checked(x: np.ndarray, bad: np.ndarray, held: np.ndarray) -> Forest:
+    """As many trees as lower the loss of the held rows most, then grown on all rows.
+
+    Signs that only tell the taught hosts apart do not help on other hosts, so none of them is kept.
+    """
+    if not held.any() or held.all():
+        return grow(x, bad)
+    sign = np.where(bad[held] > 0, -1.0, 1.0)
+    losses = [np.logaddexp(0, sign * total).mean() for total in grow(x[~held], bad[~held]).totals(x[held])]
+    return grow(x, bad, int(np.argmin(losses)))
+
+
 @dataclass
 class UrlModel:
     """Trees, a stored table of suffixes and their rates, and the rate of any other suffix."""
@@ -156,12 +181,17 @@ class UrlModel:
     overall: float
 
     def with_rate(self, urls: DataFrame) -> DataFrame:
-        """Add `rate` to rows with a suffix and a page_id. Hot suffixes are split if many have rates."""
+        """Add `rate`, and whether it is the suffix's own, to rows with a suffix and a page_id.
+
+        Hot suffixes are split if many have rates.
+        """
         hot = None
         if self.n_rates > BROADCAST_ROWS:
             hot = hot_keys(urls.groupBy("suffix").agg(F.count("*").alias("n")), "suffix", "n")
         found = lookup(urls, self.rates, "suffix", table_key="suffix", table_rows=self.n_rates, hot=hot, row_id="page_id")
-        return found.withColumn("rate", F.coalesce("rate", F.lit(float(self.overall))))
+        return found.withColumns(
+            {"own_rate": F.col("rate").isNotNull(), "rate": F.coalesce("rate", F.lit(float(self.overall)))}
+        )
 
 
 def fit(labelled: DataFrame, *, rows: int = SAMPLE_ROWS) -> UrlModel:
@@ -169,7 +199,9 @@ def fit(labelled: DataFrame, *, rows: int = SAMPLE_ROWS) -> UrlModel:
 
     The sample is the rows of lowest hash. Rates are shrunk towards the overall rate. A suffix whose
     labels are all of one class gets the overall rate: its own would only repeat where labels came from.
-    Counts and rates of suffixes stay in stored tables; only the sample reaches the driver.
+    For the same reason trees are taught by such suffixes only where no suffix has labels of both
+    classes. The number of trees is checked on a fifth of the hosts. Counts and rates of suffixes stay
+    in stored tables; only the sample reaches the driver.
     """
     known = labelled.where("url IS NOT NULL AND bad IS NOT NULL").select(
         "url", F.col("bad").cast("int").alias("bad"), url_parts(F.col("url")).alias("_p")
@@ -179,12 +211,17 @@ def fit(labelled: DataFrame, *, rows: int = SAMPLE_ROWS) -> UrlModel:
     overall = (total[1] or 0) / total[0] if total[0] else 0.0
     rate = (F.col("bad") + PRIOR_ROWS * overall) / (F.col("n") + PRIOR_ROWS)
     rates, n_rates = stored_once(counts.where("bad > 0 AND bad < n").select("suffix", rate.alias("rate")), "suffix-rates")
-    order = F.xxhash64("url").alias("page_id")
-    lowest = known.select(order, "*").orderBy("page_id", "url", "bad").limit(rows)
     model = UrlModel(grow(np.empty((0, len(FEATURES))), np.empty(0)), rates, n_rates, overall)
-    sample = sorted(model.with_rate(lowest).collect(), key=lambda r: (r["page_id"], r["url"], r["bad"]))
+    rated = model.with_rate(known.withColumn("page_id", F.xxhash64("url")))
+    if n_rates:
+        rated = rated.where("own_rate")
+    # Stored first: a sorted limit that is collected sends the best rows of every task to the driver.
+    lowest, _ = stored_once(rated.orderBy("page_id", "url", "bad").limit(rows), "url-sample")
+    sample = sorted(lowest.collect(), key=lambda r: (r["page_id"], r["url"], r["bad"]))
     x = np.array([features(r["url"], r["host"], r["path"], r["rate"]) for r in sample], dtype=np.float64)
-    model.forest = grow(x.reshape(-1, len(FEATURES)), np.array([r["bad"] for r in sample], dtype=np.float64))
+    bad = np.array([r["bad"] for r in sample], dtype=np.float64)
+    held = np.array([crc32(r["host"].encode()) % 5 == 0 for r in sample], dtype=bool)
+    model.forest = grow_checked(x.reshape(-1, len(FEATURES)), bad, held)
     return model
 
 
@@ -221,3 +258,26 @@ def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
     parts = pages.select("url", url_parts(F.col("url")).alias("_p"))
     verdict = fitting_rule(F.col("_p.host"), F.col("_p.path"), rules)["verdict"]
     return parts.select("url", (verdict == "block").alias("bad")).where("bad IS NOT NULL")
+
+
+def rule_skill(pages: DataFrame, rules=RULES) -> DataFrame:
+    """Per rule: `rule, verdict, n_urls, n_right`, judged by a model that was taught by the other rules only.
+
+    The URLs of a rule are those it decides among all rules. A share of right verdicts near that of a
+    constant verdict means that the rules' labels teach nothing about other URLs. A null URL has no rule;
+    a rule that decides nothing has no row; repeated rows count each.
+    """
+    parts = pages.select("url", url_parts(F.col("url")).alias("_p"))
+    ruled = parts.select("url", fitting_rule(F.col("_p.host"), F.col("_p.path"), rules).alias("_rule"))
+    ruled, _ = stored_once(ruled.where("_rule IS NOT NULL").select("url", "_rule.*"), "ruled-urls")
+    bad = (F.col("verdict") == "block").alias("bad")
+    parts = []
+    for rule, verdict in rules:
+        mine = F.col("rule") == rule
+        model = fit(ruled.where(~mine).select("url", bad))
+        left_out = ruled.where(mine).select(F.xxhash64("url").alias("page_id"), "url")
+        right = judged(left_out, model, rules=()).groupBy().agg(
+            F.count("*").alias("n_urls"), F.count_if(F.col("verdict") == verdict).alias("n_right")
+        )
+        parts.append(right.where("n_urls > 0").select(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"), "*"))
+    return reduce(DataFrame.unionByName, parts)
