@@ -338,6 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_rollup": f"{_LINES} {_shape_table(chr(39) + 'streamed' + chr(39), chr(39) + 'proxify' + chr(39))} FROM fl GROUP BY shape_sha",
         "stream_bodies": f"""{_LINES} SELECT b.sha256, size, seen_count, first_seen, len(tokens) AS n_tokens, length(content) AS n_chars
             FROM bodies b LEFT JOIN words w ON w.sha256 = b.sha256""",
+        "stream_body_types": f"{_LINES} SELECT sha256, is_text, ever_text FROM bodies",
         "stream_tag_new": _select(
             "ts, url, status, array_to_string(list_filter(tag_list, lambda t: t NOT IN ('apigee', 'graphql', 'waf-generic')), ',') AS tags"
         ),

@@ -729,6 +729,11 @@ def stream_bodies(spark, sf_dir):
     )
 
 
+def stream_body_types(spark, sf_dir):
+    """Whether the first observation of each streamed body was text, and whether any was, folded over all batches."""
+    return streamed_archive(spark, sf_dir).body_stats().select("sha256", "is_text", "ever_text")
+
+
 def stream_tag_new(spark, sf_dir):
     """New flows carry tags as soon as they are stored; tags that depend on headers only."""
     by_header = F.filter("fingerprints", lambda t: ~t.isin("apigee", "graphql", "waf-generic"))
@@ -812,6 +817,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_state_bodies": stream_state_bodies,
         "stream_new_keys": stream_new_keys,
         "stream_bodies": stream_bodies,
+        "stream_body_types": stream_body_types,
         "stream_tag_new": stream_tag_new,
         "stream_tag_all": stream_tag_all,
     }
