@@ -88,3 +88,49 @@ def test_logs_grow_without_a_shuffle_and_finish_every_torn_line(spark, tmp_path)
         Q.append_lines(made, folder, torn=torn)
     found = {n: open(f"{folder}/{n}").read() for n in sorted(os.listdir(folder)) if n.endswith(".log")}
     assert found == {"0.log": "a1\na2\na3\na4\n", "1.log": "b1\nb2\n"}
+
+
+def _plan(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_of_many_copies_of_a_body_one_moves(spark, monkeypatch):
+    # Ids repeat, so copies are told by the number of the row.
+    rows = [dict(id=1, req_body=b"a", resp_body=b"b"), dict(id=1, resp_body=b"a"), dict(id=2, resp_body=b"c"), dict(id=3), dict(id=3, resp_body=b"b")]
+    flows = B.with_body_keys(make(spark, *rows)).withColumn("src_row", F.monotonically_increasing_id())
+    obs = B.observations(flows, row="src_row")
+    stats = B.body_stats(obs, F.min("copy").alias("copy")).where("seen_count > 1").select("sha256", "size", "copy")
+    for limit in (0, 10):
+        monkeypatch.setattr(B, "BROADCAST_ROWS", limit)
+        content = B.chosen_content(obs, stats, 2)
+        assert sorted((bytes(r.content), r.size) for r in content.collect()) == [(b"a", 1), (b"b", 1)]
+    # The few chosen rows go to the content, which stays where it is.
+    assert "BroadcastHashJoin" in _plan(content) and content.columns == ["sha256", "content", "size"]
+
+
+def test_a_body_that_was_binary_is_indexed_from_the_batch_that_serves_it_as_text(spark, monkeypatch):
+    for limit in (0, 10):
+        monkeypatch.setattr(B, "BROADCAST_ROWS", limit)
+        archive = Archive(spark, new_scratch_dir(spark, "late"))
+        image = dict(resp_body=b"late words", resp_content_type="image/png")
+        archive.ingest(make(spark, image, image, dict(resp_body=b"early words")).drop("id"), batch_id=0)
+        page = dict(resp_body=b"late words", resp_content_type="text/html")
+        archive.ingest(make(spark, page, page, dict(resp_body=b"early words"), dict(resp_body=b"other")).drop("id"), batch_id=1)
+        assert sorted(bytes(r.content) for r in archive.body_content().collect()) == [b"early words", b"late words", b"other"]
+        assert sorted(r.tokens for r in archive.body_text().collect()) == [["early", "words"], ["late", "words"], ["other"]]
+
+
+def test_shapes_are_folded_in_one_pass(spark):
+    flows = B.with_body_keys(make(spark, dict(program="b"), dict(program="a"), dict(path="/x", ts=None), dict(program="c", ts=None)))
+    from wirevault.operators import rollup
+
+    stats = rollup.shape_stats(flows)
+    assert "Join" not in _plan(stats)
+    # Flows without a time count, but a shape needs one flow that has it.
+    assert [(r.program, r.hit_count, r.first_id) for r in stats.collect()] == [("b", 3, 1)]
+
+
+def test_empty_lists_of_words_make_no_postings(spark):
+    index = spark.createDataFrame([("k1", ["a"]), ("k2", []), ("k3", None)], "sha256 string, tokens array<string>")
+    assert [(r.word, r["keys"]) for r in P.postings(index, 3).collect()] == [("a", ["k1"])]
