@@ -136,6 +136,25 @@ def test_empty_lists_of_words_make_no_postings(spark):
     assert [(r.word, r["keys"]) for r in P.postings(index, 3).collect()] == [("a", ["k1"])]
 
 
+def test_a_task_makes_the_lists_of_one_run_after_the_other(spark, monkeypatch):
+    rows = [(f"k{i:02}", [f"w{j}" for j in range(9) if (i + j) % 3] + ["all", "é", "漢"]) for i in range(40)]
+    index = spark.createDataFrame(rows, "sha256 string, tokens array<string>")
+    want = {}
+    for key, tokens in rows:
+        for word in tokens:
+            want.setdefault(word, []).append(key)
+    for batch_keys in (1, 7, 10**6):
+        monkeypatch.setattr(P, "BATCH_KEYS", batch_keys)
+        assert {r.word: r["keys"] for r in P.postings(index, 40).coalesce(1).collect()} == want
+    # Long bodies make more runs; nothing sorts or aggregates a key beside every word, which spilled.
+    monkeypatch.setattr(P, "RUN_WORDS", 50)
+    posted = P.postings(index, 40, sum(len(t) for _, t in rows))
+    assert posted.select("run").distinct().count() > 3
+    found = [(r.run, r.word) for r in posted.coalesce(1).collect()]
+    assert found == sorted(found, key=lambda f: ([g[0] for g in found].index(f[0]), f[1].encode()))
+    assert "Aggregate" not in _plan(posted) and _plan(posted).count("Sort") == 1
+
+
 def test_lines_of_all_waves_are_written_at_once_without_a_sort(spark, tmp_path):
     folder = f"{tmp_path}/waves"
     lines = spark.range(40).select("id", F.col("id").cast("string").alias("value"), F.when(F.col("id") % 4 == 0, 2).otherwise(0).alias("wave"))
