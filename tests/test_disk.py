@@ -1,6 +1,7 @@
 """What is written and shuffled: bodies once per task, keys beside words once, packed lines."""
 
 import os
+import time
 
 from flows import make
 from pyspark.sql import functions as F
@@ -171,3 +172,26 @@ def test_columns_of_chosen_ids_come_along(spark, small):
     ids = spark.createDataFrame([(3, 1), (5, 0)], "id bigint, wave int")
     lines = Q.jsonl_lines(spark, small, ids)
     assert sorted((r.id, r.wave) for r in lines.collect()) == [(3, 1), (5, 0)] and lines.columns == ["id", "wave", "value"]
+
+
+def test_stored_steps_leave_no_shuffle_files_and_the_setting_as_it_was(spark):
+    from wirevault.llm.common import stored
+    from wirevault.session import _DROP_SHUFFLES, shuffles_dropped, stored_once
+
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {n for top in folders for _, _, names in os.walk(top) for n in names if n.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(_DROP_SHUFFLES, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    assert stored(counts, "counts").sparkSession is not None
+    assert stored_once(counts, "counts")[1] == 7
+    deadline = time.monotonic() + 20  # the files go in the background
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    with shuffles_dropped(spark), shuffles_dropped(spark):
+        assert spark.conf.get(_DROP_SHUFFLES) == "true"
+    assert spark.conf.get(_DROP_SHUFFLES, None) == setting
+    assert sorted(r.n for r in counts.collect()) == sorted(r.n for r in counts.collect())

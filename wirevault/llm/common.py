@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_scratch_dir
+from ..session import new_scratch_dir, shuffles_dropped
 
 # Fixed value: the six ASCII blanks that part words.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -26,10 +26,12 @@ def words(text: Column) -> Column:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table into the shared scratch folder and read it again.
 
-    It cuts the lineage: executors lost later cost a read, not the work before it.
+    It cuts the lineage: executors lost later cost a read, not the work before it. So the shuffle files of
+    that work go at once.
     """
     path = new_scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
