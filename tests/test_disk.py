@@ -195,3 +195,92 @@ def test_stored_steps_leave_no_shuffle_files_and_the_setting_as_it_was(spark):
         assert spark.conf.get(_DROP_SHUFFLES) == "true"
     assert spark.conf.get(_DROP_SHUFFLES, None) == setting
     assert sorted(r.n for r in counts.collect()) == sorted(r.n for r in counts.collect())
+
+
+def test_postings_of_a_stored_index_move_nothing(spark, monkeypatch):
+    rows = [(f"k{i:02}", [f"w{j}" for j in range(9) if (i + j) % 3] + ["all", "é"]) for i in range(40)] + [("none", []), ("null", None)]
+    index = spark.createDataFrame(rows, "sha256 string, tokens array<string>").repartition(3)
+    want = {}
+    for key, tokens in rows[:40]:
+        for word in tokens:
+            want.setdefault(word, []).append(key)
+    small = P.local_postings(index, 40)
+    # The exchange is that of the test's own three parts.
+    assert _plan(small).count("Exchange") == 1 and "Sort" not in _plan(small)
+    assert {r.word: r["keys"] for r in small.collect()} == want  # one task, one run
+    for bodies, words in ((7, 10**6), (10**6, 30)):
+        monkeypatch.setattr(P, "RUN_BODIES", bodies)
+        monkeypatch.setattr(P, "RUN_WORDS", words)
+        found = P.local_postings(index, 40, sum(len(t) for _, t in rows[:40])).collect()
+        got = {}
+        for r in found:
+            got.setdefault(r.word, []).extend(r["keys"])
+            assert r["keys"] == sorted(r["keys"]) and len(r["keys"]) <= bodies
+        assert {w: sorted(k) for w, k in got.items()} == want and len({r.run for r in found}) > 3
+        # A body is in one run, so lists can be intersected run by run; a word is in a run once.
+        assert len({(r.run, key) for r in found for key in r["keys"]}) == 40 and len({(r.run, r.word) for r in found}) == len(found)
+
+
+def test_packed_keys_are_short_and_come_back(spark):
+    from wirevault.functions.keys import packed_key, unpacked_key
+
+    keys = ["ab" * 32, "AB" * 32, "ab" * 32 + "\n", "", "a", "x" * 32, "y" * 33, "\x01", "é" * 16, None, "0" * 63, "0" * 64]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("p", packed_key(F.col("k")))
+    found = df.select("k", "p", unpacked_key(F.col("p")).alias("u")).collect()
+    assert [r.u for r in found] == keys and len({r.p and bytes(r.p) for r in found}) == len(keys)
+    assert len(found[0].p) == 33
+
+
+def test_keys_move_packed(spark):
+    from wirevault.operators import rollup
+
+    flows = B.with_body_keys(make(spark, dict(resp_body=b"x"), dict(resp_body=None), dict(resp_body=b"x")))
+    stats = rollup.shape_stats(flows)
+    assert sorted(r.hit_count for r in stats.collect()) == [1, 2]
+    assert "unhex" in _plan(stats)
+    assert sorted(r.hit_count for r in rollup.merge_shape_stats(stats.unionByName(stats)).collect()) == [2, 4]
+
+
+def test_only_bodies_that_were_sent_move_to_requests(spark, monkeypatch):
+    from wirevault.operators import detail
+
+    rows = [dict(req_body=b"sent"), dict(req_body=b"sent", resp_body=b"page"), dict(resp_body=b"other"), dict(req_body=b"")]
+    keyed = B.with_body_keys(make(spark, *rows))
+    bodies = B.distinct_content(B.observations(keyed))
+    want = [(1, b"sent"), (2, b"sent"), (3, None), (4, b"")]
+    plans = []
+    for most, size in ((10, 100), (10, 0), (0, 0)):
+        monkeypatch.setattr(detail, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(detail, "BROADCAST_BYTES", size)
+        found = detail.load_requests(keyed, bodies)
+        plans.append(_plan(found))
+        assert sorted((r.id, None if r.req_body is None else bytes(r.req_body)) for r in found.collect()) == want
+    assert "LeftSemi" in plans[0] and "LeftSemi" in plans[1] and "LeftSemi" not in plans[2]
+
+
+def test_pages_go_to_the_events(spark, small):
+    assert "BroadcastHashJoin [page_key" in _plan(capture_flows(spark, small).select("id", "url"))
+
+
+def test_content_of_many_new_bodies_stays_where_it_is(spark, monkeypatch):
+    from wirevault import archive as A
+
+    image = dict(resp_content_type="image/png")
+    rows = [
+        *(dict(resp_body=b"page %d" % i) for i in range(5)), dict(resp_body=b"image", **image), dict(resp_body=b"late", **image),
+        dict(resp_body=b"late", resp_content_type="text/html"), dict(resp_body=b"page 1"), dict(req_body=b"page 2", resp_body=b"known"),
+    ]
+    batches = [make(spark, dict(resp_body=b"known")).drop("id"), make(spark, *rows).drop("id").repartition(3)]
+    found = {}
+    for limit in (200_000, 5, 0):
+        monkeypatch.setattr(A, "BROADCAST_ROWS", limit)
+        archive, moved = Archive(spark, new_scratch_dir(spark, "stays")), []
+        monkeypatch.setattr(A, "chosen_content", lambda obs, chosen, n: moved.append(n) or B.chosen_content(obs, chosen, n))
+        for n, batch in enumerate(batches):
+            archive.ingest(batch, batch_id=n)
+        found[limit] = sorted((bytes(r.content), r.sha256, r.size, r.is_text) for r in archive.body_content().collect())
+        words = sorted(tuple(sorted(r.tokens)) for r in archive.body_text().collect())
+        found[limit] += [words]
+        # The last list is that of bodies which were binary before; there are none.
+        assert moved == {200_000: [1, 7, 0], 5: [1, 0], 0: [7, 0]}[limit]
+    assert found[5] == found[0] == found[200_000] and len(found[5]) == 9
