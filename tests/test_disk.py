@@ -284,3 +284,14 @@ def test_content_of_many_new_bodies_stays_where_it_is(spark, monkeypatch):
         # The last list is that of bodies which were binary before; there are none.
         assert moved == {200_000: [1, 7, 0], 5: [1, 0], 0: [7, 0]}[limit]
     assert found[5] == found[0] == found[200_000] and len(found[5]) == 9
+
+
+def test_answers_about_keys_leave_a_worker_batch_by_batch():
+    import pyarrow as pa
+
+    # A worker sends 64 KB at a time. Booleans of 10,000 rows are 2.5 KB, so rows with bodies piled up before it and spilled.
+    keys = pa.array([f"k{i % 7}" for i in range(10_000)])
+    answers = B._new_keys(100).func(iter([(keys, keys, keys), (keys, keys, keys)]))
+    found = list(answers)
+    assert all(batch.nbytes >= 65_536 for batch in found)
+    assert [sum(batch.field(n).to_pylist()) for batch in found for n in (0, 1)] == [7, 0, 0, 0]
