@@ -295,3 +295,16 @@ def test_answers_about_keys_leave_a_worker_batch_by_batch():
     found = list(answers)
     assert all(batch.nbytes >= 65_536 for batch in found)
     assert [sum(batch.field(n).to_pylist()) for batch in found for n in (0, 1)] == [7, 0, 0, 0]
+
+
+def test_a_lookup_of_unknown_size_is_not_broadcast_by_the_size_of_its_files(spark, tmp_path):
+    from wirevault.operators.joins import lookup
+
+    spark.range(50).select("id", (F.col("id") * 2).alias("parent")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    table = rows.select(F.col("id").alias("key"), F.col("parent").alias("payload"))
+    plans = {n: _plan(lookup(rows, table, "parent", table_key="key", table_rows=n)) for n in (None, 200_001, 200_000)}
+    assert "SortMergeJoin" in plans[None] and "SortMergeJoin" in plans[200_001] and "Broadcast" not in plans[None]
+    assert "BroadcastHashJoin" in plans[200_000] and "SortMergeJoin" not in plans[200_000]
+    found = lookup(rows, table, "parent", table_key="key").collect()
+    assert sorted((r.id, r.payload) for r in found) == [(i, 4 * i if i < 25 else None) for i in range(50)]
