@@ -308,3 +308,21 @@ def test_a_lookup_of_unknown_size_is_not_broadcast_by_the_size_of_its_files(spar
     assert "BroadcastHashJoin" in plans[200_000] and "SortMergeJoin" not in plans[200_000]
     found = lookup(rows, table, "parent", table_key="key").collect()
     assert sorted((r.id, r.payload) for r in found) == [(i, 4 * i if i < 25 else None) for i in range(50)]
+
+
+def test_words_of_many_bodies_are_stored_as_numbers_of_a_dictionary(spark):
+    import pyarrow.parquet as pq
+
+    words = " ".join(f"word{i:06}" for i in range(120_000))
+    archive = Archive(spark, new_scratch_dir(spark, "words"))
+    archive.ingest(make(spark, *(dict(resp_body=f"{words} n{n}".encode()) for n in range(8))).drop("id").coalesce(1), batch_id=0)
+    folder = archive.body_text().inputFiles()
+    stored = 0
+    for file in folder:
+        found = pq.ParquetFile(file.removeprefix("file://")).metadata
+        for group in range(found.num_row_groups):
+            columns = (found.row_group(group).column(c) for c in range(found.num_columns))
+            stored += sum(c.total_uncompressed_size for c in columns if "tokens" in c.path_in_schema)
+    # Eight times 120,000 words of 10 letters, each of which is stored in letters once a file.
+    assert stored < 2_000_000 * len(folder) + 3_500_000
+    assert sorted(len(r.tokens) for r in archive.body_text().collect()) == [120_001] * 8
