@@ -100,3 +100,25 @@ def test_zstd_import(spark):
     for fallback, wanted in expected.items():
         got = {r.sha256: r.content for r in import_zstd_bodies(table, fallback=fallback).collect()}
         assert tuple(None if got[k] is None else bytes(got[k]) for k in "abc") == wanted
+
+
+def test_blanks_around_a_record_do_no_harm(spark):
+    record = json.dumps({"url": "http://h.org/p", "response": {"raw": "HTTP/1.1 200 OK\n\nbody }"}})
+    values = [record, f" \t{record}", f"{record}\v\f ", f"{record}\r", "", " \t", "\v\f\r", "{", "}", "{ }", " {} ", "{} x"]
+    lines = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, value string")
+    found = {r.n: (r.raw, r.reason, r.host, r.resp_body and bytes(r.resp_body)) for r in parse_jsonl(lines).collect()}
+    good = (record, None, "h.org", b"body }")
+    assert found == {
+        0: good, 1: good, 2: good, 3: good, 7: ("{", "bad_json", "", None), 8: ("}", "bad_json", "", None),
+        9: ("{ }", None, "", None), 10: ("{}", None, "", None), 11: found[11],
+    }
+
+
+def test_a_url_is_split_once(spark):
+    parsed = good_records(parse_jsonl(spark.createDataFrame([("{}",)], "value string")))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = parsed._jdf.queryExecution().explainString(mode)
+    filters = [line for line in plan.splitlines() if line.startswith("Condition")]
+    assert filters and not any("regexp_replace" in line or "regexp_extract" in line for line in filters)
+
+

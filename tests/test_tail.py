@@ -73,3 +73,15 @@ def test_start_at_the_end(follow):
     assert run(start="end") == [("x.log", "new"), ("x.log", "torn")]
     with pytest.raises(ValueError, match="beginning"):
         run(start="middle")
+
+
+def test_parts_grow_with_the_growth(tmp_path):
+    (tmp_path / "x.log").write_bytes(b"".join(b"line %d\n" % n for n in range(1000)))
+    (tmp_path / "y.log").write_bytes(b"other\n")
+    reader = tail._Reader({"path": str(tmp_path), "partbytes": "16", "parts": "8"})
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) <= 10  # one more for a file at most; in parts of 16 bytes there would be 557
+    found = [value for part in parts for batch in reader.read(part) for value in batch.column("value").to_pylist()]
+    assert found == [f"line {n}" for n in range(1000)] + ["other"]
+    assert tail.part_size(100, 16, 8) == 16 and tail.part_size(1 << 40, 16, 8) == tail.PART_BYTES
+    assert tail.part_size(1 << 40, tail.PART_BYTES * 2, 8) == tail.PART_BYTES * 2

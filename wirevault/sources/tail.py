@@ -1,7 +1,8 @@
 """Following log files that grow: a streaming source whose offset is a number of bytes per file.
 
 Every trigger takes the lines that were finished since the last one. A line without its line end
-waits. Large growth is split over tasks by bytes; a task reads the lines that begin in its part. Files
+waits. Large growth is split over tasks by bytes; a task reads the lines that begin in its part. Parts grow
+with the growth, so that a trigger has a bounded number of them until they have `PART_BYTES`. Files
 are read through Arrow's file systems, so the path may be a URI that these know.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 
 FORMAT = "wirevault_tail"
 PART_BYTES = 32 << 20
+# Parts of a trigger for each core, before parts are made larger than they were asked for.
+PARTS_PER_CORE = 4
 _BLOCK = 1 << 20
 _LINES = 4096
 _SCHEMA = "value string, src_time timestamp, src_file string, src_split bigint"
@@ -78,6 +81,11 @@ def lines_of(file: pa.NativeFile, low: int, high: int, end: int) -> Iterator[byt
             return
 
 
+def part_size(grown: int, least: int, parts: int) -> int:
+    """Bytes of a part: ``least``, or more where ``grown`` bytes would be more than ``parts`` of these; up to `PART_BYTES`."""
+    return max(least, min(PART_BYTES, -(-grown // parts)))
+
+
 class Part(InputPartition):
     def __init__(self, path: str, low: int, high: int, end: int):
         self.path, self.low, self.high, self.end = path, low, high, end
@@ -88,6 +96,7 @@ class _Reader(DataSourceStreamReader):
         self.path = options["path"]
         self.from_end = options.get("startat", "beginning").lower() == "end"
         self.part_bytes = int(options.get("partbytes", PART_BYTES))
+        self.parts = int(options.get("parts", PARTS_PER_CORE))
 
     def _ends(self) -> dict[str, int]:
         system, _ = _system(self.path)
@@ -104,13 +113,14 @@ class _Reader(DataSourceStreamReader):
         return self._ends()
 
     def partitions(self, start: dict[str, Any], end: dict[str, Any]) -> list[InputPartition]:
-        parts = []
+        spans = []
         for path, stop in sorted(end.items()):
             begin = start.get(path, 0)
             if stop < begin:  # the file was cut and written anew
                 begin = 0
-            parts += [Part(path, low, min(low + self.part_bytes, stop), stop) for low in range(begin, stop, self.part_bytes)]
-        return parts
+            spans.append((path, begin, stop))
+        size = part_size(sum(stop - begin for _, begin, stop in spans), self.part_bytes, self.parts)
+        return [Part(path, low, min(low + size, stop), stop) for path, begin, stop in spans for low in range(begin, stop, size)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         system, _ = _system(self.path)
@@ -156,8 +166,12 @@ def stream_tail(spark: SparkSession, path: str, *, start: str = "beginning", par
     ``start="end"`` leaves out what is there at the first start; later starts go on from the
     checkpoint. New files are read from their beginning. A file that has become shorter is taken as
     cut and written anew; one that was cut and has outgrown its old size since is not noticed.
+    ``part_bytes`` is the least that growth is split into; a trigger that has grown by more than
+    `PARTS_PER_CORE` of these for each core has larger parts, as a task costs more than a short read.
     """
     if start not in ("beginning", "end"):
         raise ValueError("start is 'beginning' or 'end'")
     spark.dataSource.register(LineTail)
-    return spark.readStream.format(FORMAT).option("startAt", start).option("partBytes", part_bytes).load(path)
+    parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    options = {"startAt": start, "partBytes": part_bytes, "parts": parts}
+    return spark.readStream.format(FORMAT).options(**options).load(path)
