@@ -1,5 +1,6 @@
 """The stored archive: batches, retries, compaction, generations, streams."""
 
+import gzip
 import json
 import os
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from wirevault import RULES, Archive, Rule, RuleSet
 from wirevault.operators.rollup import rollup
 from wirevault.session import new_scratch_dir, path_exists
-from wirevault.sources.jsonl import stream_jsonl
+from wirevault.sources.jsonl import read_jsonl, spread_lines, stream_jsonl
 from wirevault.streaming.ingest import ingest_jsonl_stream
 
 
@@ -247,6 +248,43 @@ def test_stream_of_files(spark, archive, tmp_path):
     assert {r.program for r in archive.flows().collect()} == {"live"}
 
 
+def test_lines_of_packed_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    for n in range(2):
+        lines = "\n".join(record(i) for i in range(n * 30, n * 30 + 30)) + "\nnot json\n\n"
+        (incoming / f"{n}.gz").write_bytes(gzip.compress(lines.encode() + b"torn \xff\n"))
+        os.utime(incoming / f"{n}.gz", (1_000_000 + n, 1_000_000 + n))
+    read = read_jsonl(spark, str(incoming)).coalesce(1)
+    dealt = spread_lines(read, 3)
+    assert dealt.rdd.getNumPartitions() == 3
+    values = [[bytes(r[0]) for r in d.select(F.col("value").cast("binary")).collect()] for d in (read, dealt.orderBy("src_row"))]
+    assert values[0] == values[1] and len(values[0]) == 66 and b"torn \xff" in values[1]
+    places = [sorted(map(str, d.select("src_time", "src_file", "src_split").collect())) for d in (read, dealt)]
+    assert places[0] == places[1]
+    ends = dealt.where("value LIKE '{%'").select(F.regexp_extract("value", "body [0-9]", 0), F.spark_partition_id().alias("task"))
+    assert ends.distinct().count() == 4 and ends.select("task").distinct().count() > 1  # a body goes one way
+
+    tasks, stage = [], Archive._stage
+
+    def counted(*args, **more):
+        staged = stage(*args, **more)
+        tasks.append(staged[0].select(F.input_file_name()).distinct().count())
+        return staged
+
+    monkeypatch.setattr(Archive, "_stage", counted)
+    found = []
+    for spread in (False, True):
+        archive = Archive(spark, f"{tmp_path}/archive-{spread}")
+        stream = stream_jsonl(spark, str(incoming), max_files_per_trigger=1, spread=spread)
+        ingest_jsonl_stream(archive, stream, checkpoint=f"{tmp_path}/c-{spread}", available_now=True).awaitTermination()
+        in_order = [(r.ts, r.url, r.resp_body_sha) for r in archive.flows().orderBy("id").collect()]
+        assert archive.flows().select("id").distinct().count() == 60 and archive.counts() == (60, 4)
+        found.append((in_order, rows_of(archive.bodies()), rows_of(archive.flow_agg())))
+    assert found[0] == found[1] and found[0][0] == sorted(found[0][0])
+    assert tasks[:2] == [1, 1] and min(tasks[2:]) > 1  # tasks that parse the one file of a trigger
+
+
 def test_stream_from_the_end_skips_older_files(spark, archive, tmp_path):
     incoming = tmp_path / "in"
     incoming.mkdir()
